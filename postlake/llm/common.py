@@ -14,15 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one in spark.checkpoint.dir.
 
-    The folder is the one named in spark.checkpoint.dir; a temporary one is set
-    only where no folder is named, as in local tests.
+    A temporary one is set only where no folder is named, as in local tests.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-checkpoints"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, from where a lost executor's part is read again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
