@@ -2,10 +2,226 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postlake.functions import rules
+from postlake.functions import text as T
+from postlake.operators import reconcile as R
+from postlake.operators import view as V
+from postlake.sources import html as H
+
+from . import postings as P
+
+_DAY = P._D
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None):
+    def put(f):
+        _Q[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _posted(name: str, sql: str, cols):
+    """A query of columns of the derived postings, with the SQL after P.sql's tables. No column is made before there is a session."""
+    _add(name, P.sql(sql))(lambda s, d: P.postings(s, d).select(*cols()))
+
+
+c = F.col
+
+# --- Flagship and counts ----------------------------------------------------------------
+_add("flagship", P.sql("SELECT university, count(*) AS total, count(*) FILTER (dd IS NULL OR dd >= %s) AS active, count(*) FILTER (is_new) AS new, count(*) FILTER (dd < %s) AS closed FROM snap GROUP BY university" % (_DAY, _DAY)))(
+    lambda s, d: R.report(P.snapshot(s, d), P.as_of(), ["university"])
+)
+_add("a2_run_report", P.sql("SELECT count(*) AS total, count(*) FILTER (dd IS NULL OR dd >= %s) AS active, count(*) FILTER (is_new) AS new, count(*) FILTER (dd < %s) AS closed FROM snap" % (_DAY, _DAY)))(
+    lambda s, d: R.report(P.snapshot(s, d), P.as_of())
+)
+_add("run_snapshot", P.sql("SELECT id, title, rank, university, department, deadline, is_new, CAST(date_added AS VARCHAR) AS date_added, desc_action, description FROM snap"))(
+    lambda s, d: P.snapshot(s, d).select("id", "title", "rank", "university", "department", "deadline", "is_new", c("date_added").cast("string").alias("date_added"), "desc_action", "description")
+)
+_add("a3_section_counts", "SELECT source, lang AS section, count(*) AS n FROM documents GROUP BY ALL")(lambda s, d: _t(s, d, "documents").groupBy("source", c("lang").alias("section")).agg(F.count("*").alias("n")))
+_add("k3_progress", P.sql("SELECT university, ingest_seq % 4 AS section, count(*) AS n FROM p GROUP BY ALL"))(lambda s, d: P.postings(s, d).groupBy("university", (c("ingest_seq") % 4).alias("section")).agg(F.count("*").alias("n")))
+_add("a4_found_attempted", P.sql("SELECT university, count(*) AS attempted, count(*) FILTER (length(description) > 300) AS found FROM kept GROUP BY ALL"))(
+    lambda s, d: R.keep_first(P.postings(s, d), ["id"], ["ingest_seq"]).where(T.is_retained(c("deadline"), P.as_of())).groupBy("university").agg(F.count("*").alias("attempted"), F.count_if(F.length("description") > 300).alias("found"))
+)
+_add("a5_occurrences", "SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n FROM documents")(lambda s, d: _t(s, d, "documents").select("doc_id", T.occurrences("text", "the").alias("n")))
+_add("a7_max_page", "SELECT max(CAST(regexp_extract(url, '/(\\d+)', 1) AS BIGINT)) AS pages FROM pages WHERE regexp_extract(url, '/(\\d+)', 1) <> ''")(
+    lambda s, d: _t(s, d, "pages").agg(F.max(F.regexp_extract("url", r"/(\d+)", 1).try_cast("bigint")).alias("pages"))
+)
+_add("a8_any_keyword", "SELECT doc_id, (lower(text) LIKE '%license%' OR lower(text) LIKE '%copyright%') AS hit FROM documents")(lambda s, d: _t(s, d, "documents").select("doc_id", T.contains_any(F.lower("text"), ("license", "copyright")).alias("hit")))
+_add("a9_new_today", P.sql("SELECT count(*) AS n FROM snap WHERE date_added = %s" % _DAY))(lambda s, d: P.snapshot(s, d).where(c("date_added") == P.as_of()).agg(F.count("*").alias("n")))
+
+# --- Scalar projections -----------------------------------------------------------------
+_add("p1_clean", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS cleaned FROM documents")(lambda s, d: _t(s, d, "documents").select("doc_id", T.clean("text").alias("cleaned")))
+_add("p2_make_id", r"SELECT p_partkey, CASE WHEN length(p_name) <= 20 AND regexp_matches(p_name, '^[\w\-]+$') THEN 'HKU-' || p_name ELSE 'HKU-' || md5(p_name)[1:10] END AS by_name, 'HKU-' || p_partkey AS by_key FROM part")(
+    lambda s, d: _t(s, d, "part").select("p_partkey", T.make_id("hku", c("p_name")).alias("by_name"), T.make_id("hku", c("p_partkey").cast("string")).alias("by_key"))
+)
+_posted("p3_infer_department", f"SELECT ingest_seq, {P._case('title_no', sorted(P.DEPARTMENTS.items()))[:-4]} ELSE '' END AS dept FROM p", lambda: ("ingest_seq", T.infer_department(c("title")).alias("dept")))
+_posted("p4_detect_rank", "SELECT ingest_seq, rank FROM p", lambda: ("ingest_seq", "rank"))
+_posted("p4_rank_with_description", "SELECT ingest_seq, CASE WHEN title_no IN (3, 4) AND description LIKE '%tenure-track%' THEN 'Tenure-Track' WHEN title_no IN (3, 4) AND description LIKE '%lecturer%' THEN 'Lecturer' ELSE rank END AS rank FROM p", lambda: ("ingest_seq", T.detect_rank(c("title"), c("description")).alias("rank")))
+_posted("p5_detect_type", "SELECT ingest_seq, position_type FROM p", lambda: ("ingest_seq", "position_type"))
+_posted("p6_parse_date", "SELECT ingest_seq, deadline FROM p", lambda: ("ingest_seq", "deadline"))
+_posted("p7_type_override", "SELECT ingest_seq, CASE WHEN ingest_seq % 2 = 0 THEN 'Full-time' ELSE position_type END AS position_type FROM p", lambda: ("ingest_seq", T.position_type(c("title"), F.when(c("ingest_seq") % 2 == 0, "Full-time").otherwise("")).alias("position_type")))
+_posted("p8_department_chain", f"SELECT ingest_seq, coalesce(nullif({P._case('title_no', sorted(P.DEPARTMENTS.items()))}, ''), university_full) AS dept FROM p", lambda: ("ingest_seq", T.first_filled(F.lit(None).cast("string"), T.infer_department(c("title")), c("university_full")).alias("dept")))
+
+
+def _names(s, d):
+    n, r = _t(s, d, "nation"), _t(s, d, "region")
+    x = _t(s, d, "supplier").join(F.broadcast(n), c("s_nationkey") == c("n_nationkey")).join(F.broadcast(r), c("n_regionkey") == c("r_regionkey"))
+    return x.select("s_suppkey", "n_name", "r_name")
+
+
+_NAMES = "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_pair = lambda x: [x[0].alias("a"), x[1].alias("b")]
+_add("p9_last_comma", f"SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN n_name ELSE n_name || ', Senior' END AS a, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE r_name END AS b FROM {_NAMES}")(
+    lambda s, d: _names(s, d).withColumn("t", F.when(c("s_suppkey") % 3 == 0, c("n_name")).otherwise(F.concat("n_name", F.lit(", Senior , "), "r_name"))).select("s_suppkey", *_pair([F.rtrim(T.last_comma(c("t"))[0]), T.last_comma(c("t"))[1]]))
+)
+_add("p10_last_comma_department", f"SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN n_name ELSE n_name || ', ' || r_name END AS a, CASE WHEN s_suppkey % 3 = 0 THEN 'School of ' || r_name ELSE '' END AS b FROM {_NAMES}")(
+    lambda s, d: _names(s, d).withColumn("t", F.concat("n_name", F.lit(", "), F.when(c("s_suppkey") % 3 == 0, "School of ").otherwise(""), "r_name")).select("s_suppkey", *_pair(T.last_comma_department(c("t"))))
+)
+_add("p11_first_dash", f"SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN n_name ELSE n_name || ' - x' END AS a, CASE s_suppkey % 3 WHEN 0 THEN n_name WHEN 1 THEN r_name || ' - x' ELSE r_name END AS b FROM {_NAMES}")(
+    lambda s, d: _names(s, d).withColumn("t", F.when(c("s_suppkey") % 3 == 0, c("n_name")).when(c("s_suppkey") % 3 == 1, F.concat("n_name", F.lit(" - "), "r_name", F.lit(" - x"))).otherwise(F.concat("n_name", F.lit(" - x – "), "r_name"))).select("s_suppkey", *_pair(T.first_dash(c("t"))))
+)
+_add("p12_inline_reference", f"SELECT s_suppkey, 'AB/' || s_suppkey AS a, n_name || ' Post' AS b FROM {_NAMES}")(
+    lambda s, d: _names(s, d).withColumn("t", F.concat("n_name", F.lit(" Post (Ref.: AB/"), c("s_suppkey").cast("string"), F.lit(")"))).select("s_suppkey", *_pair(T.inline_reference(c("t"))))
+)
+_add("p13_absolute_url", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://b.example/p/' || page_id ELSE url END AS u, CASE WHEN page_id % 2 = 0 THEN 'https://b.example/p/' || page_id ELSE url END AS v FROM pages")(
+    lambda s, d: _t(s, d, "pages").withColumn("h", F.when(c("page_id") % 2 == 0, F.concat(F.lit("/p/"), c("page_id").cast("string"))).otherwise(c("url"))).select("page_id", T.absolute_url(c("h"), "https://b.example").alias("u"), T.prefixed_url(c("h"), "https://b.example").alias("v"))
+)
+_add("p14_url_reference", r"SELECT page_id, regexp_extract(url, '/(\d+)', 1) AS no, regexp_extract(url, '[?&]ref=([^&]+)', 1) AS ref FROM pages")(lambda s, d: _t(s, d, "pages").select("page_id", F.regexp_extract("url", r"/(\d+)", 1).alias("no"), F.regexp_extract("url", r"[?&]ref=([^&]+)", 1).alias("ref")))
+_posted("p15_url_template", "SELECT ingest_seq, 'https://example.org/job?id=' || reference || '&site=1' AS u FROM p", lambda: ("ingest_seq", F.replace(F.lit("https://example.org/job?id={ref}&site=1"), F.lit("{ref}"), c("reference")).alias("u")))
+
+
+def _cells():
+    return F.array(F.lit("Department of Music"), c("o_orderpriority"), F.date_format("o_orderdate", "d MMMM yyyy"), F.lpad(c("o_orderkey").cast("string"), 7, "0"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+_add("p16_reference_cell", "SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS first_ref, lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS last_ref FROM orders")(lambda s, d: _t(s, d, "orders").select("o_orderkey", T.first_match(_cells(), r"^\d{7,10}$").alias("first_ref"), T.last_match(_cells(), r"^\d{5,8}$").alias("last_ref")))
+_add("p17_department_cell", "SELECT o_orderkey, 'Department of Music' AS dept FROM orders")(lambda s, d: _t(s, d, "orders").select("o_orderkey", T.last_match(_cells(), rules.DEPT_CELL).alias("dept")))
+_add("p18_date_cell", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS deadline, 1 AS n FROM orders")(lambda s, d: _t(s, d, "orders").select("o_orderkey", F.get(T.date_cells(_cells()), 0).alias("deadline"), F.size(T.date_cells(_cells())).alias("n")))
+_add("p19_optional_column", "SELECT o_orderkey, o_orderpriority AS project FROM orders")(lambda s, d: _t(s, d, "orders").select("o_orderkey", F.when((F.size(_cells()) >= 5) & ~F.get(_cells(), 1).rlike(r"\d{4}"), F.get(_cells(), 1)).otherwise("").alias("project")))
+_posted("p20_placeholder", f"SELECT ingest_seq, title || ' — ' || department || '. {rules.PLACEHOLDER} for full details.' AS t FROM p", lambda: ("ingest_seq", T.placeholder(c("title"), c("department")).alias("t")))
+_add("p21_json_coalesce", "SELECT event_id, coalesce(json_extract_string(props, '$.K'), json_extract_string(props, '$.k'), '') AS v FROM events")(lambda s, d: _t(s, d, "events").select("event_id", T.json_first(c("props"), "K", "k").alias("v")))
+_posted("p22_sits_under", "SELECT ingest_seq, university_full AS dept FROM p", lambda: ("ingest_seq", T.strip(F.regexp_extract(F.concat(F.lit("This post sits under the "), "university_full", F.lit(" at our campus.")), rules.SITS_UNDER, 1)).alias("dept")))
+_posted("p23_prefix", "SELECT ingest_seq, title[1:25] AS t FROM p", lambda: ("ingest_seq", F.left("title", F.lit(25)).alias("t")))
+_add("p24_university_dimension", P.sql("SELECT ingest_seq, university, university_full FROM p"))(
+    lambda s, d: P.postings(s, d).select("ingest_seq", "university").join(F.broadcast(s.createDataFrame([(u[1], u[3]) for u in rules.UNIVERSITIES], "university string, university_full string")), "university").select("ingest_seq", "university", "university_full")
+)
+
+# --- Filters ----------------------------------------------------------------------------
+_add("f1_active", P.sql(f"SELECT ingest_seq FROM p WHERE dd IS NULL OR dd >= {_DAY}"))(lambda s, d: P.postings(s, d).where(T.is_active(c("deadline"), P.as_of())).select("ingest_seq"))
+_add("f2_retention", P.sql(f"SELECT ingest_seq FROM p WHERE dd IS NULL OR dd >= {_DAY} - 14"))(lambda s, d: P.postings(s, d).where(T.is_retained(c("deadline"), P.as_of())).select("ingest_seq"))
+_posted("f3_good_cached", f"SELECT ingest_seq, description NOT LIKE '%{rules.PLACEHOLDER}%' AND length(description) > 80 AS good FROM p", lambda: ("ingest_seq", R.good_cached(c("description")).alias("good")))
+_add("f4_good_summary", P.sql("SELECT id, length(description) BETWEEN 1 AND 800 AND description NOT LIKE '%See application link%' AS good FROM prev"))(lambda s, d: P.previous(s, d).select("id", R.good_summary(c("description")).alias("good")))
+_add("f5_needs_summary", P.sql("SELECT id FROM snap WHERE desc_action = 'summarise'"))(lambda s, d: P.snapshot(s, d).where("desc_action = 'summarise'").select("id"))
+_add("f6_admin_titles", P.sql("SELECT ingest_seq FROM p WHERE NOT (%s)" % " OR ".join(f"lower(title) LIKE '%{w}%'" for w in rules.ADMIN_TITLES)))(lambda s, d: P.postings(s, d).where(~T.contains_any(F.lower("title"), rules.ADMIN_TITLES)).select("ingest_seq"))
+_add("f7_title_length", P.sql("SELECT ingest_seq FROM p WHERE length(title) >= 10"))(lambda s, d: P.postings(s, d).where(F.length("title") >= 10).select("ingest_seq"))
+_add("f8_cell_count", "SELECT doc_id FROM documents WHERE len(string_split(text, ' | ')) >= 3")(lambda s, d: _t(s, d, "documents").where(F.size(F.split("text", r" \| ")) >= 3).select("doc_id"))
+_add("f9_header_rows", "SELECT doc_id, n, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents) WHERE n > 0 AND regexp_matches(line, '[A-Za-z]')")(
+    lambda s, d: _t(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where((c("n") > 0) & c("line").rlike("[A-Za-z]")).select("doc_id", c("n").cast("bigint").alias("n"), "line")
+)
+_add("f10_link_filter", "SELECT page_id FROM pages WHERE lower(url) LIKE '%ref=%'")(lambda s, d: _t(s, d, "pages").where(c("url").rlike("(?i)ref=")).select("page_id"))
+_add("f11_noise_lines", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 2 AND NOT regexp_matches(trim(x), '(?i)^(Next|Previous|Go to page|Search|Filter|Home|Menu|\\d+)$'))) AS BIGINT) AS n FROM documents")(
+    lambda s, d: _t(s, d, "documents").select("doc_id", F.size(F.filter(T.lines("text"), lambda x: (F.length(x) > 2) & ~x.rlike(rules.NAV_LINE))).cast("bigint").alias("n"))
+)
+_add("f12_protected_pages", "SELECT page_id FROM pages WHERE NOT (%s)" % " OR ".join(f"lower(html) LIKE '%{w}%'" for w in rules.BOT_MARKERS))(lambda s, d: _t(s, d, "pages").where(~T.contains_any(F.lower("html"), rules.BOT_MARKERS)).select("page_id"))
+_add("f13_label_lines", r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '\(\d+\)$'))) AS BIGINT) AS n FROM documents")(lambda s, d: _t(s, d, "documents").select("doc_id", F.size(F.filter(T.lines("text"), lambda x: ~x.rlike(r"\(\d+\)$"))).cast("bigint").alias("n")))
+_add("f14_not_available", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN '1998-01-02' ELSE '' END AS deadline FROM orders")(
+    lambda s, d: _t(s, d, "orders").withColumn("r", F.when(c("o_orderkey") % 3 == 0, "n/a").when(c("o_orderkey") % 3 == 1, "NA").otherwise("2 January 1998")).select("o_orderkey", F.when(F.upper("r").isin("N/A", "NA", ""), "").otherwise(T.parse_date("r")).alias("deadline"))
+)
+
+# --- Text to rows -----------------------------------------------------------------------
+_add("x2_links", "SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS BIGINT) AS n FROM pages")(lambda s, d: H.with_parsed(_t(s, d, "pages"), "html", "l", "links", H.links).select("page_id", F.size("l").cast("bigint").alias("n")))
+_add("x8_pruned_text")(lambda s, d: H.with_parsed(_t(s, d, "pages"), "html", "b", "texts", lambda h: H.blocks(h, "article")).select("page_id", F.array_join("b", "\n").alias("body")))
+_add("x9_longest_block", "SELECT doc_id, coalesce(arg_max(line, struct_pack(l := length(line), n := -n))[1:3000], '') AS block FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents) GROUP BY doc_id, length(line) BETWEEN 151 AND 4999 HAVING length(any_value(line)) BETWEEN 151 AND 4999")(
+    lambda s, d: _t(s, d, "documents").select("doc_id", T.longest_block(F.split("text", "\n")).alias("block")).where("block <> ''")
+)
+_add("x10_substantive_lines", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 60)[1:20], chr(10) || chr(10))[1:3000] AS t FROM documents")(lambda s, d: _t(s, d, "documents").select("doc_id", T.substantive("text").alias("t")))
+_add("x11_distinct_paragraphs", "SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY n)[1:2000] AS t FROM (SELECT doc_id, line, n, row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY n) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents) WHERE line <> '') WHERE k = 1 GROUP BY doc_id")(
+    lambda s, d: _t(s, d, "documents").select("doc_id", T.distinct_paragraphs(F.split("text", "\n")).alias("t")).where("t <> ''")
+)
+_add("x12_content_paragraphs", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) > 20 AND NOT regexp_matches(x, '(?i)^(Deadline|Until the Position)')), chr(10) || chr(10))[1:3000] AS t FROM documents")(lambda s, d: _t(s, d, "documents").select("doc_id", T.content_paragraphs(F.split("text", "\n")).alias("t")))
+_add("x13_max_label", "SELECT o_custkey, greatest(max(o_orderkey), 1) AS n FROM orders GROUP BY o_custkey")(
+    lambda s, d: _t(s, d, "orders").groupBy("o_custkey").agg(F.collect_list(c("o_orderkey").cast("string")).alias("a")).select("o_custkey", F.coalesce(F.array_max(F.filter(F.transform("a", lambda b: b.try_cast("bigint")), lambda n: n > 0)), F.lit(1)).alias("n"))
+)
+_add("x4_anchor_windows", "SELECT doc_id, CAST(len(regexp_extract_all(text, 'the')) AS BIGINT) AS n FROM documents")(lambda s, d: H.with_parsed(_t(s, d, "documents").select("doc_id", "text"), "text", "w", "windows", lambda t: H.windows(t, "the", 60, 20)).select("doc_id", F.size("w").cast("bigint").alias("n")))
+
+# --- Dedup, joins, state ----------------------------------------------------------------
+_add("a1_first_of_id", P.sql("SELECT id, ingest_seq, title FROM firsts"))(lambda s, d: R.keep_first(P.postings(s, d), ["id"], ["ingest_seq"]).select("id", "ingest_seq", "title"))
+_add("w1_source_key", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")(lambda s, d: R.keep_first(_t(s, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"]))
+_add("w2_last_wins", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL")(lambda s, d: R.keep_last(_t(s, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"]))
+_add("w3_first_k", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) AS t FROM documents")(lambda s, d: _t(s, d, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 1, 3), "\n").alias("t")))
+_add("w4_first_seen", "SELECT user_id, CAST(day AS VARCHAR) AS day, CAST(min(day) OVER (PARTITION BY user_id, i) AS VARCHAR) AS first_seen FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS i FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events))")(
+    lambda s, d: R.presence_streaks(_t(s, d, "events").select("user_id", c("ts").cast("date").alias("day")), "user_id", "day").select("user_id", c("day").cast("string").alias("day"), c("first_seen").cast("string").alias("first_seen"))
+)
+
+
+def _firsts(s, d):
+    return R.keep_first(P.postings(s, d), ["id"], ["ingest_seq"])
+
+
+_add("j1_reconcile", P.sql(f"SELECT f.id, prev.id IS NULL AS is_new, CAST(coalesce(prev.date_added, {_DAY}) AS VARCHAR) AS date_added FROM firsts f LEFT JOIN prev ON f.id = prev.id"))(lambda s, d: R.reconcile(_firsts(s, d), P.previous(s, d), P.as_of()).select("id", "is_new", c("date_added").cast("string").alias("date_added")))
+_add("j2_new", P.sql("SELECT id FROM firsts WHERE id NOT IN (SELECT id FROM prev)"))(lambda s, d: R.new_rows(_firsts(s, d), P.previous(s, d)).select("id"))
+_add("j2_known", P.sql("SELECT id FROM firsts WHERE id IN (SELECT id FROM prev)"))(lambda s, d: R.known_rows(_firsts(s, d), P.previous(s, d)).select("id"))
+_GOOD = f"description NOT LIKE '%{rules.PLACEHOLDER}%' AND length(description) > 80"
+_add("j3_restore_cached", P.sql(f"SELECT f.id, coalesce(g.description, f.description) AS description FROM firsts f LEFT JOIN (SELECT * FROM prev WHERE {_GOOD}) g ON f.id = g.id"))(lambda s, d: R.restore_cached(_firsts(s, d), P.previous(s, d)).select("id", "description"))
+
+
+def _urls(s, d):
+    x = _firsts(s, d).where("custkey % 5 < 2").select("reference", "custkey", "apply_url").distinct()
+    return x.select("reference", F.when(c("custkey") % 5 == 0, F.concat(F.lit("https://i.example/"), "reference")).otherwise(c("apply_url")).alias("href"))
+
+
+_add("j4_override_url", P.sql("SELECT id, CASE WHEN custkey % 5 = 0 THEN 'https://i.example/' || reference ELSE apply_url END AS apply_url, custkey % 5 = 0 AS url_changed FROM firsts"))(lambda s, d: R.override_urls(_firsts(s, d), _urls(s, d)).select("id", "apply_url", "url_changed"))
+_add("t3_invalidated_cache", P.sql("SELECT id FROM prev WHERE id NOT IN (SELECT id FROM firsts WHERE custkey % 5 = 0)"))(lambda s, d: R.invalidate(P.previous(s, d), R.override_urls(_firsts(s, d), _urls(s, d))).select("id"))
+_add("j5_zip_links", P.sql("SELECT a.university, a.ingest_seq, coalesce('pdf-' || b.k, 'list') AS apply_url FROM (SELECT *, row_number() OVER (PARTITION BY university ORDER BY ingest_seq) AS n FROM firsts) a LEFT JOIN (SELECT university, custkey AS k, row_number() OVER (PARTITION BY university ORDER BY custkey) AS m FROM firsts WHERE custkey % 2 = 0) b ON a.university = b.university AND a.n = b.m"))(
+    lambda s, d: R.zip_by_ordinal(_firsts(s, d).drop("apply_url"), _firsts(s, d).where("custkey % 2 = 0").select("university", "custkey", F.concat(F.lit("pdf-"), c("custkey").cast("string")).alias("href")), ["university"], ["ingest_seq"], "custkey", F.lit("list")).select("university", "ingest_seq", "apply_url")
+)
+_add("j6_details", P.sql("SELECT id, CASE WHEN custkey % 2 = 0 THEN 'Detail of ' || reference ELSE description END AS description FROM firsts"))(
+    lambda s, d: R.join_details(_firsts(s, d), _firsts(s, d).where("custkey % 2 = 0").select(c("apply_url").alias("url"), F.concat(F.lit("Detail of "), "reference").alias("body_text")).distinct(), c("body_text")).select("id", "description")
+)
+_add("j7_pending", P.sql(f"SELECT id FROM kept WHERE id NOT IN (SELECT id FROM prev WHERE {_GOOD})"))(lambda s, d: R.pending(_firsts(s, d), P.previous(s, d), P.as_of()).select("id"))
+_add("j8_saved", P.sql("SELECT id FROM snap WHERE id IN (SELECT id FROM prev WHERE date_added >= DATE '%s' - 7)" % P.AS_OF))(lambda s, d: V.saved(P.snapshot(s, d), P.previous(s, d).where(c("date_added") >= F.date_sub(P.as_of(), 7))).select("id"))
+_add("d1_desc_action", P.sql("SELECT id, desc_action FROM snap"))(lambda s, d: P.snapshot(s, d).select("id", "desc_action"))
+_add("g1_summarise", P.sql("SELECT id, CASE WHEN desc_action = 'summarise' THEN description[1:40] ELSE description END AS description FROM snap"))(lambda s, d: R.summarise(P.snapshot(s, d).select("id", "title", "department", "desc_action", "description"), lambda t, *_: t[:40]).select("id", "description"))
+_add("t2_expired", P.sql(f"SELECT id FROM firsts WHERE dd < {_DAY} - 14"))(lambda s, d: _firsts(s, d).where(~T.is_retained(c("deadline"), P.as_of())).select("id"))
+_add("o1_union", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')")(lambda s, d: R.union_sources([_t(s, d, "orders").where(c("o_orderstatus") == x).select("o_orderkey", "o_orderstatus") for x in "FO"]))
+_add("o3_distinct_union", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O')")(lambda s, d: R.keep_first(R.union_sources([_t(s, d, "orders").where(c("o_orderstatus") == x).select("o_custkey") for x in "FO"]), ["o_custkey"], ["o_custkey"]))
+_add("o4_difference", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")(lambda s, d: _t(s, d, "orders").where("o_orderstatus = 'F'").select("o_custkey").distinct().join(_t(s, d, "orders").where("o_orderstatus = 'O'").select("o_custkey"), "o_custkey", "left_anti"))
+
+# --- View -------------------------------------------------------------------------------
+from pyspark.sql import Window  # noqa: E402
+
+_BADGE = f"coalesce(date_added BETWEEN {_DAY} - 1 AND {_DAY}, false)"
+_add("v1_smart_sort", P.sql(f"SELECT id, university, row_number() OVER (PARTITION BY university ORDER BY {_BADGE} DESC, date_added DESC, id) AS n FROM snap"))(lambda s, d: P.snapshot(s, d).select("id", "university", F.row_number().over(Window.partitionBy("university").orderBy(*V.smart_order(P.as_of()))).cast("bigint").alias("n")))
+_add("v2_deadline_sort", P.sql("SELECT id, university, row_number() OVER (PARTITION BY university ORDER BY dd ASC NULLS LAST, id) AS n FROM snap"))(lambda s, d: P.snapshot(s, d).select("id", "university", F.row_number().over(Window.partitionBy("university").orderBy(*V.deadline_order())).cast("bigint").alias("n")))
+_add("v3_search", P.sql("SELECT id FROM snap WHERE lower(title || ' ' || department || ' ' || university_full || ' ' || description) LIKE '%physics%'"))(lambda s, d: V.search(P.snapshot(s, d), "Physics").select("id"))
+_add("v4_filters", P.sql("SELECT id FROM snap WHERE university = 'HKU' AND rank = 'Professor'"))(lambda s, d: V.view(P.snapshot(s, d), P.as_of(), university="HKU", ranks=["Professor"], sort="none").select("id"))
+_add("v4_departments", P.sql("SELECT DISTINCT department FROM snap WHERE university = 'HKU'"))(lambda s, d: V.departments(P.snapshot(s, d), "HKU"))
+_LOW = "lower(title || ' ' || department)"
+_add("v5_area", P.sql("SELECT id, CASE %s ELSE 'Other' END AS area FROM snap" % " ".join("WHEN %s THEN '%s'" % (" OR ".join(f"{_LOW} LIKE '%{w}%'" for w in words), n) for n, words in V.AREAS)))(lambda s, d: P.snapshot(s, d).select("id", V.area(c("title"), c("department")).alias("area")))
+_add("v6_department_chips", P.sql("SELECT id FROM snap WHERE department IN ('University of Hong Kong', 'Lingnan University')"))(lambda s, d: V.view(P.snapshot(s, d), P.as_of(), department=["University of Hong Kong", "Lingnan University"], sort="none").select("id"))
+_add("v7_new_badge", P.sql(f"SELECT id, {_BADGE} AS badge FROM snap"))(lambda s, d: P.snapshot(s, d).select("id", V.is_badge(c("date_added"), P.as_of()).alias("badge")))
+_add("v8_deadline_status", P.sql(f"SELECT id, CASE WHEN dd IS NULL THEN 'none' WHEN dd < {_DAY} THEN 'closed' WHEN dd <= {_DAY} + 3 THEN 'urgent' WHEN dd <= {_DAY} + 7 THEN 'soon' ELSE 'ok' END AS status FROM snap"))(lambda s, d: P.snapshot(s, d).select("id", V.deadline_status(c("deadline"), P.as_of()).alias("status")))
+_add("v9_count", P.sql("SELECT count(*) AS n FROM snap WHERE rank = 'Lecturer'"))(lambda s, d: V.view(P.snapshot(s, d), P.as_of(), ranks=["Lecturer"], sort="none").agg(F.count("*").alias("n")))
+_add("v10_saved_view", P.sql("SELECT id FROM snap WHERE id IN (SELECT id FROM prev) AND rank = 'Professor'"))(lambda s, d: V.view(P.snapshot(s, d), P.as_of(), ranks=["Professor"], saved_ids=P.previous(s, d), sort="none").select("id"))
+_add("v11_detail", P.sql("SELECT id, 'Apply on ' || university AS apply_label FROM snap WHERE id = (SELECT min(id) FROM snap)"))(lambda s, d: (lambda x: V.detail(x, x.agg(F.min("id")).first()[0]).select("id", "apply_label"))(P.snapshot(s, d)))
+_add("v12_stat_header", P.sql(f"SELECT university, count(*) FILTER (date_added = {_DAY}) AS new_today FROM snap GROUP BY ALL"))(lambda s, d: P.snapshot(s, d).groupBy("university").agg(F.count_if(c("date_added") == P.as_of()).alias("new_today")))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
