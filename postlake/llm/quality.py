@@ -45,15 +45,13 @@ def measured(docs: DataFrame, text_col: str = "text", repeats: bool = True) -> D
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACE, "") != "")
     out = docs.withColumns({f"{_M}words": _words(text), f"{_M}lines": lines})
-    out = out.withColumns(
-        {
-            f"{_M}n_words": F.size(f"{_M}words").cast("long"),
-            f"{_M}word_chars": F.length(F.translate(text, _SPACE, "")).cast("long"),
-            f"{_M}n_symbols": (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long"),
-            f"{_M}n_lines": F.size(f"{_M}lines").cast("long"),
-            f"{_M}n_dup_lines": (F.size(f"{_M}lines") - F.size(F.array_distinct(f"{_M}lines"))).cast("long"),
-        }
-    )
+    counts = {
+        "n_words": F.size(f"{_M}words"),
+        "word_chars": F.length(F.translate(text, _SPACE, "")),
+        "n_symbols": F.length(text) - F.length(F.translate(text, _SYMBOLS, "")),
+        "n_lines": F.size(f"{_M}lines"),
+        "n_dup_lines": F.size(f"{_M}lines") - F.size(F.array_distinct(f"{_M}lines")),
+    }
     if repeats:
         s = F.col(f"{_M}windows")
         out = out.withColumn(f"{_M}windows", _repeated(F.col(f"{_M}words")))
@@ -61,8 +59,11 @@ def measured(docs: DataFrame, text_col: str = "text", repeats: bool = True) -> D
         out = out.withColumn(f"{_M}places", F.sort_array(F.transform(F.filter(s, lambda x, i: F.coalesce(same(x, i), (x["h"] == F.get(s, i + 1)["h"]), (x["h"] == F.get(s, i - 1)["h"]), F.lit(False))), lambda x: x["i"])))
         p = F.col(f"{_M}places")
         gaps = F.transform(p, lambda x, i: F.least(F.lit(3), x - F.coalesce(F.get(p, i - 1), x - 3)))
-        out = out.withColumn(f"{_M}n_repeat_words", F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long")).drop(f"{_M}windows", f"{_M}places")
-    return out.drop(f"{_M}words", f"{_M}lines")
+        counts["n_repeat_words"] = F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
+    # One generated row holds the counts: conditions on them are read from it and cannot be
+    # pushed below, where each would work out the arrays again, once for every element.
+    one = F.explode(F.array(F.struct(*(v.cast("long").alias(k) for k, v in counts.items())))).alias(f"{_M}counts")
+    return out.select(*docs.columns, one).select(*docs.columns, *(F.col(f"{_M}counts.{k}").alias(_M + k) for k in counts))
 
 
 def _bins() -> dict[str, Column]:
