@@ -3,7 +3,7 @@
 The default tokenizer drops white space and lower-cases before it merges, so the ids of a
 text are those of its space- and newline-separated pieces in order. Pieces recur; each
 worker keeps the ids of a bounded number of them, and starts that memory anew when it is
-full. A piece of Latin letters, with marks after it or not, is merged here by the
+full, taking over what is met again. A piece of Latin letters, with marks after it or not, is merged here by the
 vocabulary's own merge table; the tokenizers library encodes any other piece. A tokenizer
 of another build encodes whole texts.
 """
@@ -16,7 +16,7 @@ from array import array
 
 import numpy as np
 
-#: Pieces kept by a worker, and the longest that is kept.
+#: Pieces kept by a worker in each of two generations, and the longest that is kept.
 KEPT, KEPT_CHARS = 1 << 19, 48
 #: What a tokenizer must be made of for its texts to be encoded a piece at a time (fixed values).
 _STEPS = ["NFC", "Replace", "Lowercase"]
@@ -45,6 +45,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -80,19 +81,23 @@ class Encoder(dict):
         return array("I", ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.plain(piece) if len(piece) <= KEPT_CHARS else None
-        if not found:
-            ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        elif found[2]:
-            ids = self[found[1]] + self[found[2]]
-        else:
-            ids = self._merged(piece)
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self._encoded(piece)
         if len(piece) <= KEPT_CHARS:
             if len(self) >= self.kept:
+                # Pieces in use are taken over from the full generation as they are met again.
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    def _encoded(self, piece: str) -> bytes:
+        found = self.plain(piece) if len(piece) <= KEPT_CHARS else None
+        if not found:
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        return self[found[1]] + self[found[2]] if found[2] else self._merged(piece)
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit bytes; none for null."""
         if not text:
