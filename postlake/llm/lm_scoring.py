@@ -29,7 +29,7 @@ FREQUENT, ENDINGS, SLOTS = 64, 64, 1024
 #: Words on each side, hidden units, words of a step, and the step's size.
 SIDE, HIDDEN, BATCH, RATE = 2, 24, 4096, 0.01
 #: Words that are scored together, and word forms that a worker keeps.
-CHUNK, KEPT = 1 << 15, 1 << 19
+CHUNK, KEPT = 1 << 11, 1 << 19
 _WINDOW = [j for j in range(-SIDE, SIDE + 1) if j]
 
 
@@ -50,7 +50,8 @@ _forms = Forms()
 
 def buckets(text: str | None) -> np.ndarray:
     """The buckets of a whole text's words, in order."""
-    return np.array(list(map(_forms.__getitem__, ascii_words(text))), np.int64)
+    words = ascii_words(text)
+    return np.fromiter(map(_forms.__getitem__, words), np.int64, len(words))
 
 
 @dataclass
@@ -100,23 +101,30 @@ class Network:
         return self
 
     def forward(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden units, and log-probabilities of the classes, for rows of neighbours' classes."""
-        h = self.bias + self.inputs[0][window[:, 0]]
+        """Hidden units, and scores of the classes with the largest at 0, for rows of neighbours' classes."""
+        h = np.take(self.inputs[0], window[:, 0], axis=0)
         for j in range(1, len(_WINDOW)):
-            h += self.inputs[j][window[:, j]]
+            h += np.take(self.inputs[j], window[:, j], axis=0)
+        h += self.bias
         np.tanh(h, out=h)
         z = h @ self.out
         z += self.out_bias
         z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
         return h, z
 
+    def log_probability(self, window: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of the targets' classes; a row's other classes are only summed."""
+        z = self.forward(window)[1]
+        own = z[np.arange(len(z)), target]
+        np.exp(z, out=z)
+        return own - np.log(z @ np.ones(z.shape[1], np.float32))
+
     def gradients(self, window: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         """Of the mean cross-entropy, in the order of arrays()."""
-        h, z = self.forward(window)
-        d = np.exp(z)
-        d[np.arange(len(d)), target] -= 1
-        d /= len(d)
+        h, d = self.forward(window)
+        np.exp(d, out=d)
+        d *= 1 / (len(d) * (d @ np.ones(d.shape[1], np.float32)))[:, None]
+        d[np.arange(len(d)), target] -= np.float32(1 / len(d))
         back = (d @ self.out.T) * (1 - h * h)
         inputs, units = np.empty_like(self.inputs), np.arange(HIDDEN)
         for j in range(len(_WINDOW)):
@@ -154,8 +162,7 @@ def bucket_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ENDINGS * SLOTS, np.int64)
         for b in batches:
-            for t in b.column(0):
-                np.add.at(total, buckets(t.as_py()), 1)
+            total += np.bincount(np.concatenate([buckets(t.as_py()) for t in b.column(0)] or [np.zeros(0, np.int64)]), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
 
@@ -212,8 +219,7 @@ def log_likelihood(text: str | None, vocab: Vocabulary, network: Network) -> tup
     c = vocab.class_of[b]
     w, total = windows(c, vocab.classes), float(vocab.log_share[b].sum())
     for i in range(0, len(c), CHUNK):
-        z = network.forward(w[i : i + CHUNK])[1]
-        total += float(z[np.arange(len(z)), c[i : i + CHUNK]].sum(dtype=np.float64))
+        total += float(network.log_probability(w[i : i + CHUNK], c[i : i + CHUNK]).sum(dtype=np.float64))
     return len(b), total
 
 
@@ -242,7 +248,7 @@ def _together(texts: list[np.ndarray], vocab: Vocabulary, network: Network) -> l
     i = 0
     while i < len(texts):
         j, words = i, 0
-        while j < len(texts) and (j == i or words + len(texts[j]) <= CHUNK):
+        while j < len(texts) and (j == i or words + len(texts[j]) <= 16 * CHUNK):
             words += len(texts[j])
             j += 1
         some = [x for x in texts[i:j] if len(x)]
@@ -252,8 +258,7 @@ def _together(texts: list[np.ndarray], vocab: Vocabulary, network: Network) -> l
             w = np.concatenate([windows(vocab.class_of[x], vocab.classes) for x in some])
             p = vocab.log_share[b]
             for k in range(0, len(b), CHUNK):
-                z = network.forward(w[k : k + CHUNK])[1]
-                p[k : k + CHUNK] += z[np.arange(len(z)), c[k : k + CHUNK]]
+                p[k : k + CHUNK] += network.log_probability(w[k : k + CHUNK], c[k : k + CHUNK])
             owner = np.repeat(np.arange(i, j), [len(x) for x in texts[i:j]])
             out += np.bincount(owner, weights=p, minlength=len(texts))
         i = j
