@@ -40,10 +40,9 @@ def plan(totals: DataFrame, budget: int | None = None, entropy: float | None = N
     source is read more than `repetition` times, or, with no budget, than `repetition`
     times as often as another. A source without tokens has weight 0 and one epoch.
     """
-    live = totals.where("tokens > 0")
-    one = live.agg(F.collect_list(F.col("tokens").cast("double")).alias("t"))
-    total = F.aggregate("t", F.lit(0.0), lambda a, x: a + x)
-    one = one.withColumn("total", total).withColumn("p", F.transform("t", lambda x: x / F.col("total")))
+    one = totals.agg(F.collect_list(F.struct("source", "tokens")).alias("rows"))
+    one = one.withColumn("t", F.transform(F.filter("rows", lambda r: r["tokens"] > 0), lambda r: r["tokens"].cast("double")))
+    one = one.withColumn("total", F.aggregate("t", F.lit(0.0), lambda a, x: a + x)).withColumn("p", F.transform("t", lambda x: x / F.col("total")))
 
     def powers(a: Column, b: float = 0.0) -> Column:
         return F.transform("p", lambda x: F.pow(x, a + F.lit(b)))
@@ -67,8 +66,8 @@ def plan(totals: DataFrame, budget: int | None = None, entropy: float | None = N
     ends = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve)
     one = one.withColumn("alpha", F.when(too_flat(F.lit(0.0)), ends["hi"]).otherwise(F.lit(0.0)))
     size = F.lit(float(budget)) if budget is not None else F.col("total") * F.col("z") * F.array_max(F.transform("p", lambda x: F.pow(x, 1 - F.col("alpha"))))
-    one = one.withColumn("z", sum_of(powers(F.col("alpha")))).withColumn("size", size).select("alpha", "total", "z", "size")
-    out = totals.join(F.broadcast(one))  # one row
+    one = one.withColumn("z", sum_of(powers(F.col("alpha")))).withColumn("size", size)
+    out = one.select(F.explode("rows").alias("r"), "alpha", "total", "z", "size").select("r.*", "alpha", "total", "z", "size")
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("total"), F.col("alpha")) / F.col("z")).otherwise(F.lit(0.0))
     out = out.withColumn("weight", weight)
     epochs = F.when(F.col("tokens") > 0, F.col("weight") * F.col("size") / F.col("tokens")).otherwise(F.lit(1.0))

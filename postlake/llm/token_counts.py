@@ -66,12 +66,11 @@ def token_counts(docs: DataFrame, text_col: str = "text", tokenizer: str | None
 
 def truncated_totals(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
     """context_limit, truncated_total: any limits, answered from the suffix sums alone."""
-    asked = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit bigint")
-    beyond = sums.where("docs_at_least > 0")
     # The first length at or over the limit has all documents that the limit cuts.
-    found = asked.join(F.broadcast(beyond.agg(F.max("total_tokens").alias("total"))))
-    first = found.join(beyond, F.col("length") >= F.col("context_limit"), "left").groupBy("context_limit", "total").agg(F.min_by(F.struct("docs_at_least", "tokens_at_least"), "length").alias("s"))
-    return first.select("context_limit", F.coalesce(F.col("total") - F.col("s.tokens_at_least") + F.col("context_limit") * F.col("s.docs_at_least"), F.col("total"), F.lit(0)).alias("truncated_total"))
+    first = [F.min_by(F.struct("docs_at_least", "tokens_at_least"), F.when(F.col("length") >= int(k), F.col("length"))).alias(f"s{i}") for i, k in enumerate(limits)]
+    one = sums.agg(F.max("total_tokens").alias("total"), *first)
+    answer = lambda i, k: F.coalesce(F.col("total") - F.col(f"s{i}.tokens_at_least") + k * F.col(f"s{i}.docs_at_least"), F.col("total"), F.lit(0))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(int(k)).cast("long").alias("context_limit"), answer(i, int(k)).alias("truncated_total")) for i, k in enumerate(limits)))).alias("x")).select("x.*")
 
 
 def length_quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:

@@ -119,7 +119,7 @@ def test_similar_groups(spark):
 def test_similar_large_probe(spark):
     r = random.Random(6)
     text = " ".join(f"w{r.randrange(4000)}" for _ in range(200))
-    docs = [(i, edited(r, text, 0 if i == 17 else r.randint(1, 3)), "en", "a", *documents(1)[0][4:]) for i in range(120)] + [(None, text, "en", "a", *documents(1)[0][4:])]
+    docs = [(i, edited(r, text, 0 if i == 17 else r.randint(1, 3)), "en", "a", *documents(6)[0][4:]) for i in range(120)] + [(None, text, "en", "a", *documents(6)[0][4:])]
     got = S.similar_groups(frame(spark, docs), paired=8).collect()
     assert {r.component for r in got} == {0} and len(got) == 120
     assert S.first_of_groups(frame(spark, docs)).count() == 2  # the row without an id stays
