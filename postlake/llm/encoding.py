@@ -3,8 +3,8 @@
 The default tokenizer drops white space and lower-cases before it merges, so the ids of a
 text are those of its space- and newline-separated pieces in order. Pieces recur; each
 worker keeps the ids of a bounded number of them, and starts that memory anew when it is
-full, taking over what is met again. A piece of Latin letters, with marks after it or not, is merged here by the
-vocabulary's own merge table; the tokenizers library encodes any other piece. A tokenizer
+full, taking over what is met again. A word of Latin letters goes straight to the
+tokenizer's model, any other piece through the whole tokenizer. A tokenizer
 of another build encodes whole texts.
 """
 
@@ -17,11 +17,10 @@ from array import array
 import numpy as np
 
 #: Pieces kept by a worker in each of two generations, and the longest that is kept.
-KEPT, KEPT_CHARS = 1 << 19, 48
+KEPT, KEPT_CHARS = 1 << 18, 48
 #: What a tokenizer must be made of for its texts to be encoded a piece at a time (fixed values).
 _STEPS = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_NEVER = 1 << 40
 
 
 def default_tokenizer() -> str:
@@ -57,29 +56,11 @@ class Encoder(dict):
             and parts[0].get("pattern") == {"Regex": _SPLIT} and parts[1]["type"] == "ByteLevel"
         )
         if self.by_piece:
-            vocab, symbols = model["vocab"], _byte_symbols()
-            self.inner, self.final = [vocab[s] for s in symbols], [vocab[f"{s}</w>"] for s in symbols]
-            pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-            self.rank = {vocab[a] << 20 | vocab[b]: r for r, (a, b) in enumerate(pairs)}
-            self.made = [vocab[a + b] for a, b in pairs]
+            symbols = _byte_symbols()
+            self.spelled = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+            self.merge = self.tokenizer.model.tokenize
             self.plain = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|()\-]*)").fullmatch
 
-    def _merged(self, word: str) -> bytes:
-        """Joins, again and again, the leftmost of the neighbours that rank first."""
-        data, rank, made = word.lower().encode(), self.rank.get, self.made
-        ids = [self.inner[b] for b in data]
-        ids[-1] = self.final[data[-1]]
-        ranks = [rank(a << 20 | b, _NEVER) for a, b in zip(ids, ids[1:])]
-        while ranks and (r := min(ranks)) != _NEVER:
-            i = ranks.index(r)
-            ids[i : i + 2] = [made[r]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(ids[i - 1] << 20 | ids[i], _NEVER)
-            if i < len(ranks):
-                ranks[i] = rank(ids[i] << 20 | ids[i + 1], _NEVER)
-        return array("I", ids).tobytes()
-
     def __missing__(self, piece: str) -> bytes:
         ids = self.before.get(piece)
         if ids is None:
@@ -96,7 +77,10 @@ class Encoder(dict):
         found = self.plain(piece) if len(piece) <= KEPT_CHARS else None
         if not found:
             return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        return self[found[1]] + self[found[2]] if found[2] else self._merged(piece)
+        if found[2]:
+            return self[found[1]] + self[found[2]]
+        # Letters alone need no normalising or splitting: the model merges their byte symbols.
+        return array("I", [t.id for t in self.merge(piece.lower().translate(self.spelled))]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit bytes; none for null."""
