@@ -10,21 +10,21 @@ from postlake.llm.encoding import default_tokenizer, encoder
 
 def test_stages_like_their_operators(spark, tmp_path):
     docs, labels = corpus(200)
-    docs += [(5000 + i, d[1], *d[2:]) for i, d in enumerate(docs[:20])] + documents(60)
+    docs += [(5000 + i, d[1], *d[2:]) for i, d in enumerate(docs[:20])] + [(None if d[0] is None else d[0] + 10_000, *d[1:]) for d in documents(60)]
     frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "mixing", "packing"] and corpus_pipeline.ORACLE_SQL is None
     df = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert len(SCHEMA.split(",")) == len(df.columns)
     left = toxicity.clean_documents(df, toxicity.fit(df, spark.read.parquet(str(tmp_path / "labels.parquet"))))
-    left = quality.good_documents(left).toPandas()
-    left = spark.createDataFrame(left.astype(object).where(left.notna(), None), df.schema)
+    quality.good_documents(left).write.parquet(str(tmp_path / "good"))
+    left = spark.read.parquet(str(tmp_path / "good"))
     left = mixing.mixed_documents(simhash.first_of_groups(left)).toPandas()
     pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     coder = encoder(default_tokenizer())
-    want = Counter((d, len(coder.encode(t)) // 4 + 1) for d, t in zip(left["doc_id"], left["text"]))
+    want = Counter((d, len(coder.encode(t)) // 4 + 1) for d, t in zip(left["doc_id"].fillna(-1), left["text"]))
     starts = pieces[pieces["start"] == 0]
-    assert Counter(zip(starts["doc_id"], starts["doc_tokens"])) == want
+    assert Counter(zip(starts["doc_id"].fillna(-1), starts["doc_tokens"])) == want
     kept = set(left["doc_id"])
     toxic = {d for d, _, t in labels if t}
     assert not kept & toxic and len(kept & {d for d, _, t in labels if not t}) > 100 and not kept & set(range(5000, 5020))
