@@ -242,8 +242,6 @@ SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 PROBED, LEADERS = 16, 16
 #: Shares in which a large probe looks for its leaders, one each.
 SALTS = 64
-#: Differing bits of whole fingerprints beyond which a candidate is not compared; at similarity 0.8, 10 are usual.
-COARSE = 24
 #: Rows of ids up to which they are sent to every task; beyond, they are joined by shuffling.
 MAX_SENT = 500_000
 
@@ -287,7 +285,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
 
 
 def _candidates(nodes: DataFrame, similarity: float, paired: int) -> DataFrame:
-    """u, v: distinct nodes that share a part, near enough in length and fingerprint."""
+    """u, v: distinct nodes that share a part, near enough in length."""
     keys = nodes.select("node", "fp", "n", F.explode("keys").alias("x"))
     shared = keys.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
     met = cut(keys.join(shared, "x"))
@@ -302,7 +300,7 @@ def _candidates(nodes: DataFrame, similarity: float, paired: int) -> DataFrame:
     side = lambda df, s: df.select("x", *(F.col(c).alias(c + s) for c in ("node", "fp", "n")))
     pairs = side(cold, "_u").join(side(cold, "_v"), "x").where("node_u < node_v").union(side(leaders, "_u").join(side(hot, "_v"), "x").where("node_u <> node_v"))
     least, most = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
-    near = pairs.where((least >= similarity * most) & (F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) <= COARSE))
+    near = pairs.where((least >= similarity * most))
     return near.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
 
 

@@ -124,3 +124,19 @@ def test_similar_large_probe(spark):
     assert {r.component for r in got} == {0} and len(got) == 120
     assert S.first_of_groups(frame(spark, docs)).count() == 2  # the row without an id stays
     assert S.first_of_groups(frame(spark).limit(0)).count() == 0
+
+
+def groups_of(spark, texts, paired=S.PAIRED):
+    docs = [(i, t, "en", "a", *documents(6)[0][4:]) for i, t in enumerate(texts)]
+    return {r.doc_id: r.component for r in S.similar_groups(frame(spark, docs), paired=paired).collect()}
+
+
+def test_similar_with_a_repeated_phrase(spark):
+    r = random.Random(7)
+    texts = []
+    for _ in range(12):
+        text = " ".join(f"w{r.randrange(10**6)}" for _ in range(1000))
+        cycle = " ".join(f"c{r.randrange(10**6)}" for _ in range(9))
+        texts += [text, text + (" " + cycle) * 120]
+    got = groups_of(spark, texts)
+    assert got == {i: i // 2 * 2 for i in range(24)}
