@@ -238,10 +238,12 @@ def components_of_documents(docs: DataFrame) -> DataFrame:
 
 #: Words to a shingle and the Jaccard similarity from which documents are near-duplicates.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Parts probed of each document (threshold 0; the others have -1), and members compared with all of a large probe.
-PROBED, LEADERS = 16, 16
-#: Shares in which a large probe looks for its leaders, one each.
-SALTS = 64
+#: Parts probed of each document (threshold 0; the others have -1).
+PROBED = 16
+#: Longs of a set's parity sketch.
+SKETCH = 8
+#: Members of a block of a large probe, least and most, and shingles that a block has about.
+FEWEST, MOST, CELLS = 64, 4096, 1 << 22
 #: Rows of ids up to which they are sent to every task; beyond, they are joined by shuffling.
 MAX_SENT = 500_000
 
@@ -267,41 +269,123 @@ def part_keys(distinct: np.ndarray, similarity: float = SIMILARITY) -> list[int]
     return out
 
 
+def parities(values: np.ndarray, bits: int) -> np.ndarray:
+    """For each of `bits` slots (a power of two), whether an odd number of the values falls there, as longs.
+
+    Two sets' sketches differ in no more bits than the sets have values apart.
+    """
+    odd = np.bincount((values & np.asarray(bits - 1, values.dtype)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def _profile(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """id, node (digest of the shingle set), fp, n, keys of every row."""
+    """id, node (digest of the shingle set), sketch, n, keys of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for t in b.column(1):
-                h = shingle_hashes(t.as_py(), size)
-                d = np.unique(h)
-                rows.append((_signed(xxhash.xxh64_intdigest(d.tobytes(), SEED)), _signed(majority(h)), len(d), part_keys(d, similarity)))
+                d = np.unique(shingle_hashes(t.as_py(), size))
+                rows.append((_signed(xxhash.xxh64_intdigest(d.tobytes(), SEED)), parities(d >> np.uint64(32), 64 * SKETCH).view("<i8").tolist(), len(d), part_keys(d, similarity)))
             cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))))], ["id", "node", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), longs, pa.int64(), longs)))], ["id", "node", "sketch", "n", "keys"])
 
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"id {kind}, node bigint, fp bigint, n bigint, keys array<bigint>")
+    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"id {kind}, node bigint, sketch array<bigint>, n bigint, keys array<bigint>")
 
 
-def _candidates(nodes: DataFrame, similarity: float, paired: int) -> DataFrame:
-    """u, v: distinct nodes that share a part, near enough in length."""
-    keys = nodes.select("node", "fp", "n", F.explode("keys").alias("x"))
+def _met(nodes: DataFrame) -> DataFrame:
+    """x, node, sketch, n, c: nodes at each probe that c > 1 of them share."""
+    keys = nodes.select("node", "sketch", "n", F.explode("keys").alias("x"))
     shared = keys.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
-    met = cut(keys.join(shared, "x"))
-    # Members of large probes: those in most of them stand nearest the middle and lead.
-    heat = met.where(F.col("c") > paired).groupBy("node").agg(F.sum("c").alias("heat"))
-    hot = met.where(F.col("c") > paired).join(heat, "node")
-    mine = F.struct("heat", "node", "fp", "n")
-    salted = hot.groupBy("x", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")).agg(F.max(mine).alias("t"))
-    tops = salted.groupBy("x").agg(F.slice(F.sort_array(F.collect_list("t"), asc=False), 1, LEADERS).alias("t"))  # SALTS rows at most
-    leaders = tops.select("x", F.explode("t").alias("t")).select("x", F.col("t.node").alias("node"), F.col("t.fp").alias("fp"), F.col("t.n").alias("n"))
-    cold = met.where(F.col("c") <= paired)
-    side = lambda df, s: df.select("x", *(F.col(c).alias(c + s) for c in ("node", "fp", "n")))
-    pairs = side(cold, "_u").join(side(cold, "_v"), "x").where("node_u < node_v").union(side(leaders, "_u").join(side(hot, "_v"), "x").where("node_u <> node_v"))
-    least, most = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
-    near = pairs.where((least >= similarity * most))
-    return near.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
+    return keys.join(shared, "x")
+
+
+def _candidates(cold: DataFrame, similarity: float) -> DataFrame:
+    """u, v: distinct nodes that share a probe, but those whose lengths or sketches show that they are less similar.
+
+    Sets of similarity s are (1 - s) / (1 + s) of both their lengths apart at most.
+    """
+    side = lambda s: cold.select("x", *(F.col(c).alias(c + s) for c in ("node", "sketch", "n")))
+    apart = sum((F.bit_count(F.col("sketch_u")[k].bitwiseXOR(F.col("sketch_v")[k])) for k in range(SKETCH)), F.lit(0))
+    pairs = side("_u").join(side("_v"), "x").where("node_u < node_v")
+    near = pairs.where((F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")) & (apart * (1 + similarity) <= (1 - similarity) * (F.col("n_u") + F.col("n_v")) + 1e-6))
+    return near.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+
+
+def _alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both >= similarity * (len(p) + len(q) - both)
+
+
+def block_links(sets: list[np.ndarray], left: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of similar sets that join all that are joined by any pair: of all sets if left is 0, else of the first `left` with the others.
+
+    Every pair is compared by parity sketches as wide as the sets need and, unless these
+    show that it is not similar or links have joined it before, by the sets.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    bits = 64 * SKETCH
+    while bits < 2 * n.max(initial=0):
+        bits *= 2
+    sketch = np.array([parities(x, bits) for x in sets])
+    group, out = np.arange(len(sets)), []
+    for i in range(left or len(sets)):
+        first = left or i + 1
+        at = first + np.flatnonzero(group[first:] != group[i])
+        least, most = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
+        at = at[least >= similarity * most]
+        apart = np.zeros(len(at), np.int64)
+        for k in range(0, len(at), 1024):
+            apart[k : k + 1024] = np.bitwise_count(sketch[at[k : k + 1024]] ^ sketch[i]).sum(1, dtype=np.int64)
+        for j in at[apart * (1 + similarity) <= (1 - similarity) * (n[at] + n[i]) + 1e-6].tolist():
+            if group[j] != group[i] and _alike(sets[i], sets[j], similarity):
+                group[group == group[j]] = group[i]
+                out.append((i, j))
+    return out
+
+
+def _hot_links(hot: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links among the nodes (x, node, n) of large probes, which join all that any pair's similarity joins.
+
+    Members of a probe are dealt into classes of length, of which only the same and the
+    next can be similar, and these into blocks by a hash of the node. Each pair of blocks
+    is one group, which two blocks bound.
+    """
+    width = math.log(1 / similarity) * (1 + 1e-9) + 1e-9
+    hot = hot.withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / width))
+    room = F.greatest(F.lit(FEWEST), F.least(F.lit(MOST), F.floor(F.lit(CELLS) / F.max("n"))))
+    sizes = cut(hot.groupBy("x", "kind").agg(F.ceil(F.count("*") / room).cast("int").alias("blocks")))
+    beside = lambda by, name: sizes.select("x", (F.col("kind") + by).alias("kind"), F.col("blocks").alias(name))
+    rows = hot.select("x", "node", "kind").join(sizes.join(beside(1, "under"), ["x", "kind"], "left").join(beside(-1, "over"), ["x", "kind"], "left"), ["x", "kind"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def meet(lo, hi, side: int, kind, step: int):
+        """The pairs of blocks of a member: the left block's place, the right one's, and the classes."""
+        other = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+        a, b = (lambda k: F.col("own"), lambda k: k) if side == 0 else (lambda k: k, lambda k: F.col("own"))
+        return F.transform(other, lambda k: F.struct(kind.alias("a_kind"), F.lit(step).alias("step"), a(k).alias("a"), b(k).alias("b"), F.lit(side).alias("side")))
+
+    none = F.lit(0)
+    turns = F.concat(
+        meet(F.col("own"), F.col("blocks") - 1, 0, F.col("kind"), 0),
+        meet(none, F.col("own") - 1, 1, F.col("kind"), 0),
+        meet(none, F.coalesce("over", none) - 1, 0, F.col("kind"), 1),
+        meet(none, F.coalesce("under", none) - 1, 1, F.col("kind") - 1, 1),
+    )
+    rows = rows.join(members, "node").select("x", "node", "set", F.explode(turns).alias("t")).select("x", "t.*", "node", "set")
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("side", "ascending"), ("node", "ascending")])
+        side, node = block["side"].to_numpy(), block["node"].to_numpy()
+        # Only a block that meets itself has no right side of its own.
+        itself = not block["step"][0].as_py() and block["a"][0].as_py() == block["b"][0].as_py()
+        left = 0 if itself else int((side == 0).sum())
+        found = block_links([np.frombuffer(s.as_buffer(), "<u4") for s in block["set"]], left, similarity) if itself or 0 < left < len(side) else []
+        return pa.table({"u": pa.array([int(node[i]) for i, _ in found], pa.int64()), "v": pa.array([int(node[j]) for _, j in found], pa.int64())})
+
+    return rows.groupBy("x", "a_kind", "step", "a", "b").applyInArrow(run, "u bigint, v bigint")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -313,14 +397,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates share the fingerprint of a part; a link is verified by the Jaccard
     similarity of the whole shingle sets. Texts of one set, without words too, are one
-    node. Within a probe of more than `paired` members each is compared with LEADERS of
-    them, so that links between two others there can be missed.
+    node. Pairs of a probe of more than `paired` members are compared in blocks; none is
+    left out that links have not joined.
     """
     prof = cut(_profile(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, similarity))
-    nodes = prof.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = prof.groupBy("node").agg(F.min("id").alias("least"), F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = cut(nodes)
-    pairs = cut(_candidates(nodes, similarity, paired))
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    met = cut(_met(nodes))
+    hot = met.where(F.col("c") > paired).select("x", "node", "n")
+    pairs = cut(_candidates(met.where(F.col("c") <= paired), similarity))
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(hot.select("node")).distinct()
     wanted = cut(nodes.join(ends, "node", "left_semi").select("least"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(_small(wanted), F.col("id") == F.col("least"), "left_semi")
 
@@ -333,16 +419,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                p, q = (np.frombuffer(s.as_buffer(), "<u4") for s in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both))
+            keep = [_alike(*(np.frombuffer(s.as_buffer(), "<u4") for s in x), similarity) for x in zip(b.column(2), b.column(3))]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(members.select(F.col("node").alias("u"), F.col("set").alias("su")), "u")
     two = one.join(members.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v").select("u", "v", "su", "sv")
-    found = components(two.mapInArrow(verified, "u bigint, v bigint"))
+    found = components(two.mapInArrow(verified, "u bigint, v bigint").union(_hot_links(hot, members, similarity)))
     linked = nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = linked.groupBy("root").agg(F.min("least").alias("component"))
     return prof.select("id", "node").join(linked.join(names, "root").select("node", "component"), "node").select(F.col("id").alias(id_col), "component")

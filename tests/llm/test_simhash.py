@@ -140,3 +140,25 @@ def test_similar_with_a_repeated_phrase(spark):
         texts += [text, text + (" " + cycle) * 120]
     got = groups_of(spark, texts)
     assert got == {i: i // 2 * 2 for i in range(24)}
+
+
+@pytest.mark.parametrize("most", [4096, 40])
+def test_similar_group_without_a_centre(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "MOST", most)
+    monkeypatch.setattr(S, "FEWEST", 8)
+    r = random.Random(8)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(300))
+    texts = [edited(r, text, 5) + " more words" * (i % 2) for i in range(160)]
+    sets = [shingles(t) for t in texts]
+    want = classes(list(range(len(texts))), lambda a, b: similar(sets[a], sets[b]))
+    assert 1 < len(set(want.values())) < 150
+    assert groups_of(spark, texts) == want
+
+
+def test_parities_never_hide_a_pair():
+    r = np.random.default_rng(2)
+    for n in (3, 50, 3000):
+        a = np.unique(r.integers(0, 2**32, n, dtype=np.uint32))
+        b = np.unique(np.concatenate([a[n // 10 :], r.integers(0, 2**32, n // 10, dtype=np.uint32)]))
+        apart = np.bitwise_count(S.parities(a, 512) ^ S.parities(b, 512)).sum()
+        assert apart <= len(np.setxor1d(a, b))
