@@ -95,14 +95,14 @@ class BallTree:
                 continue
             at = self.order[self.lo[node] : self.hi[node]]
             scores = self.points[at] @ q
-            good = scores >= kth
+            good = (scores >= kth) & (ids[at] != own)
             if good.any():
                 got = ids[at[good]]
                 rows = pd.Series(-scores[good]).to_numpy()
                 if len(rows) > 4 * k:
-                    sel = np.lexsort((got, rows))[: k + 1]
+                    sel = np.lexsort((got, rows))[:k]
                     got, rows = got[sel], rows[sel]
-                best = sorted(best + [(s, int(i)) for s, i in zip(rows.tolist(), got.tolist()) if i != own])[:k]
+                best = sorted(best + [(s, int(i)) for s, i in zip(rows.tolist(), got.tolist())])[:k]
                 if len(best) == k:
                     kth = max(kth, -best[-1][0])
         return [(-int(s), i) for s, i in best]

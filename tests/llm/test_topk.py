@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from postlake.llm import topk as K
@@ -40,3 +41,12 @@ def test_floats_and_few(spark):
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     assert Counter(tuple(r) for r in K.top_k(df).collect()) == brute(rows)
     assert K.top_k(df.limit(0)).count() == 0
+
+
+def test_own_rows_beside_close_neighbours():
+    own, near = [(100, [10.0, 10.0])] * 20, [(i, [9.0, 9.0 - i % 3]) for i in range(1, 31)]
+    far = [(200 + i, [-5.0, float(-i)]) for i in range(200)]
+    rows = [*own, *near, *far]
+    tree = K.BallTree(np.array([v for _, v in rows]))
+    want = sorted(((sum(10 * x for x in v), i) for i, v in rows if i != 100), key=lambda x: (-x[0], x[1]))[:10]
+    assert tree.search(np.array([10.0, 10.0]), np.array([i for i, _ in rows]), 100, 10, -np.inf) == [(int(s), i) for s, i in want]
