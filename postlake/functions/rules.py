@@ -86,3 +86,26 @@ NOISE_LINES = ("n/a", "na", "reset", "search", "filter", "apply", "clear", "go",
 
 # Days after closing that a posting is kept, and lengths of descriptions.
 RETENTION_DAYS, GOOD_CACHED, LONGEST_SUMMARY, LEAST_TO_SUMMARISE, LONGEST, LINE = 14, 80, 800, 300, 3000, 60
+
+# Where links of each source start.
+BASES = {
+    "polyu": "https://jobs.polyu.edu.hk",
+    "lingnan": "https://lingnan.csod.com",
+    "hku": "https://jobs.hku.hk",
+    "hkust": "https://hrmsxprod.psft.ust.hk:8044/psp/hrmsxprod/EMPLOYEE/HRMS/c/HRS_HRAM.HRS_CE.GBL?Page=HRS_CE_JOB_DTL&Action=A&JobOpeningId={ref}&SiteId=1000&PostingSeq=1",
+    "cityu": "https://www.cityu.edu.hk",
+    "hkbu": "https://fa-ewqq-saasfaprod1.fa.ocs.oraclecloud.com/hcmUI/CandidateExperience/en/sites/hkbu/job",
+    "cuhk": "https://cuhk.taleo.net",
+    "hkmu": "https://hkmu.taleo.net",
+    "hksyu": "https://www.hksyu.edu",
+}
+
+# Patterns of a closing date on the detail pages of some sources, and the class of one's content.
+CLOSING = {"hkbu": r"[Cc]losing\s+[Dd]ate[:\s]+(\d{1,2}\s+\w+\s+\d{4})", "cuhk": r"[Cc]losing\s+[Dd]ate[:\s]+(\w+\s+\d{1,2},\s+\d{4})", "hsu": r"(?i)(?:on or before|by|before)\s+(\d{1,2}\s+\w+\s+202\d)"}
+CONTENT_CLASS = "ITS_Content_RichTextEditor"
+
+# Patterns of fields in texts and links, by source.
+AD_LABEL, AD_REF, AD_CLOSE = "Ad Date:", r"Ref:\s*(\d{6,})", r"Close Date[:\s]+([A-Za-z0-9 ]+)"
+JOB_LABEL, LABEL_LINE, JOB_STOP, JOB_CLOSE = r"Job ID: (\d+)", r"\(\d+\)$", r"^(Open Date|Apply by|\d{4}-\d{2})", r"Apply by: ([\d\-]+)"
+ACCORDION_CLOSE = r"Deadline\s*[\n\r]+\s*(\d{1,2}\s+\w+\s+202\d)"
+SHORT_NUMBER, LONG_NUMBER = r"^\d{5,8}$", r"^\d{7,10}$"

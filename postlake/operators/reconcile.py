@@ -10,18 +10,28 @@ from postlake.functions.text import contains_any, detect_rank, is_active, is_ret
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the order of arrival. A key's rows are compared as they come, nothing is gathered."""
-    return _keep(df, keys, order, F.min_by)
+    """The first row of each key in the order of arrival; null is a key like any other.
+
+    Tasks keep one row a key before they shuffle, so that a hot key costs a row a task;
+    only the columns that are read later go along. Rows that tie are equal in keys and
+    order, and any one of them stays.
+    """
+    return _keep(df, keys, [F.asc(c) for c in order])
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return _keep(df, keys, order, F.max_by)
+    """The last row of each key, in the same way."""
+    return _keep(df, keys, [F.desc(c) for c in order])
+
+
+def _keep(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__n", rank).where("__n = 1").drop("__n")
 
 
-def _keep(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
-    """One aggregation: tasks keep one row a key before they shuffle, so that a hot key costs a row a task."""
-    whole = F.struct(*df.columns)
-    return df.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(pick(whole, F.struct(*order)).alias("r")).select("r.*")
+def unique(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One value for each key that is not null, the largest: a side that is joined must not multiply rows."""
+    return keep_last(df.select(key, value).where(F.col(key).isNotNull()), [key], [value])
 
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:
@@ -33,11 +43,21 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _known(previous: DataFrame, *columns: str) -> DataFrame:
+    """The last snapshot's columns under names that start with __, a row for each id: a repeated one has its last date."""
+    rows = keep_last(previous.select("id", *columns).where(F.col("id").isNotNull()), ["id"], list(columns))
+    return rows.select(*(F.col(c).alias(f"__{c}") for c in ("id", *columns)))
+
+
+def _dated(joined: DataFrame, as_of: Column) -> DataFrame:
+    known = F.col("__id").isNotNull()
+    return joined.withColumns({"is_new": ~known, "date_added": F.when(known, F.col("__date_added")).otherwise(as_of)})
+
+
 def reconcile(current: DataFrame, previous: DataFrame, as_of: Column) -> DataFrame:
     """current with is_new and date_added: a known id keeps its date, a new one gets as_of."""
-    known = previous.select(F.col("id").alias("__id"), F.col("date_added").alias("__added"), F.lit(True).alias("__known"))
-    out = current.drop("is_new", "date_added").join(known, F.col("id") == F.col("__id"), "left")
-    return out.withColumns({"is_new": F.col("__known").isNull(), "date_added": F.when(F.col("__known"), F.col("__added")).otherwise(as_of)}).drop("__id", "__added", "__known")
+    out = current.drop("is_new", "date_added").join(_known(previous, "date_added"), F.col("id") == F.col("__id"), "left")
+    return _dated(out, as_of).drop("__id", "__date_added")
 
 
 def new_rows(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -62,13 +82,15 @@ def good_summary(d: Column) -> Column:
 
 def restore_cached(current: DataFrame, cache: DataFrame) -> DataFrame:
     """A good cached description in place of the run's own. cache: id, description."""
-    out = current.join(cache.select(F.col("id").alias("__id"), F.col("description").alias("__d")), F.col("id") == F.col("__id"), "left")
-    return out.withColumn("description", F.when(good_cached(F.col("__d")), F.col("__d")).otherwise(F.col("description"))).drop("__id", "__d")
+    good = unique(cache.where(good_cached(F.col("description"))), "id", "description")
+    out = current.join(good.select(F.col("id").alias("__id"), F.col("description").alias("__d")), F.col("id") == F.col("__id"), "left")
+    return out.withColumn("description", F.coalesce("__d", "description")).drop("__id", "__d")
 
 
 def override_urls(current: DataFrame, urls: DataFrame) -> DataFrame:
     """apply_url by reference where urls(reference, href) has one; url_changed tells that it differs."""
-    out = current.join(urls.select(F.col("reference").alias("__r"), F.col("href").alias("__h")), F.col("reference") == F.col("__r"), "left")
+    one = unique(urls, "reference", "href").select(F.col("reference").alias("__r"), F.col("href").alias("__h"))
+    out = current.join(one, F.col("reference") == F.col("__r"), "left")
     changed = F.coalesce(F.col("__h") != F.col("apply_url"), F.lit(False))
     return out.withColumn("url_changed", changed).withColumn("apply_url", F.coalesce("__h", "apply_url")).drop("__r", "__h")
 
@@ -97,19 +119,23 @@ def pending(current: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
 
 def join_details(current: DataFrame, details: DataFrame, extract: Column) -> DataFrame:
     """description from the detail page of the row's URL; the row's own where there is none. details: url, body_text."""
-    one = details.select(F.col("url").alias("__u"), extract.alias("__x"))
+    one = unique(details.select("url", extract.alias("x")), "url", "x").select(F.col("url").alias("__u"), F.col("x").alias("__x"))
     out = current.join(one, F.col("apply_url") == F.col("__u"), "left")
     return out.withColumn("description", F.coalesce(F.nullif("__x", F.lit("")), "description")).drop("__u", "__x")
 
 
-def describe(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """description and desc_action: an earlier summary is reused; else a long scraped text is due for a summary; else it stays."""
-    out = current.join(previous.select(F.col("id").alias("__id"), F.col("description").alias("__old")), F.col("id") == F.col("__id"), "left")
+def _described(joined: DataFrame) -> DataFrame:
     own = text("description")
     due = (F.length(own) > rules.LEAST_TO_SUMMARISE) & ~contains_any(own, (rules.PLACEHOLDER, rules.SEE_LINK))
-    reuse = good_summary(F.col("__old"))
-    out = out.withColumn("desc_action", F.when(reuse, "reuse").when(due, "summarise").otherwise("keep"))
-    return out.withColumn("description", F.when(reuse, F.col("__old")).otherwise(own)).drop("__id", "__old")
+    reuse = good_summary(F.col("__description"))
+    out = joined.withColumn("desc_action", F.when(reuse, "reuse").when(due, "summarise").otherwise("keep"))
+    return out.withColumn("description", F.when(reuse, F.col("__description")).otherwise(own))
+
+
+def describe(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """description and desc_action: an earlier summary is reused; else a long scraped text is due for a summary; else it stays."""
+    out = current.join(_known(previous, "description"), F.col("id") == F.col("__id"), "left")
+    return _described(out).drop("__id", "__description")
 
 
 def summarise(rows: DataFrame, summariser=None) -> DataFrame:
@@ -153,7 +179,8 @@ def run(current: DataFrame, previous: DataFrame, as_of: Column, summariser=None)
     """The whole run in its order: first of each id, retention, rank again with the description, known and new, descriptions."""
     out = keep_first(current, ["id"], ["ingest_seq"])
     out = out.where(is_retained(F.col("deadline"), as_of)).withColumn("rank", detect_rank(F.col("title"), F.col("description")))
-    out = describe(reconcile(out, previous, as_of), previous)
+    out = out.drop("is_new", "date_added").join(_known(previous, "date_added", "description"), F.col("id") == F.col("__id"), "left")
+    out = _described(_dated(out, as_of)).drop("__id", "__date_added", "__description")
     return summarise(out, summariser)
 
 

@@ -11,6 +11,7 @@ from postlake.operators import reconcile as R
 from postlake.operators import view as V
 from postlake.sources import html as H
 
+from . import archive as A
 from . import postings as P
 
 _DAY = P._D
@@ -199,6 +200,10 @@ _add("o1_union", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstat
 _add("o3_distinct_union", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O')")(lambda s, d: R.keep_first(R.union_sources([_t(s, d, "orders").where(c("o_orderstatus") == x).select("o_custkey") for x in "FO"]), ["o_custkey"], ["o_custkey"]))
 _add("o4_difference", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")(lambda s, d: _t(s, d, "orders").where("o_orderstatus = 'F'").select("o_custkey").distinct().join(_t(s, d, "orders").where("o_orderstatus = 'O'").select("o_custkey"), "o_custkey", "left_anti"))
 
+# --- Whole runs of every source, from archived pages ---------------------------------------
+for _n, _source in enumerate(("polyu", "eduhk", "lingnan", "hku", "hkust", "cityu", "hkbu", "cuhk", "hksyu", "sfu", "hsu", "hkmu"), 1):
+    _add(f"u{_n}_{_source}", A.expected_sql(_source))(lambda s, d, x=_source: A.run(s, d, x))
+
 # --- View -------------------------------------------------------------------------------
 from pyspark.sql import Window  # noqa: E402
 

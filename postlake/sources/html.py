@@ -169,6 +169,25 @@ def blocks(html: str | None, *tags: str) -> list[str]:
     return [squeeze(n.text(" ")) for n in prune(parse(html)).find_all(*(tags or ("div", "td", "section", "article", "main")))]
 
 
+def detail(html: str | None, cls: str, *tags: str) -> dict:
+    """A detail page by one parse: the paragraphs of the first element of the class, all blocks of the tags, and the whole text."""
+    root = parse(html)
+    whole = root.text()
+    prune(root)
+    at = next((n for n in root.find_all("div") if n.has_class(cls)), None)
+    return {"parts": [squeeze(p.text(" ")) for p in at.find_all("p")] if at else [], "blocks": [squeeze(n.text(" ")) for n in root.find_all(*tags)], "whole": whole}
+
+
+def elements(html: str | None, most: int, *tags: str) -> list[dict]:
+    """The first elements of the tags with tag, class, id and the first 100 characters of their text, if any."""
+    out = []
+    for n in prune(parse(html)).find_all(*tags)[:most]:
+        text = squeeze(n.text(" "))[:100]
+        if text:
+            out.append({"tag": n.tag, "cls": n.attrs.get("class", ""), "dom_id": n.attrs.get("id", ""), "text": text})
+    return out
+
+
 def body_text(html: str | None) -> str:
     """The page's text, a line for each block."""
     out: list[str] = []
@@ -229,21 +248,27 @@ TYPES = {
     "accordions": pa.list_(pa.struct([("block_no", _L), ("button", _S), ("body", _S), ("parts", pa.list_(_S))])),
     "texts": pa.list_(_S), "text": _S, "flag": pa.bool_(),
     "windows": pa.list_(pa.struct([("match_no", _L), ("value", _S), ("before", _S), ("after", _S)])),
+    "detail": pa.struct([("parts", pa.list_(_S)), ("blocks", pa.list_(_S)), ("whole", _S)]),
+    "elements": pa.list_(pa.struct([("tag", _S), ("cls", _S), ("dom_id", _S), ("text", _S)])),
     "urls": pa.list_(pa.struct([("reference", _S), ("href", _S)])),
 }
 
 
 def with_parsed(df: DataFrame, column: str, name: str, kind: str, read: Callable) -> DataFrame:
-    """df with read(column) of a TYPES kind; batches pass through Arrow, nothing is shuffled."""
+    """df without column, and with read(column) of a TYPES kind as name.
+
+    Batches pass through Arrow, nothing is shuffled. The parsed column does not ride
+    back; whoever needs it keeps a copy under another name. Select what is needed before.
+    """
     from pyspark.sql.pandas.types import from_arrow_type
 
-    at, kept = df.columns.index(column), [c for c in df.columns if c != name]
-    places = [df.columns.index(c) for c in kept]
+    kept = [c for c in df.columns if c not in (name, column)]
     schema = StructType([df.schema[c] for c in kept] + [StructField(name, from_arrow_type(TYPES[kind]))])
+    n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = pa.array([read(x.as_py()) for x in b.column(at)], TYPES[kind])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), values], [*kept, name])
+            values = pa.array([read(x.as_py()) for x in b.column(n)], TYPES[kind])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], values], [*kept, name])
 
-    return df.mapInArrow(run, schema)
+    return df.select(*kept, column).mapInArrow(run, schema)

@@ -19,18 +19,7 @@ from . import html as H
 _ORDER = ["section_no", "page_no", "row_no"]
 _NAMES = {s: (code, prefix, full) for s, code, prefix, full in rules.UNIVERSITIES}
 
-# Where links of each source start.
-BASES = {
-    "polyu": "https://jobs.polyu.edu.hk",
-    "lingnan": "https://lingnan.csod.com",
-    "hku": "https://jobs.hku.hk",
-    "hkust": "https://hrmsxprod.psft.ust.hk:8044/psp/hrmsxprod/EMPLOYEE/HRMS/c/HRS_HRAM.HRS_CE.GBL?Page=HRS_CE_JOB_DTL&Action=A&JobOpeningId={ref}&SiteId=1000&PostingSeq=1",
-    "cityu": "https://www.cityu.edu.hk",
-    "hkbu": "/hcmUI/CandidateExperience/en/sites/hkbu/job",
-    "cuhk": "https://cuhk.taleo.net",
-    "hkmu": "https://hkmu.taleo.net",
-    "hksyu": "https://www.hksyu.edu",
-}
+BASES = rules.BASES
 
 
 def _finish(df: DataFrame, source: str, id_ref: Column, override: Column | None = None) -> DataFrame:
@@ -55,14 +44,19 @@ def _first(df: DataFrame, key: Column, blank_stays: bool = False, scope: list[st
     return R.keep_first(df.withColumn("__key", key), [*(scope or []), "__key"], _ORDER).drop("__key")
 
 
+def _listed(pages: DataFrame, column: str) -> DataFrame:
+    """Of a page only what is parsed and where it stands."""
+    return pages.select("section_no", "page_no", "url", column)
+
+
 def _cells(pages: DataFrame) -> DataFrame:
     """A row for each table row, with cells' texts as an array."""
-    rows = H.with_parsed(pages, "html", "rows", "rows", H.table_rows).select("section_no", "page_no", "url", F.posexplode("rows").alias("row_no", "r"))
+    rows = H.with_parsed(_listed(pages, "html"), "html", "rows", "rows", H.table_rows).select("section_no", "page_no", "url", F.posexplode("rows").alias("row_no", "r"))
     return rows.select(*_ORDER, "url", F.col("r.table_no").alias("table_no"), F.col("r.row_no").alias("in_table"), F.col("r.cells").alias("cells"), F.col("r.href").alias("href"), F.col("r.link_text").alias("link_text"))
 
 
 def _links(pages: DataFrame) -> DataFrame:
-    rows = H.with_parsed(pages, "html", "links", "links", H.links).select("section_no", "page_no", "url", F.posexplode("links").alias("row_no", "l"))
+    rows = H.with_parsed(_listed(pages, "html"), "html", "links", "links", H.links).select("section_no", "page_no", "url", F.posexplode("links").alias("row_no", "l"))
     return rows.select(*_ORDER, "url", F.col("l.href").alias("href"), F.col("l.text").alias("full_title"), F.col("l.card").alias("card"))
 
 
@@ -83,7 +77,7 @@ def polyu(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("td", F.filter("cells", lambda c: c["tag"] == "td")).withColumn("t", _texts(F.col("td"))).where(F.size("t") >= 3)
     t = F.col("t")
     bare = F.transform(t, lambda x: F.replace(x, F.lit(" "), F.lit("")))
-    rows = rows.withColumn("ref", T.first_match(bare, r"^\d{7,10}$")).withColumns({"dept": F.get(t, 0), "title": F.get(t, 1), "deadline": F.coalesce(F.get(T.date_cells(t), 0), F.lit(""))})
+    rows = rows.withColumn("ref", T.first_match(bare, rules.LONG_NUMBER)).withColumns({"dept": F.get(t, 0), "title": F.get(t, 1), "deadline": F.coalesce(F.get(T.date_cells(t), 0), F.lit(""))})
     third = F.get(t, 2)
     project = F.when((F.size(t) >= 5) & (third != F.col("ref")) & ~third.rlike(r"\d{4}"), third).otherwise("")
     about = F.concat("title", F.when(project != "", F.concat(F.lit(" — Project: "), project)).otherwise(""), F.lit(" ("), F.col("dept"), F.lit("). See application link for full details."))
@@ -92,7 +86,7 @@ def polyu(pages: DataFrame) -> DataFrame:
 
 
 def eduhk(pages: DataFrame) -> DataFrame:
-    found = H.with_parsed(pages, "body_text", "w", "windows", lambda t: H.windows(t, "Ad Date:", 600, 200)).select("section_no", "page_no", "url", F.posexplode("w").alias("row_no", "w"))
+    found = H.with_parsed(_listed(pages, "body_text"), "body_text", "w", "windows", lambda t: H.windows(t, rules.AD_LABEL, 600, 200)).select("section_no", "page_no", "url", F.posexplode("w").alias("row_no", "w"))
     usable = F.filter(T.lines(F.col("w.before")), lambda x: ~x.rlike(rules.NAV_LINE) & ~F.startswith(x, F.lit("Ref:")) & (F.length(x) > 2) & ~F.lower(x).isin(*rules.NOISE_LINES))
     rows = found.withColumn("l", F.reverse(usable))
     is_dept = lambda x: x.rlike(rules.DEPT_LINE)
@@ -101,11 +95,11 @@ def eduhk(pages: DataFrame) -> DataFrame:
     dept = F.coalesce(F.get(F.filter(F.slice("l", F.lit(1), at.cast("int")), is_dept), 0), F.lit(""))
     rows = rows.withColumns({"t0": title, "d0": dept}).withColumns({"title": T.first_filled(F.col("t0"), F.col("d0")), "dept0": F.when(F.col("t0") != "", F.col("d0")).otherwise("")}).where(F.length("title") >= 3)
     near = F.concat(F.right(F.col("w.before"), F.lit(150)), F.left(F.col("w.after"), F.lit(50)))
-    raw = T.strip(F.regexp_extract("w.after", r"Close Date[:\s]+([A-Za-z0-9 ]+)", 1))
-    rows = rows.withColumns({"ref": F.regexp_extract(near, r"Ref:\s*(\d{6,})", 1), "deadline": F.when(F.upper(raw).isin("N/A", "NA", ""), "").otherwise(T.parse_date(raw))})
+    raw = T.strip(F.regexp_extract("w.after", rules.AD_CLOSE, 1))
+    rows = rows.withColumns({"ref": F.regexp_extract(near, rules.AD_REF, 1), "deadline": F.when(F.upper(raw).isin("N/A", "NA", ""), "").otherwise(T.parse_date(raw))})
     key = F.concat_ws("|", "title", T.first_filled(F.col("ref"), F.col("dept0")))
     rows = _first(rows.drop("w", "l"), key)
-    pdf = _links(pages).where(F.contains("href", F.lit("/cms/f/career"))).select("section_no", "page_no", "row_no", "href")
+    pdf = _links(pages).where(F.contains("href", F.lit("/cms/f/career"))).select("section_no", "page_no", "row_no", T.resolved_url(F.col("href"), F.col("url")).alias("href"))
     rows = R.zip_by_ordinal(rows, pdf, ["section_no", "page_no"], ["row_no"], "row_no", F.col("url"))
     rows = rows.withColumn("description", T.placeholder(F.col("title"), F.col("dept0"), "See EdUHK website for full details.", optional=True))
     rows = rows.withColumn("dept", T.first_filled(F.col("dept0"), T.infer_department(F.col("title")), _full("eduhk")))
@@ -123,30 +117,30 @@ def hku(pages: DataFrame) -> DataFrame:
     rows = _cells(pages).where(F.col("href").isNotNull() & (F.length("link_text") >= 5)).withColumn("title", F.col("link_text"))
     t = _texts(F.filter("cells", lambda c: c["tag"] == "td"))
     rows = rows.withColumn("t", t)
-    number = lambda x: x.rlike(r"^\d{5,8}$")
+    number = lambda x: x.rlike(rules.SHORT_NUMBER)
     is_dept = lambda x: x.rlike(rules.DEPT_CELL) & (x != F.col("title"))
     depts = F.filter("t", lambda x: ~number(x) & is_dept(x))
     dates = T.date_cells(F.filter("t", lambda x: ~number(x) & ~is_dept(x)))
     last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))
-    rows = rows.withColumns({"ref": T.last_match(F.col("t"), r"^\d{5,8}$"), "dept": _or_name(last(depts), "hku"), "deadline": last(dates), "apply_url": T.absolute_url(F.col("href"), BASES["hku"])})
+    rows = rows.withColumns({"ref": T.last_match(F.col("t"), rules.SHORT_NUMBER), "dept": _or_name(last(depts), "hku"), "deadline": last(dates), "apply_url": T.absolute_url(F.col("href"), BASES["hku"])})
     # A title that is left out still takes its key: dedup comes first.
     rows = _first(rows.drop("cells", "t"), T.first_filled(F.col("ref"), F.concat_ws("|", "title", "dept"))).where(~T.contains_any(F.lower("title"), rules.ADMIN_TITLES))
     return _finish(rows.withColumn("description", T.placeholder(F.col("title"), F.col("dept"))), "hku", _ref_or_title())
 
 
 def hkust(pages: DataFrame) -> DataFrame:
-    found = H.with_parsed(pages, "body_text", "w", "windows", lambda t: H.windows(t, r"Job ID: (\d+)", 300, 300)).select("section_no", "page_no", "url", F.posexplode("w").alias("row_no", "w"))
+    found = H.with_parsed(_listed(pages, "body_text"), "body_text", "w", "windows", lambda t: H.windows(t, rules.JOB_LABEL, 300, 300)).select("section_no", "page_no", "url", F.posexplode("w").alias("row_no", "w"))
     rows = _first(found.withColumn("ref", F.col("w.value")), F.col("ref"), scope=["section_no", "page_no"])
-    above = F.filter(F.reverse(T.lines(F.col("w.before"))), lambda x: ~x.rlike(r"\(\d+\)$") & (F.length(x) > 4))
+    above = F.filter(F.reverse(T.lines(F.col("w.before"))), lambda x: ~x.rlike(rules.LABEL_LINE) & (F.length(x) > 4))
     below = T.lines(F.col("w.after"))
-    stop = lambda x: x.rlike(r"^(Open Date|Apply by|\d{4}-\d{2})")
+    stop = lambda x: x.rlike(rules.JOB_STOP)
     rows = rows.withColumn("below", below).withColumn("n", F.coalesce(F.array_position(F.transform("below", stop), True) - 1, F.lit(-1)))
     until = F.slice("below", F.lit(1), F.when(F.col("n") >= 0, F.col("n")).otherwise(F.size("below")).cast("int"))
     rows = rows.withColumns({
         "title": T.clean(F.coalesce(F.get(above, 0), F.lit(""))), "dept": F.coalesce(F.get(F.filter(until, lambda x: F.length(x) > 4), 0), F.lit("")),
-        "deadline": T.parse_date(F.regexp_extract("w.after", r"Apply by: ([\d\-]+)", 1)), "apply_url": F.replace(F.lit(BASES["hkust"]), F.lit("{ref}"), F.col("ref")),
+        "deadline": T.parse_date(F.regexp_extract("w.after", rules.JOB_CLOSE, 1)), "apply_url": F.replace(F.lit(BASES["hkust"]), F.lit("{ref}"), F.col("ref")),
     }).where(F.length("title") >= 4).drop("w", "below", "n")
-    urls = H.with_parsed(pages, "html", "u", "urls", lambda h: H.nearest_links(h, "Job ID", "interfolio")).select(F.explode("u").alias("u")).select("u.*")
+    urls = H.with_parsed(pages.select("html"), "html", "u", "urls", lambda h: H.nearest_links(h, "Job ID", "interfolio")).select(F.explode("u").alias("u")).select("u.*")
     urls = urls.groupBy("reference").agg(F.max("href").alias("href"))
     done = _finish(rows.withColumn("description", T.placeholder(F.col("title"), F.col("dept"), optional=True)), "hkust", F.col("ref"))
     return R.override_urls(done, urls)
@@ -166,7 +160,7 @@ def _hkbu_fields(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"title": title, "dept": F.when(F.contains("full_title", F.lit(",")), right).otherwise(T.infer_department(F.col("full_title")))})
 
 
-def hkbu(pages: DataFrame, base: str = "") -> DataFrame:
+def hkbu(pages: DataFrame) -> DataFrame:
     """From JSON pages, whose text is in body_text."""
     rows = pages.withColumn("body", F.col("body_text")).select("section_no", "page_no", F.posexplode(F.from_json("body", "items array<string>")["items"]).alias("row_no", "j"))
     j = F.col("j")
@@ -177,14 +171,14 @@ def hkbu(pages: DataFrame, base: str = "") -> DataFrame:
     rows = _hkbu_fields(_first(rows.drop("j"), F.col("full_title")))
     under = T.strip(F.regexp_extract("about", rules.SITS_UNDER, 1))
     rows = rows.withColumn("dept", T.first_filled(F.col("dept"), under, _full("hkbu")))
-    rows = rows.withColumn("apply_url", F.when(F.col("ref") != "", F.concat(F.lit(f"{base}{BASES['hkbu']}/"), "ref")).otherwise(F.lit(f"{base}{BASES['hkbu']}s")))
+    rows = rows.withColumn("apply_url", F.when(F.col("ref") != "", F.concat(F.lit(f"{BASES['hkbu']}/"), "ref")).otherwise(F.lit(f"{BASES['hkbu']}s")))
     return _finish(rows.withColumn("description", F.when(F.col("about") != "", F.left("about", F.lit(rules.LONGEST))).otherwise(T.placeholder(F.col("title"), F.col("dept")))), "hkbu", _ref_or_title())
 
 
 def hkbu_fallback(pages: DataFrame) -> DataFrame:
     """From rendered pages, where the JSON source failed; rows it gave before stay, and overlap is left to dedup."""
     rows = _first(_links(pages).where(F.contains("href", F.lit("/job/")) & (F.col("full_title") != "")), F.col("full_title"))
-    rows = _hkbu_fields(rows).withColumns({"ref": F.regexp_extract("href", r"/job/(\d+)", 1), "deadline": F.lit(""), "apply_url": F.col("href")})
+    rows = _hkbu_fields(rows).withColumns({"ref": F.regexp_extract("href", r"/job/(\d+)", 1), "deadline": F.lit(""), "apply_url": T.resolved_url(F.col("href"), F.col("url"))})
     rows = rows.withColumn("description", T.placeholder(F.col("title"), F.col("dept"), optional=True)).withColumn("dept", _or_name(F.col("dept"), "hkbu"))
     return _finish(rows, "hkbu", _ref_or_title())
 
@@ -195,7 +189,7 @@ def cuhk(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", linked.cast("int")).where("at > 0")
     title = F.get("td", F.col("at") - 1)
     after = F.filter(F.slice("td", F.col("at") + 1, F.size("td")), lambda c: c["href"].isNull() & (F.length(c["text"]) > 5) & ~c["text"].rlike(r"^\d+$"))
-    rows = rows.withColumns({"title": title["link_text"], "apply_url": T.first_filled(T.absolute_url(title["href"], BASES["cuhk"]), F.col("url")), "ref": T.first_match(_texts(F.col("td")), r"^\d{5,8}$"), "dept0": F.coalesce(F.get(after, 0)["text"], F.lit(""))})
+    rows = rows.withColumns({"title": title["link_text"], "apply_url": T.first_filled(T.absolute_url(title["href"], BASES["cuhk"]), F.col("url")), "ref": T.first_match(_texts(F.col("td")), rules.SHORT_NUMBER), "dept0": F.coalesce(F.get(after, 0)["text"], F.lit(""))})
     rows = rows.where(F.length("title") >= 5).withColumn("key", T.first_filled(F.col("ref"), F.concat_ws("|", "title", "dept0")))
     rows = _first(rows.drop("cells", "td", "at"), F.col("key")).withColumns({"dept": _or_name(F.col("dept0"), "cuhk"), "deadline": F.lit("")})
     return _finish(rows.withColumn("description", T.placeholder(F.col("title"), F.col("dept"))), "cuhk", T.first_filled(F.col("ref"), F.concat_ws("|", "title", "dept")))
@@ -212,11 +206,11 @@ def hksyu(pages: DataFrame) -> DataFrame:
 
 
 def sfu(pages: DataFrame) -> DataFrame:
-    rows = H.with_parsed(pages, "html", "b", "accordions", H.accordions).select("section_no", "page_no", "url", F.posexplode("b").alias("row_no", "b")).select(*_ORDER, "url", "b.*")
+    rows = H.with_parsed(_listed(pages, "html"), "html", "b", "accordions", H.accordions).select("section_no", "page_no", "url", F.posexplode("b").alias("row_no", "b")).select(*_ORDER, "url", "b.*")
     ref, bare = T.inline_reference(F.col("button"))
     rows = _first(rows.withColumns({"ref": ref, "bare": bare}), T.first_filled(F.col("ref"), F.col("button")))
     title, dept = T.last_comma_department(F.col("bare"))
-    rows = rows.withColumns({"title": title, "dept0": dept, "deadline": T.parse_date(F.regexp_extract("body", r"Deadline\s*[\n\r]+\s*(\d{1,2}\s+\w+\s+202\d)", 1))})
+    rows = rows.withColumns({"title": title, "dept0": dept, "deadline": T.parse_date(F.regexp_extract("body", rules.ACCORDION_CLOSE, 1))})
     rows = rows.withColumns({"apply_url": F.col("url"), "dept": _or_name(F.col("dept0"), "sfu"), "description": T.first_filled(T.content_paragraphs(F.col("parts")), T.placeholder(F.col("title"), F.col("dept0"), optional=True))})
     return _finish(rows, "sfu", _ref_or_title())
 
@@ -240,10 +234,6 @@ def hkmu(pages: DataFrame) -> DataFrame:
 
 # --- Detail pages -----------------------------------------------------------------------
 
-#: Patterns of a closing date on the detail pages of some sources (fixed values).
-CLOSING = {"hkbu": r"[Cc]losing\s+[Dd]ate[:\s]+(\d{1,2}\s+\w+\s+\d{4})", "cuhk": r"[Cc]losing\s+[Dd]ate[:\s]+(\w+\s+\d{1,2},\s+\d{4})", "hsu": r"(?i)(?:on or before|by|before)\s+(\d{1,2}\s+\w+\s+202\d)"}
-
-
 def detail_text(source: str) -> Column:
     """The description in a detail page's body_text, for sources that read lines; empty on a protected page."""
     body = T.text("body_text")
@@ -256,23 +246,76 @@ def detail_text(source: str) -> Column:
 
 
 def detail_blocks(details: DataFrame, source: str) -> DataFrame:
-    """details with description, for sources whose page has a content element or a longest block."""
+    """url, description and whole (the page's text) of detail pages, for sources whose page has a content element or a longest block."""
     tags = {"polyu": ("div", "td", "section"), "cityu": ("div", "td", "section", "article"), "hsu": ("div", "section", "article", "main")}[source]
-    out = H.with_parsed(details, "html", "blocks", "texts", lambda h: H.blocks(h, *tags))
-    longest = T.longest_block(F.col("blocks"), 2000 if source == "polyu" else rules.LONGEST)
-    if source != "polyu":
-        return out.withColumn("description", longest).drop("blocks")
-    out = H.with_parsed(out, "html", "parts", "texts", lambda h: H.paragraphs(h, "ITS_Content_RichTextEditor"))
-    return out.withColumn("description", T.first_filled(T.distinct_paragraphs(F.col("parts")), longest)).drop("blocks", "parts")
+    out = H.with_parsed(details.select("url", "html"), "html", "d", "detail", lambda h: H.detail(h, rules.CONTENT_CLASS, *tags))
+    longest = T.longest_block(F.col("d.blocks"), 2000 if source == "polyu" else rules.LONGEST)
+    if source == "polyu":
+        longest = T.first_filled(T.distinct_paragraphs(F.col("d.parts")), longest)
+    return out.select("url", longest.alias("description"), F.col("d.whole").alias("whole"))
+
+
+def closing_date(body: Column, source: str) -> Column:
+    """The closing date that a detail page's text names; empty without one."""
+    return T.parse_date(F.regexp_extract(body, rules.CLOSING[source], 1))
 
 
 def closing_dates(postings: DataFrame, details: DataFrame, source: str) -> DataFrame:
     """deadline from the detail page for postings that have none."""
-    found = details.select(F.col("url").alias("__u"), T.parse_date(F.regexp_extract(T.text("body_text"), CLOSING[source], 1)).alias("__d"))
+    found = R.unique(details.select("url", closing_date(T.text("body_text"), source).alias("d")), "url", "d").select(F.col("url").alias("__u"), F.col("d").alias("__d"))
     out = postings.join(found, F.col("apply_url") == F.col("__u"), "left")
     return out.withColumn("deadline", T.first_filled(F.col("deadline"), F.col("__d"))).drop("__u", "__d")
 
 
+def _detailed(postings: DataFrame, found: DataFrame, due: Column) -> DataFrame:
+    """description from found(url, description) where the posting is due and there is one; its own otherwise."""
+    one = R.unique(found, "url", "description").select(F.col("url").alias("__u"), F.col("description").alias("__x"))
+    out = postings.withColumn("__due", due).join(one, F.col("apply_url") == F.col("__u"), "left")
+    return out.withColumn("description", F.when(F.col("__due"), T.first_filled(F.col("__x"), F.col("description"))).otherwise(F.col("description"))).drop("__u", "__x", "__due")
+
+
+def _good(postings: DataFrame, cache: DataFrame) -> DataFrame:
+    """postings with __cached: the good description of an earlier run, or null."""
+    good = R.unique(cache.where(R.good_cached(F.col("description"))), "id", "description")
+    return postings.join(good.select(F.col("id").alias("__id"), F.col("description").alias("__cached")), F.col("id") == F.col("__id"), "left").drop("__id")
+
+
+def run_source(source: str, pages: DataFrame, details: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
+    """A source's whole run: its list, then what its detail pages add.
+
+    details: url, html, body_text of detail pages, each read once however often it was
+    archived; a posting without one keeps what it has. cache: id, description of the last
+    run. Which postings read a detail page, and what they take from it, differs by source.
+    """
+    out = SITES[source](pages)
+    retained = T.is_retained(F.col("deadline"), as_of)
+    texts = lambda: details.select("url", detail_text(source).alias("description"))
+    if source == "polyu":
+        return _detailed(out.where(retained), detail_blocks(details, source).drop("whole"), F.lit(True))
+    if source == "cityu":
+        # What closed too long ago stays without a description.
+        out = out.withColumn("description", F.when(retained, T.placeholder(F.col("title"), F.col("department"))).otherwise(""))
+        return _detailed(out, detail_blocks(details, source).drop("whole"), retained)
+    if source in ("lingnan", "hku", "hkmu"):
+        due = F.col("__cached").isNull() & (F.lit(True) if source == "lingnan" else retained)
+        out = _detailed(_good(out, cache), texts(), due)
+        return out.withColumn("description", F.coalesce("__cached", "description")).drop("__cached")
+    if source == "hkust":
+        # A changed URL makes the cached description void; it is not put back for the others.
+        due = retained & F.contains("apply_url", F.lit("interfolio")) & (F.col("__cached").isNull() | F.col("url_changed"))
+        return _detailed(_good(out, cache), texts(), due).drop("__cached", "url_changed")
+    if source == "hkbu":
+        return closing_dates(out, details, source)
+    if source == "cuhk":
+        out = out.withColumn("__open", (F.col("deadline") == "") & (F.col("apply_url") != ""))
+        return _detailed(closing_dates(out, details, source), texts(), F.col("__open")).drop("__open")
+    if source == "hsu":
+        found = detail_blocks(details, source)
+        out = _detailed(out, found.drop("whole"), F.lit(True))
+        return closing_dates(out, found.select("url", F.col("whole").alias("body_text")), source)
+    return out
+
+
 #: Every source's transform, in the registry's order.
 SITES = {"polyu": polyu, "eduhk": eduhk, "lingnan": lingnan, "hku": hku, "hkust": hkust, "cityu": cityu, "hkbu": hkbu, "cuhk": cuhk, "hkmu": hkmu, "hsu": hsu, "sfu": sfu, "hksyu": hksyu}
 
