@@ -4,33 +4,86 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space (fixed value): a word is a run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
+#: The same and its opposite as classes of a regular expression.
+SPACE_CLASS, WORD_CLASS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+#: Bytes of a batch that goes to a Python worker at once, but for a single row that is longer.
+BATCH_BYTES = "8m"
+#: Rows of ids up to which they are sent to every task; beyond, they are joined by shuffling.
+MAX_SENT = 500_000
+#: Rows of a key from which it is a hot one, and no longer meets in one task.
+HOT_ROWS = 10_000
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with batches for Python workers bounded by bytes: texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one in spark.checkpoint.dir.
 
-    A temporary one is set only where no folder is named, as in local tests.
+    Where none is named, a local session gets a temporary one, as in tests; on a cluster
+    that is an error, because executors do not see each other's folders.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master or "").startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp("-checkpoints"))
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of a run, wherever it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, from where a lost executor's part is read again."""
-    shared_folder(df.sparkSession)
+    shared_folder(bounded(df.sparkSession))
     return df.checkpoint()
 
 
+def sent(df: DataFrame, most: int = MAX_SENT) -> DataFrame:
+    """df, which is read twice, marked for sending to every task if its rows, which are counted, are few."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def with_looked_up(rows: DataFrame, found: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """rows inner-joined with found, which has a row for each key, by a key of any skew.
+
+    Keys of HOT_ROWS rows or more are few, at most one for so many rows, so their part of
+    found goes to every task and their rows stay where they are; the others are joined by
+    shuffling. The bound rises with the rows, so that never more than MAX_SENT are sent.
+    """
+    total = rows.count() if total is None else total
+    heavy = max(HOT_ROWS, -(-total // MAX_SENT))
+    if total < heavy:
+        return rows.join(found, key)
+    hot = cut(rows.groupBy(key).agg(F.count("*").alias("__rows")).where(F.col("__rows") >= heavy).join(found, key).drop("__rows"))
+    names = F.broadcast(hot.withColumnRenamed(key, "__key"))
+    stays = rows.join(names, F.col(key) == F.col("__key")).drop("__key")
+    rest = rows.join(F.broadcast(hot.select(F.col(key).alias("__key"))), F.col(key) == F.col("__key"), "left_anti")
+    return stays.unionByName(rest.join(found, key))
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """The text's words, A-Z lower-cased, as UTF-8; bytes.split() cuts at exactly SPACES."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_count(text: Column) -> Column:
+    """Words of a text; 0 for null."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(f"{WORD_CLASS}+")), F.lit(0)).cast("long")

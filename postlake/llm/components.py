@@ -1,7 +1,8 @@
 """Connected components of a graph of long ids, by alternating large and small stars.
 
 Every round is a few joins and aggregations on edges; nodes with very many edges are
-summed in parts, and no list of a component is ever gathered. Rounds grow with the
+summed in parts and their edges are joined where they are, and no list of a component is
+ever gathered. Rounds grow with the
 logarithm of the longest path.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_looked_up
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,8 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: each node's larger neighbours go to the least of it and its neighbours.
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_looked_up(now.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "u", state["n"]).select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: each node and its smaller neighbours go to the least of these.
+        large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = with_looked_up(large, least, "u", state["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.union(least.select("u", "m")).distinct())

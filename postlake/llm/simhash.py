@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, cut
+from .common import ascii_words, cut, sent, with_looked_up
 from .components import components
 
 BITS, SEED = 64, 42
@@ -223,10 +223,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut(fingerprints(docs, id_col, text_col, size))
     least = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(links(least, distance))
-    linked = least.join(found, least["fp"] == found["node"], "left").select(least["fp"], "least", F.coalesce("root", least["fp"]).alias("root"))
+    linked = cut(least.join(found, least["fp"] == found["node"], "left").select(least["fp"], "least", F.coalesce("root", least["fp"]).alias("root")))
     names = linked.groupBy("root").agg(F.min("least").alias("component"))
-    classes = linked.join(names, "root").select("fp", "component")
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    classes = cut(with_looked_up(linked, names, "root").select("fp", "component"))
+    return with_looked_up(prints, classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def components_of_documents(docs: DataFrame) -> DataFrame:
@@ -243,9 +243,7 @@ PROBED = 16
 #: Longs of a set's parity sketch.
 SKETCH = 8
 #: Members of a block of a large probe, least and most, and shingles that a block has about.
-FEWEST, MOST, CELLS = 64, 4096, 1 << 22
-#: Rows of ids up to which they are sent to every task; beyond, they are joined by shuffling.
-MAX_SENT = 500_000
+FEWEST, MOST, CELLS = 64, 4096, 1 << 20
 
 
 def _parts(n: float) -> int:
@@ -278,21 +276,31 @@ def parities(values: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, th (a hash of the text), text: rows of one id and text are the same document."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
 def _profile(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """id, node (digest of the shingle set), sketch, n, keys of every row."""
+    """id, th, node (digest of the shingle set), sketch, n, keys of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b.column(1):
+            for t in b.column(2):
                 d = np.unique(shingle_hashes(t.as_py(), size))
-                rows.append((_signed(xxhash.xxh64_intdigest(d.tobytes(), SEED)), parities(d >> np.uint64(32), 64 * SKETCH).view("<i8").tolist(), len(d), part_keys(d, similarity)))
+                rows.append((_digest(d), parities(d >> np.uint64(32), 64 * SKETCH).view("<i8").tolist(), len(d), part_keys(d, similarity)))
             cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), longs, pa.int64(), longs)))], ["id", "node", "sketch", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), longs, pa.int64(), longs)))], ["id", "th", "node", "sketch", "n", "keys"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, th bigint, node bigint, sketch array<bigint>, n bigint, keys array<bigint>")
 
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"id {kind}, node bigint, sketch array<bigint>, n bigint, keys array<bigint>")
+
+def _digest(distinct: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
 
 
 def _met(nodes: DataFrame) -> DataFrame:
@@ -382,58 +390,79 @@ def _hot_links(hot: DataFrame, members: DataFrame, similarity: float) -> DataFra
         # Only a block that meets itself has no right side of its own.
         itself = not block["step"][0].as_py() and block["a"][0].as_py() == block["b"][0].as_py()
         left = 0 if itself else int((side == 0).sum())
-        found = block_links([np.frombuffer(s.as_buffer(), "<u4") for s in block["set"]], left, similarity) if itself or 0 < left < len(side) else []
+        found = block_links([np.frombuffer(s.as_buffer(), "<u8") for s in block["set"]], left, similarity) if itself or 0 < left < len(side) else []
         return pa.table({"u": pa.array([int(node[i]) for i, _ in found], pa.int64()), "v": pa.array([int(node[j]) for _, j in found], pa.int64())})
 
     return rows.groupBy("x", "a_kind", "step", "a", "b").applyInArrow(run, "u bigint, v bigint")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MAX_SENT else df
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
-    """id, component of every row with an id: the least id that links of similar shingle sets reach.
-
-    Candidates share the fingerprint of a part; a link is verified by the Jaccard
-    similarity of the whole shingle sets. Texts of one set, without words too, are one
-    node. Pairs of a probe of more than `paired` members are compared in blocks; none is
-    left out that links have not joined.
-    """
-    prof = cut(_profile(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, similarity))
-    nodes = prof.groupBy("node").agg(F.min("id").alias("least"), F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = cut(nodes)
+def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, paired: int) -> DataFrame:
+    """id, th, root of every row: the group of similar documents that it is in."""
+    prof = cut(_profile(docs, id_col, text_col, size, similarity))
+    # One row stands for a shingle set: that of the least id, then of the least text hash.
+    one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "sketch", "n", "keys")).alias("r")
+    nodes = cut(prof.groupBy("node").agg(one).select("node", "r.*").drop("no_id"))
     met = cut(_met(nodes))
     hot = met.where(F.col("c") > paired).select("x", "node", "n")
     pairs = cut(_candidates(met.where(F.col("c") <= paired), similarity))
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(hot.select("node")).distinct()
-    wanted = cut(nodes.join(ends, "node", "left_semi").select("least"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(_small(wanted), F.col("id") == F.col("least"), "left_semi")
+    wanted = cut(nodes.join(ends, "node", "left_semi").select(F.col("id").alias("__id"), F.col("th").alias("__th")))
+    rows = _keyed(docs, id_col, text_col)
+    texts = rows.join(sent(wanted), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.unique(shingle_hashes(t.as_py(), size)) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_signed(xxhash.xxh64_intdigest(d.tobytes(), SEED)) for d in found], pa.int64()), pa.array([np.unique((d >> np.uint64(32)).astype("<u4")).tobytes() for d in found], pa.binary())], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(d) for d in found], pa.int64()), pa.array([d.tobytes() for d in found], pa.binary())], ["node", "set"])
 
     members = cut(texts.select("text").mapInArrow(sets, "node bigint, set binary").dropDuplicates(["node"]))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [_alike(*(np.frombuffer(s.as_buffer(), "<u4") for s in x), similarity) for x in zip(b.column(2), b.column(3))]
+            keep = [_alike(*(np.frombuffer(s.as_buffer(), "<u8") for s in x), similarity) for x in zip(b.column(2), b.column(3))]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(members.select(F.col("node").alias("u"), F.col("set").alias("su")), "u")
     two = one.join(members.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v").select("u", "v", "su", "sv")
     found = components(two.mapInArrow(verified, "u bigint, v bigint").union(_hot_links(hot, members, similarity)))
-    linked = nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    names = linked.groupBy("root").agg(F.min("least").alias("component"))
-    return prof.select("id", "node").join(linked.join(names, "root").select("node", "component"), "node").select(F.col("id").alias(id_col), "component")
+    linked = cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    return cut(with_looked_up(prof.select("id", "th", "node"), linked, "node").select("id", "th", "root"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
+    """id, component of every row: the least id that links of similar shingle sets reach, or null where no row of the group has one.
+
+    Candidates share the fingerprint of a part; a link is verified by the Jaccard
+    similarity of the whole shingle sets, as 64-bit hashes. Texts of one set, null, empty
+    and blank ones too, are one node. Pairs of a probe of more than `paired` members are
+    compared in blocks; none is left out that links have not joined. Repeated rows get the
+    same class, other columns are not read, and an empty table gives no rows.
+    """
+    rows = _classified(docs, id_col, text_col, size, similarity, paired)
+    names = cut(rows.groupBy("root").agg(F.min("id").alias("component")))
+    return with_looked_up(rows, names, "root").select(F.col("id").alias(id_col), "component")
 
 
-def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, as they are, whose id is the least of its group.
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
+    """The rows of docs, as they are, one for each group of similar documents.
 
-    Rows of one id are one document and share its fate; a row without an id stays.
+    It is the row of the least id, rows without an id coming last, then of the least hash
+    of its text; of equal rows one stays. So null, empty and blank texts, which are one
+    group, leave one row. Rows of one id with texts that are not similar are decided each
+    for itself. Any names of columns will do; an empty table stays empty.
     """
-    gone = cut(similar_groups(docs, id_col, text_col, size, similarity).where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("__gone")).distinct())
-    return docs.join(_small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    rows = _classified(docs, id_col, text_col, size, similarity, paired)
+    groups = rows.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id0"), F.col("th").alias("th0"))).alias("w"))
+    several = cut(groups.where("n > 1").select("root", "w.id0", "w.th0"))
+    first = F.col("id").eqNullSafe(F.col("id0")) & (F.col("th") == F.col("th0"))
+    decided = cut(with_looked_up(rows, several, "root").groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.bool_or(first).alias("first"), F.count("*").alias("n")))
+    gone, again = (cut(decided.where(c).select("__id", "__th")) for c in ("not first or n > 1", "first and n > 1"))
+    # Whatever docs' columns are called, they must not clash with those that are joined.
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    keyed = docs.toDF(*own.values()).withColumn("__hash", F.xxhash64(F.col(own[text_col]).cast("string")))
+    same = F.col(own[id_col]).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th"))
+    left = keyed.join(sent(gone), same, "left_anti").drop("__hash")
+    if not again.isEmpty():
+        # Of rows that are the first of their group more than once, one.
+        left = left.unionByName(keyed.join(sent(again), same, "left_semi").dropDuplicates([own[id_col], "__hash"]).drop("__hash"))
+    return left.toDF(*docs.columns)

@@ -121,11 +121,25 @@ def test_similar_large_probe(spark):
     text = " ".join(f"w{r.randrange(4000)}" for _ in range(200))
     docs = [(i, edited(r, text, 0 if i == 17 else r.randint(1, 3)), "en", "a", *documents(6)[0][4:]) for i in range(120)] + [(None, text, "en", "a", *documents(6)[0][4:])]
     got = S.similar_groups(frame(spark, docs), paired=8).collect()
-    assert {r.component for r in got} == {0} and len(got) == 120
-    assert S.first_of_groups(frame(spark, docs)).count() == 2  # the row without an id stays
+    assert {r.component for r in got} == {0} and len(got) == 121  # a row without an id takes part
+    assert [r.doc_id for r in S.first_of_groups(frame(spark, docs), paired=8).collect()] == [0]
     assert S.first_of_groups(frame(spark).limit(0)).count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    r = random.Random(9)
+    rest = documents(6)[0][4:]
+    row = lambda i, t: (i, t, "en", "a", *rest)
+    a, b, c = (" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    docs = [row(5, a), row(3, a), row(3, a), row(3, b), row(7, b), row(8, c), row(8, c), row(None, c), row(None, None), row(None, ""), row(9, " "), row(None, "one word"), row(None, "one word")]
+    got = sorted(((x.doc_id, x.text) for x in S.first_of_groups(frame(spark, docs)).collect()), key=str)
+    # Texts of one id are decided apart, equal rows leave one, and rows without an id come last.
+    assert got == sorted([(3, a), (3, b), (8, c), (9, " "), (None, "one word")], key=str)
+    clash = frame(spark, docs).withColumnsRenamed({"lang": "__id", "source": "__th", "score": "__own_0"})
+    kept = S.first_of_groups(clash)
+    assert kept.columns == clash.columns and kept.count() == 5
+
+
 def groups_of(spark, texts, paired=S.PAIRED):
     docs = [(i, t, "en", "a", *documents(6)[0][4:]) for i, t in enumerate(texts)]
     return {r.doc_id: r.component for r in S.similar_groups(frame(spark, docs), paired=paired).collect()}
