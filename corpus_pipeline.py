@@ -5,54 +5,9 @@ its result is written as Parquet and read again. All but the last return the col
 documents.
 """
 
-from __future__ import annotations
+from postlake.llm.stages import STAGES, run
 
-import uuid
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
-from pyspark.sql import DataFrame, SparkSession
-
-from postlake.llm import mixing, packing, quality, simhash, toxicity
-from postlake.llm.common import shared_folder, table
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold, by a model of the labelled ones among docs."""
-    return toxicity.clean_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-
-
-def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.good_documents(docs)
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates: shingles of five words, similarity of 0.8 or more."""
-    return simhash.first_of_groups(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, as often as its source's weight asks."""
-    return mixing.mixed_documents(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents."""
-    return packing.piece_digests(packing.pack_documents(docs))
-
-
-STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_duplicates", drop_copies), ("mixing", mix), ("packing", pack)]
-
-#: SQL expresses neither the fitted lexicon nor the tokenizer.
+#: SQL expresses neither the fitted lexicon nor the tokenizer; the tests have a brute-force version.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what is between them is written to the folder that all executors share."""
-    docs = table(spark, sf_dir, "documents")
-    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{at}/{k}-{name}")
-            docs = spark.read.parquet(f"{at}/{k}-{name}")
-    return docs
