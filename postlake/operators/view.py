@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.functions.text import contains_any, deadline_date, text
@@ -66,12 +66,31 @@ def deadline_order(descending: bool = False) -> list[Column]:
     return [F.desc_nulls_last(d) if descending else F.asc_nulls_last(d), F.asc("id")]
 
 
+def ranked(df: DataFrame, by: str, groups: dict[str, Column], order: list[Column], tie: str, name: str = "n") -> DataFrame:
+    """df with each row's place, from 1, among those of its `by`: by groups in the order of order, then by tie.
+
+    groups: columns under their names, which order reads. Groups are counted and their
+    counts summed, so that a task sorts the rows of one group, never all of a `by`.
+    """
+    rows = df.withColumns(groups)
+    keys = [by, *groups]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.coalesce(before, F.lit(0)).alias("__before"))
+    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(tie)))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = rows.join(sizes, same).withColumn(name, F.col("__before") + F.col("__i"))
+    return out.drop("__before", "__i", *groups, *(f"__{k}" for k in keys))
+
+
 def saved(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("id"), "id", "left_semi")
 
 
-def detail(df: DataFrame, posting_id: str) -> DataFrame:
-    """One posting with the label of its link."""
+def detail(df: DataFrame, posting_id: str | Column) -> DataFrame:
+    """One posting with the label of its link. posting_id: a value, or a scalar subquery."""
     return df.where(F.col("id") == posting_id).withColumn("apply_label", F.concat(F.lit("Apply on "), F.col("university")))
 
 

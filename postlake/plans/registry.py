@@ -10,9 +10,14 @@ from postlake.functions import text as T
 from postlake.operators import reconcile as R
 from postlake.operators import view as V
 from postlake.sources import html as H
+from postlake.sources import sites as S
+from postlake.sources import snapshot as CSV
+from postlake.sources.storage import kept, shared_folder
+from postlake.streaming import snapshots
 
 from . import archive as A
 from . import postings as P
+from .lists import QUERIES as LISTS
 
 _DAY = P._D
 _Q: dict = {}
@@ -104,16 +109,27 @@ _posted("p15_url_template", "SELECT ingest_seq, 'https://example.org/job?id=' ||
 
 
 def _cells():
-    return F.array(F.lit("Department of Music"), c("o_orderpriority"), F.date_format("o_orderdate", "d MMMM yyyy"), F.lpad(c("o_orderkey").cast("string"), 7, "0"), F.date_format("o_orderdate", "yyyy-MM-dd"))
-
-
-_add("p16_reference_cell", "SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS first_ref, lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS last_ref FROM orders")(lambda s, d: _t(s, d, "orders").select("o_orderkey", T.first_match(_cells(), r"^\d{7,10}$").alias("first_ref"), T.last_match(_cells(), r"^\d{5,8}$").alias("last_ref")))
-_add("p17_department_cell", "SELECT o_orderkey, 'Department of Music' AS dept FROM orders")(lambda s, d: _t(s, d, "orders").select("o_orderkey", T.last_match(_cells(), rules.DEPT_CELL).alias("dept")))
-_add("p18_date_cell", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS deadline, 1 AS n FROM orders")(lambda s, d: _t(s, d, "orders").select("o_orderkey", F.get(T.date_cells(_cells()), 0).alias("deadline"), F.size(T.date_cells(_cells())).alias("n")))
-_add("p19_optional_column", "SELECT o_orderkey, o_orderpriority AS project FROM orders")(lambda s, d: _t(s, d, "orders").select("o_orderkey", F.when((F.size(_cells()) >= 5) & ~F.get(_cells(), 1).rlike(r"\d{4}"), F.get(_cells(), 1)).otherwise("").alias("project")))
+    """Cells of five shapes: departments by two words or none, projects with and without a year, numbers with spaces, dates in ten formats."""
+    k = c("o_orderkey")
+    dept = F.when(k % 5 == 0, "Registry").when(k % 5 == 1, F.concat(F.lit("Faculty of "), "o_orderpriority")).otherwise(F.concat(F.lit("Department of "), c("o_custkey").cast("string")))
+    project = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit("Project "), c("o_orderpriority"))).otherwise(F.concat(F.lit("Grant "), F.date_format("o_orderdate", "yyyy")))
+    number = F.when(k % 7 == 0, "none").otherwise(F.concat(F.lpad(k.cast("string"), 6, "0"), F.when(k % 2 == 0, " ").otherwise(""), F.lit("77")))
+    return F.array(dept, F.lit("Professor"), project, F.expr(P._deadline("spark")), number, F.lpad((k + 5).cast("string"), 6, "9"))
+
+
+_K = "o_orderkey % 7 = 0"
+_DEPT = "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Faculty of ' || o_orderpriority ELSE 'Department of ' || o_custkey END"
+_ISO = "CASE WHEN o_orderkey % 10 IN (2, 8, 9) THEN '' WHEN o_orderkey % 10 = 4 AND day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%Y-%d-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END"
+_orders = lambda s, d: _t(s, d, "orders").withColumn("cells", _cells())
+_bare = lambda: F.transform("cells", lambda x: F.replace(x, F.lit(" "), F.lit("")))
+_add("p16_reference_cell", f"SELECT o_orderkey, CASE WHEN {_K} THEN '' ELSE lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '77' END AS first_ref, lpad(CAST(o_orderkey + 5 AS VARCHAR), 6, '9') AS last_ref FROM orders")(lambda s, d: _orders(s, d).select("o_orderkey", T.first_match(_bare(), rules.LONG_NUMBER).alias("first_ref"), T.last_match(c("cells"), rules.SHORT_NUMBER).alias("last_ref")))
+_add("p17_department_cell", f"SELECT o_orderkey, {_DEPT} AS dept FROM orders")(lambda s, d: _orders(s, d).select("o_orderkey", T.last_match(c("cells"), rules.DEPT_CELL).alias("dept")))
+_add("p18_date_cell", f"SELECT o_orderkey, {_ISO} AS deadline FROM orders")(lambda s, d: _orders(s, d).select("o_orderkey", F.coalesce(F.get(T.date_cells(c("cells")), 0), F.lit("")).alias("deadline")))
+_add("p19_optional_column", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 1 THEN 'Project ' || o_orderpriority ELSE '' END AS project FROM orders")(lambda s, d: _orders(s, d).select("o_orderkey", S.project_cell(c("cells"), F.lit("")).alias("project")))
 _posted("p20_placeholder", f"SELECT ingest_seq, title || ' — ' || department || '. {rules.PLACEHOLDER} for full details.' AS t FROM p", lambda: ("ingest_seq", T.placeholder(c("title"), c("department")).alias("t")))
 _add("p21_json_coalesce", "SELECT event_id, coalesce(json_extract_string(props, '$.K'), json_extract_string(props, '$.k'), '') AS v FROM events")(lambda s, d: _t(s, d, "events").select("event_id", T.json_first(c("props"), "K", "k").alias("v")))
-_posted("p22_sits_under", "SELECT ingest_seq, university_full AS dept FROM p", lambda: ("ingest_seq", T.strip(F.regexp_extract(F.concat(F.lit("This post sits under the "), "university_full", F.lit(" at our campus.")), rules.SITS_UNDER, 1)).alias("dept")))
+_SITS = ("This post sits under the {0} at our campus.", "It sits under {0}, with others.", "Sits near {0}.", "He sits under the {0}.")
+_posted("p22_sits_under", "SELECT ingest_seq, CASE WHEN ingest_seq % 4 = 2 THEN '' ELSE university_full END AS dept FROM p", lambda: ("ingest_seq", T.strip(F.regexp_extract(F.concat(*(F.when(c("ingest_seq") % 4 == i, F.replace(F.lit(x), F.lit("{0}"), c("university_full"))).otherwise("") for i, x in enumerate(_SITS))), rules.SITS_UNDER, 1)).alias("dept")))
 _posted("p23_prefix", "SELECT ingest_seq, title[1:25] AS t FROM p", lambda: ("ingest_seq", F.left("title", F.lit(25)).alias("t")))
 _add("p24_university_dimension", P.sql("SELECT ingest_seq, university, university_full FROM p"))(
     lambda s, d: P.postings(s, d).select("ingest_seq", "university").join(F.broadcast(s.createDataFrame([(u[1], u[3]) for u in rules.UNIVERSITIES], "university string, university_full string")), "university").select("ingest_seq", "university", "university_full")
@@ -142,8 +158,33 @@ _add("f14_not_available", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN '1
 )
 
 # --- Text to rows -----------------------------------------------------------------------
-_add("x2_links", "SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS BIGINT) AS n FROM pages")(lambda s, d: H.with_parsed(_t(s, d, "pages"), "html", "l", "links", H.links).select("page_id", F.size("l").cast("bigint").alias("n")))
-_add("x8_pruned_text")(lambda s, d: H.with_parsed(_t(s, d, "pages"), "html", "b", "texts", lambda h: H.blocks(h, "article")).select("page_id", F.array_join("b", "\n").alias("body")))
+_add("x1_table_rows", f"""WITH l AS ({A._lst('cuhk')}) SELECT page, CAST(r - 1 AS BIGINT) AS row_no, job || '|' || title || '|' || CASE WHEN bare THEN '-' ELSE dept END || '|123456' AS cells, '/c/' || job AS href FROM l""")(
+    lambda s, d: H.with_parsed(A.pages(s, d, "cuhk").select("page_no", "html"), "html", "r", "rows", H.table_rows).select(c("page_no").alias("page"), F.explode("r").alias("r")).select("page", "r.row_no", F.array_join(F.transform("r.cells", lambda x: x["text"]), "|").alias("cells"), "r.href")
+)
+_add("x2_links", """SELECT page_id, CAST(i - 1 AS BIGINT) AS link_no, hrefs[i] AS href, trim(texts[i]) AS text FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1) AS hrefs, regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1) AS texts, unnest(range(1, len(regexp_extract_all(html, '<a [^>]*href=')) + 1)) AS i FROM pages)""")(
+    lambda s, d: H.with_parsed(_t(s, d, "pages").select("page_id", "html"), "html", "l", "links", H.links).select("page_id", F.explode("l").alias("l")).select("page_id", "l.link_no", "l.href", "l.text")
+)
+_add("x3_accordions", f"""WITH l AS ({A._lst('sfu')}) SELECT page, CAST(r - 1 AS BIGINT) AS block_no, title || CASE WHEN bare THEN '' ELSE ', ' || dept END || ' (Ref.: S/' || job || ')' AS button, {P._quote(A.FILLER)} || '|Deadline|5 March 202' || k % 10 || '|Short' AS parts FROM l""")(
+    lambda s, d: H.with_parsed(A.pages(s, d, "sfu").select("page_no", "html"), "html", "b", "accordions", H.accordions).select(c("page_no").alias("page"), F.explode("b").alias("b")).select("page", "b.block_no", "b.button", F.array_join("b.parts", "|").alias("parts"))
+)
+_AT = "list_sum(list_transform(parts[1:i], lambda x: length(x))) + 3 * (i - 1)"
+_add("x4_anchor_windows", f"""SELECT doc_id, CAST(i - 1 AS BIGINT) AS match_no, text[CAST(greatest(pos - 59, 1) AS BIGINT):CAST(pos AS BIGINT)] AS before, text[CAST(pos + 4 AS BIGINT):CAST(pos + 23 AS BIGINT)] AS after FROM (SELECT doc_id, text, i, {_AT} AS pos FROM (SELECT doc_id, text, string_split(text, 'the') AS parts, unnest(range(1, len(string_split(text, 'the')))) AS i FROM documents WHERE text IS NOT NULL))""")(
+    lambda s, d: H.with_parsed(_t(s, d, "documents").select("doc_id", "text"), "text", "w", "windows", lambda t: H.windows(t, "the", 60, 20)).select("doc_id", F.explode("w").alias("w")).select("doc_id", "w.match_no", "w.before", "w.after")
+)
+_add("x5_title_above", f"SELECT title, department, reference FROM ({A.expected_sql('eduhk')})")(lambda s, d: S.eduhk(A.pages(s, d, "eduhk")).select("title", "department", "reference"))
+_add("x6_department_below", f"SELECT title, department, reference FROM ({A.expected_sql('hkust')})")(lambda s, d: S.hkust(A.pages(s, d, "hkust")).select("title", "department", "reference"))
+_add("x7_labelled_fields", f"SELECT reference, deadline FROM ({A.expected_sql('eduhk')})")(lambda s, d: S.eduhk(A.pages(s, d, "eduhk")).select("reference", "deadline"))
+_PLAIN = "regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<[^>]*>', ' ', 'g')"
+for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_sign}')"
+_add("x8_pruned_text", rf"SELECT page_id, trim(regexp_replace({_PLAIN}, '[\s\x{{00a0}}]+', ' ', 'g')) AS body FROM pages")(lambda s, d: H.with_parsed(_t(s, d, "pages").select("page_id", "html"), "html", "b", "texts", lambda h: H.blocks(h, "article")).select("page_id", F.array_join("b", "\n").alias("body")))
+_add("x14_nearest_link", f"WITH l AS ({A._lst('hkust')}) SELECT page, CAST(job AS VARCHAR) AS reference, 'https://apply.interfolio.com/' || job AS href FROM l WHERE k % 2 = 0")(
+    lambda s, d: H.with_parsed(A.pages(s, d, "hkust").select("page_no", "html"), "html", "u", "urls", lambda h: H.nearest_links(h, "Job ID", "interfolio")).select(c("page_no").alias("page"), F.explode("u").alias("u")).select("page", "u.reference", "u.href")
+)
+_PARTS = f"[CASE WHEN job % 2 = 0 THEN 'div|side|' || {P._quote(A.FILLER)}[1:100] END, CASE WHEN job % 2 = 0 THEN 'div|{rules.CONTENT_CLASS}|' || ({A._FIRST} || ' ' || upper({A._FIRST}) || ' ' || {A._MORE})[1:100] ELSE 'div||' || ({A._BLOCK})[1:100] END, CASE WHEN job % 2 = 0 THEN 'p||' || ({A._FIRST})[1:100] ELSE 'p||Closing Date: 5 March 199' || job % 10 END, CASE WHEN job % 2 = 0 THEN 'p||' || upper({A._FIRST})[1:100] END, CASE WHEN job % 2 = 0 THEN 'p||' || {A._MORE}[1:100] END]"
+_add("k4_debug_elements", f"WITH l AS ({A._lst('polyu')}), j AS (SELECT DISTINCT job FROM l WHERE job % 4 <> 3), e AS (SELECT job, list_filter({_PARTS}, lambda x: x IS NOT NULL) AS parts FROM j) SELECT job, CAST(unnest(range(len(parts))) AS BIGINT) AS n, unnest(parts) AS part FROM e")(
+    lambda s, d: CSV.elements(A.details(s, d, "polyu")).select(F.regexp_extract("url", r"job=(\d+)", 1).cast("bigint").alias("job"), "n", F.concat_ws("|", "tag", "cls", "text").alias("part")).distinct()
+)
 _add("x9_longest_block", "SELECT doc_id, coalesce(arg_max(line, struct_pack(l := length(line), n := -n))[1:3000], '') AS block FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents) GROUP BY doc_id, length(line) BETWEEN 151 AND 4999 HAVING length(any_value(line)) BETWEEN 151 AND 4999")(
     lambda s, d: _t(s, d, "documents").select("doc_id", T.longest_block(F.split("text", "\n")).alias("block")).where("block <> ''")
 )
@@ -153,9 +194,8 @@ _add("x11_distinct_paragraphs", "SELECT doc_id, string_agg(line, chr(10) || chr(
 )
 _add("x12_content_paragraphs", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) > 20 AND NOT regexp_matches(x, '(?i)^(Deadline|Until the Position)')), chr(10) || chr(10))[1:3000] AS t FROM documents")(lambda s, d: _t(s, d, "documents").select("doc_id", T.content_paragraphs(F.split("text", "\n")).alias("t")))
 _add("x13_max_label", "SELECT o_custkey, greatest(max(o_orderkey), 1) AS n FROM orders GROUP BY o_custkey")(
-    lambda s, d: _t(s, d, "orders").groupBy("o_custkey").agg(F.collect_list(c("o_orderkey").cast("string")).alias("a")).select("o_custkey", F.coalesce(F.array_max(F.filter(F.transform("a", lambda b: b.try_cast("bigint")), lambda n: n > 0)), F.lit(1)).alias("n"))
+    lambda s, d: _t(s, d, "orders").groupBy("o_custkey").agg(F.greatest(F.coalesce(F.max(c("o_orderkey").cast("string").try_cast("bigint")), F.lit(1)), F.lit(1)).alias("n"))
 )
-_add("x4_anchor_windows", "SELECT doc_id, CAST(len(regexp_extract_all(text, 'the')) AS BIGINT) AS n FROM documents")(lambda s, d: H.with_parsed(_t(s, d, "documents").select("doc_id", "text"), "text", "w", "windows", lambda t: H.windows(t, "the", 60, 20)).select("doc_id", F.size("w").cast("bigint").alias("n")))
 
 # --- Dedup, joins, state ----------------------------------------------------------------
 _add("a1_first_of_id", P.sql("SELECT id, ingest_seq, title FROM firsts"))(lambda s, d: R.keep_first(P.postings(s, d), ["id"], ["ingest_seq"]).select("id", "ingest_seq", "title"))
@@ -185,8 +225,8 @@ def _urls(s, d):
 
 _add("j4_override_url", P.sql("SELECT id, CASE WHEN custkey % 5 = 0 THEN 'https://i.example/' || reference ELSE apply_url END AS apply_url, custkey % 5 = 0 AS url_changed FROM firsts"))(lambda s, d: R.override_urls(_firsts(s, d), _urls(s, d)).select("id", "apply_url", "url_changed"))
 _add("t3_invalidated_cache", P.sql("SELECT id FROM prev WHERE id NOT IN (SELECT id FROM firsts WHERE custkey % 5 = 0)"))(lambda s, d: R.invalidate(P.previous(s, d), R.override_urls(_firsts(s, d), _urls(s, d))).select("id"))
-_add("j5_zip_links", P.sql("SELECT a.university, a.ingest_seq, coalesce('pdf-' || b.k, 'list') AS apply_url FROM (SELECT *, row_number() OVER (PARTITION BY university ORDER BY ingest_seq) AS n FROM firsts) a LEFT JOIN (SELECT university, custkey AS k, row_number() OVER (PARTITION BY university ORDER BY custkey) AS m FROM firsts WHERE custkey % 2 = 0) b ON a.university = b.university AND a.n = b.m"))(
-    lambda s, d: R.zip_by_ordinal(_firsts(s, d).drop("apply_url"), _firsts(s, d).where("custkey % 2 = 0").select("university", "custkey", F.concat(F.lit("pdf-"), c("custkey").cast("string")).alias("href")), ["university"], ["ingest_seq"], "custkey", F.lit("list")).select("university", "ingest_seq", "apply_url")
+_add("j5_zip_links", P.sql("SELECT a.university, a.page, a.ingest_seq, coalesce('pdf-' || b.k, 'list') AS apply_url FROM (SELECT *, custkey // 20 AS page, row_number() OVER (PARTITION BY university, custkey // 20 ORDER BY ingest_seq) AS n FROM firsts) a LEFT JOIN (SELECT university, custkey // 20 AS page, custkey AS k, row_number() OVER (PARTITION BY university, custkey // 20 ORDER BY custkey) AS m FROM firsts WHERE custkey % 2 = 0) b ON a.university = b.university AND a.page = b.page AND a.n = b.m"))(
+    lambda s, d: (lambda f: R.zip_by_ordinal(f.drop("apply_url"), f.where("custkey % 2 = 0").select("university", "page", "custkey", F.concat(F.lit("pdf-"), c("custkey").cast("string")).alias("href")), ["university", "page"], ["ingest_seq"], "custkey", F.lit("list")))(_firsts(s, d).withColumn("page", F.floor(c("custkey") / 20))).select("university", "page", "ingest_seq", "apply_url")
 )
 _add("j6_details", P.sql("SELECT id, CASE WHEN custkey % 2 = 0 THEN 'Detail of ' || reference ELSE description END AS description FROM firsts"))(
     lambda s, d: R.join_details(_firsts(s, d), _firsts(s, d).where("custkey % 2 = 0").select(c("apply_url").alias("url"), F.concat(F.lit("Detail of "), "reference").alias("body_text")).distinct(), c("body_text")).select("id", "description")
@@ -196,20 +236,68 @@ _add("j8_saved", P.sql("SELECT id FROM snap WHERE id IN (SELECT id FROM prev WHE
 _add("d1_desc_action", P.sql("SELECT id, desc_action FROM snap"))(lambda s, d: P.snapshot(s, d).select("id", "desc_action"))
 _add("g1_summarise", P.sql("SELECT id, CASE WHEN desc_action = 'summarise' THEN description[1:40] ELSE description END AS description FROM snap"))(lambda s, d: R.summarise(P.snapshot(s, d).select("id", "title", "department", "desc_action", "description"), lambda t, *_: t[:40]).select("id", "description"))
 _add("t2_expired", P.sql(f"SELECT id FROM firsts WHERE dd < {_DAY} - 14"))(lambda s, d: _firsts(s, d).where(~T.is_retained(c("deadline"), P.as_of())).select("id"))
-_add("o1_union", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')")(lambda s, d: R.union_sources([_t(s, d, "orders").where(c("o_orderstatus") == x).select("o_orderkey", "o_orderstatus") for x in "FO"]))
-_add("o3_distinct_union", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O')")(lambda s, d: R.keep_first(R.union_sources([_t(s, d, "orders").where(c("o_orderstatus") == x).select("o_custkey") for x in "FO"]), ["o_custkey"], ["o_custkey"]))
+_STATUS = ("o_orderstatus = 'F'", "o_orderstatus = 'O'", "coalesce(o_orderstatus, '') NOT IN ('F', 'O')")
+_add("o1_union", "SELECT o_orderkey, o_orderstatus FROM orders")(lambda s, d: R.union_sources([_t(s, d, "orders").where(x).select("o_orderkey", "o_orderstatus") for x in _STATUS]))
+_add("o3_distinct_union", "SELECT DISTINCT o_custkey FROM orders")(lambda s, d: R.keep_first(R.union_sources([_t(s, d, "orders").where(x).select("o_custkey") for x in _STATUS]), ["o_custkey"], ["o_custkey"]))
 _add("o4_difference", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")(lambda s, d: _t(s, d, "orders").where("o_orderstatus = 'F'").select("o_custkey").distinct().join(_t(s, d, "orders").where("o_orderstatus = 'O'").select("o_custkey"), "o_custkey", "left_anti"))
 
 # --- Whole runs of every source, from archived pages ---------------------------------------
 for _n, _source in enumerate(("polyu", "eduhk", "lingnan", "hku", "hkust", "cityu", "hkbu", "cuhk", "hksyu", "sfu", "hsu", "hkmu"), 1):
     _add(f"u{_n}_{_source}", A.expected_sql(_source))(lambda s, d, x=_source: A.run(s, d, x))
 
-# --- View -------------------------------------------------------------------------------
-from pyspark.sql import Window  # noqa: E402
+_COUNTS = {u[0]: f"SELECT '{u[1]}' AS university, count(*) AS n FROM ({A.listed_sql(u[0])})" for u in rules.UNIVERSITIES}
+
+
+def _everything(s, d, *names):
+    return R.union_sources([A.pages(s, d, x) for x in names or A.SOURCES])
+
+
+def _broken(pages: DataFrame) -> DataFrame:
+    """A source that fails in its tasks, not while it is planned."""
+    return S.sfu(pages).withColumn("title", F.raise_error(F.lit("the site changed")).cast("string"))
+
+
+_counted = lambda df: df.groupBy("university").agg(F.count("*").alias("n"))
+_add("g2_extractors", " UNION ALL ".join(_COUNTS.values()))(lambda s, d: _counted(S.collect(_everything(s, d))[0]))
+_add("s5_source_selection", f"SELECT id, title FROM ({A.listed_sql('hku')})")(lambda s, d: S.collect(_everything(s, d, "hku", "hsu"), "HKU")[0].select("id", "title"))
+_add("s6_isolation", f"{_COUNTS['hsu']} UNION ALL {_COUNTS['hkmu']}")(lambda s, d: _counted(S.collect(_everything(s, d, "hsu", "sfu", "hkmu"), sites={"hsu": S.hsu, "sfu": _broken, "hkmu": S.hkmu}, settle=kept)[0]))
+_add("g3_in_page", f"SELECT * FROM ({_SQL['x14_nearest_link']})")(_Q["x14_nearest_link"])
+for _name, (_query, _sql) in LISTS.items():
+    _add(_name, _sql)(_query)
 
+
+def _written(s: SparkSession, snapshot: DataFrame):
+    """The snapshot, written as the CSV state and read back."""
+    import uuid
+
+    path = f"{shared_folder(s)}/state-{uuid.uuid4().hex}.csv"
+    CSV.write_snapshot(snapshot, path)
+    return CSV.read_snapshot(s, path, P.as_of())
+
+
+_add("k1_csv_round_trip", P.sql("SELECT id, CAST(date_added AS VARCHAR) AS date_added, description FROM snap"))(lambda s, d: _written(s, P.snapshot(s, d)).select("id", c("date_added").cast("string").alias("date_added"), "description"))
+_add("s4_csv_scan", P.sql("SELECT id, CAST(date_added AS VARCHAR) AS date_added FROM snap WHERE desc_action = 'keep'"))(lambda s, d: _written(s, P.snapshot(s, d).where("desc_action = 'keep'").withColumn("title", F.concat(F.lit('"a", line\nand "'), "title"))).select("id", c("date_added").cast("string").alias("date_added")))
+
+
+def _tomorrow():
+    return F.date_add(P.as_of(), 1)
+
+
+_add("t1_snapshot_state", P.sql(f"SELECT f.id, f.custkey % 3 = 0 AS is_new, CAST(CASE WHEN f.custkey % 3 = 0 THEN {_DAY} + 1 ELSE s.date_added END AS VARCHAR) AS date_added FROM firsts f LEFT JOIN snap s ON f.id = s.id WHERE f.dd IS NULL OR f.dd >= {_DAY} - 13"))(
+    lambda s, d: R.run(P.postings(s, d), _written(s, R.run(P.postings(s, d).where("custkey % 3 <> 0"), P.previous(s, d), P.as_of())), _tomorrow()).select("id", "is_new", c("date_added").cast("string").alias("date_added"))
+)
+_add("t4_carry_forward", P.sql(f"SELECT id, false AS is_new, CAST(date_added AS VARCHAR) AS date_added FROM snap WHERE dd IS NULL OR dd >= {_DAY} - 13"))(
+    lambda s, d: snapshots.next_snapshot(P.postings(s, d).where("custkey % 2 = 0"), kept(P.snapshot(s, d)), _tomorrow(), True).select("id", "is_new", c("date_added").cast("string").alias("date_added"))
+)
+
+# --- View -------------------------------------------------------------------------------
 _BADGE = f"coalesce(date_added BETWEEN {_DAY} - 1 AND {_DAY}, false)"
-_add("v1_smart_sort", P.sql(f"SELECT id, university, row_number() OVER (PARTITION BY university ORDER BY {_BADGE} DESC, date_added DESC, id) AS n FROM snap"))(lambda s, d: P.snapshot(s, d).select("id", "university", F.row_number().over(Window.partitionBy("university").orderBy(*V.smart_order(P.as_of()))).cast("bigint").alias("n")))
-_add("v2_deadline_sort", P.sql("SELECT id, university, row_number() OVER (PARTITION BY university ORDER BY dd ASC NULLS LAST, id) AS n FROM snap"))(lambda s, d: P.snapshot(s, d).select("id", "university", F.row_number().over(Window.partitionBy("university").orderBy(*V.deadline_order())).cast("bigint").alias("n")))
+_add("v1_smart_sort", P.sql(f"SELECT id, university, row_number() OVER (PARTITION BY university ORDER BY {_BADGE} DESC, date_added DESC, id) AS n FROM snap"))(
+    lambda s, d: V.ranked(P.snapshot(s, d).select("id", "university", "date_added"), "university", {"badge": V.is_badge(c("date_added"), P.as_of()), "day": c("date_added")}, [F.desc("badge"), F.desc("day")], "id").select("id", "university", "n")
+)
+_add("v2_deadline_sort", P.sql("SELECT id, university, row_number() OVER (PARTITION BY university ORDER BY dd ASC NULLS LAST, id) AS n FROM snap"))(
+    lambda s, d: V.ranked(P.snapshot(s, d).select("id", "university", "deadline"), "university", {"day": T.deadline_date(c("deadline"))}, [F.asc_nulls_last("day")], "id").select("id", "university", "n")
+)
 _add("v3_search", P.sql("SELECT id FROM snap WHERE lower(title || ' ' || department || ' ' || university_full || ' ' || description) LIKE '%physics%'"))(lambda s, d: V.search(P.snapshot(s, d), "Physics").select("id"))
 _add("v4_filters", P.sql("SELECT id FROM snap WHERE university = 'HKU' AND rank = 'Professor'"))(lambda s, d: V.view(P.snapshot(s, d), P.as_of(), university="HKU", ranks=["Professor"], sort="none").select("id"))
 _add("v4_departments", P.sql("SELECT DISTINCT department FROM snap WHERE university = 'HKU'"))(lambda s, d: V.departments(P.snapshot(s, d), "HKU"))
@@ -220,7 +308,7 @@ _add("v7_new_badge", P.sql(f"SELECT id, {_BADGE} AS badge FROM snap"))(lambda s,
 _add("v8_deadline_status", P.sql(f"SELECT id, CASE WHEN dd IS NULL THEN 'none' WHEN dd < {_DAY} THEN 'closed' WHEN dd <= {_DAY} + 3 THEN 'urgent' WHEN dd <= {_DAY} + 7 THEN 'soon' ELSE 'ok' END AS status FROM snap"))(lambda s, d: P.snapshot(s, d).select("id", V.deadline_status(c("deadline"), P.as_of()).alias("status")))
 _add("v9_count", P.sql("SELECT count(*) AS n FROM snap WHERE rank = 'Lecturer'"))(lambda s, d: V.view(P.snapshot(s, d), P.as_of(), ranks=["Lecturer"], sort="none").agg(F.count("*").alias("n")))
 _add("v10_saved_view", P.sql("SELECT id FROM snap WHERE id IN (SELECT id FROM prev) AND rank = 'Professor'"))(lambda s, d: V.view(P.snapshot(s, d), P.as_of(), ranks=["Professor"], saved_ids=P.previous(s, d), sort="none").select("id"))
-_add("v11_detail", P.sql("SELECT id, 'Apply on ' || university AS apply_label FROM snap WHERE id = (SELECT min(id) FROM snap)"))(lambda s, d: (lambda x: V.detail(x, x.agg(F.min("id")).first()[0]).select("id", "apply_label"))(P.snapshot(s, d)))
+_add("v11_detail", P.sql("SELECT id, 'Apply on ' || university AS apply_label FROM snap WHERE id = (SELECT min(id) FROM snap)"))(lambda s, d: (lambda x: V.detail(x, x.agg(F.min("id")).scalar()).select("id", "apply_label"))(P.snapshot(s, d)))
 _add("v12_stat_header", P.sql(f"SELECT university, count(*) FILTER (date_added = {_DAY}) AS new_today FROM snap GROUP BY ALL"))(lambda s, d: P.snapshot(s, d).groupBy("university").agg(F.count_if(c("date_added") == P.as_of()).alias("new_today")))
 
 

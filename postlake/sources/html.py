@@ -234,10 +234,13 @@ def page_numbers(html: str | None) -> list[str]:
     return [squeeze(b.text()) for b in parse(html).find_all("button")]
 
 
-def next_link(html: str | None) -> bool:
-    """True if the page has a link to a next one that is not disabled."""
-    a = next((a for a in parse(html).find_all("a") if a.attrs.get("title") == "Next" or squeeze(a.text()).lower() == "next"), None)
-    return a is not None and not re.search("disabled|inactive", a.attrs.get("class", "").lower())
+def next_link(html: str | None) -> str | None:
+    """The address of the page's link to a next one, empty if it has none of its own; None without an enabled link."""
+    a = next((a for a in parse(html).find_all("a", "button") if a.attrs.get("title") == "Next" or a.attrs.get("aria-label") == "Next" or squeeze(a.text()).lower() == "next"), None)
+    if a is None or "disabled" in a.attrs or re.search("disabled|inactive", a.attrs.get("class", "").lower()):
+        return None
+    href = a.attrs.get("href", "")
+    return "" if href.startswith(("#", "javascript:")) else href
 
 
 _S, _L = pa.string(), pa.int64()

@@ -72,14 +72,19 @@ def _or_name(dept: Column, source: str) -> Column:
     return T.first_filled(dept, _full(source))
 
 
+def project_cell(cells: Column, ref: Column) -> Column:
+    """The third of five cells or more, a project's title, unless it is the reference or has four digits in a row."""
+    third = F.get(cells, 2)
+    return F.when((F.size(cells) >= 5) & (third != ref) & ~third.rlike(r"\d{4}"), third).otherwise("")
+
+
 def polyu(pages: DataFrame) -> DataFrame:
     rows = _cells(pages).where("table_no = 0 and in_table > 0")
     rows = rows.withColumn("td", F.filter("cells", lambda c: c["tag"] == "td")).withColumn("t", _texts(F.col("td"))).where(F.size("t") >= 3)
     t = F.col("t")
     bare = F.transform(t, lambda x: F.replace(x, F.lit(" "), F.lit("")))
     rows = rows.withColumn("ref", T.first_match(bare, rules.LONG_NUMBER)).withColumns({"dept": F.get(t, 0), "title": F.get(t, 1), "deadline": F.coalesce(F.get(T.date_cells(t), 0), F.lit(""))})
-    third = F.get(t, 2)
-    project = F.when((F.size(t) >= 5) & (third != F.col("ref")) & ~third.rlike(r"\d{4}"), third).otherwise("")
+    project = project_cell(t, F.col("ref"))
     about = F.concat("title", F.when(project != "", F.concat(F.lit(" — Project: "), project)).otherwise(""), F.lit(" ("), F.col("dept"), F.lit("). See application link for full details."))
     rows = _first(rows.where("ref <> '' and title <> ''").withColumn("description", about), F.col("ref"))
     return _finish(rows.withColumn("apply_url", F.concat(F.lit(f"{BASES['polyu']}/job_detail.php?job="), "ref")), "polyu", F.col("ref"), F.lit("Full-time"))
@@ -320,18 +325,22 @@ def run_source(source: str, pages: DataFrame, details: DataFrame, cache: DataFra
 SITES = {"polyu": polyu, "eduhk": eduhk, "lingnan": lingnan, "hku": hku, "hkust": hkust, "cityu": cityu, "hkbu": hkbu, "cuhk": cuhk, "hkmu": hkmu, "hsu": hsu, "sfu": sfu, "hksyu": hksyu}
 
 
-def collect(pages: DataFrame, source: str | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """All sources' postings in the registry's order with ingest_seq, and the errors of those whose plan failed.
+def collect(pages: DataFrame, source: str | None = None, sites: dict | None = None, settle=None) -> tuple[DataFrame, dict[str, str]]:
+    """All sources' postings in the registry's order with ingest_seq, and the errors of those that failed.
 
-    With source, that one alone; an unknown name is a ValueError.
+    With source, that one alone; an unknown name is a ValueError. settle(DataFrame) works
+    a source out and keeps it, such as storage.kept: with it, a source that fails in its
+    tasks is left out like one whose plan fails, and the others are not touched.
     """
-    if source is not None and source.lower() not in SITES:
-        raise ValueError(f"unknown source {source!r}; known: {', '.join(SITES)}")
+    sites = sites or SITES
+    if source is not None and source.lower() not in sites:
+        raise ValueError(f"unknown source {source!r}; known: {', '.join(sites)}")
     parts, errors = [], {}
-    for i, (name, site) in enumerate(SITES.items()):
+    for i, (name, site) in enumerate(sites.items()):
         if source is None or source.lower() == name:
             try:
-                parts.append(site(pages.where(F.col("source") == name)).withColumn("ingest_seq", F.struct(F.lit(i).alias("source_no"), *_ORDER)).drop(*_ORDER))
+                part = site(pages.where(F.col("source") == name)).withColumn("ingest_seq", F.struct(F.lit(i).alias("source_no"), *_ORDER)).drop(*_ORDER)
+                parts.append(settle(part) if settle else part)
             except Exception as e:  # noqa: BLE001  one source's failure leaves the others
                 if source is not None:
                     raise

@@ -12,6 +12,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -34,48 +35,65 @@ def http(url: str) -> str:
 
 @dataclass(frozen=True)
 class Start:
-    """A list to read: where it starts and how it goes on."""
+    """A list to read: where it starts, how it goes on, and where it ends at the latest."""
 
     source: str
     section: str
     url: str
     section_no: int = 0
     paging: str = "one"  # one, next, numbered, offset, grow
-    most: int = 50
-    size: int = 25
+    most: int = 50  # pages, clicks or rounds
+    size: int = 25  # items of a JSON page
+    last_offset: int = 1000  # of JSON pages
+    anchor: str = ""  # what every page of the list has
+    rows: str = ""  # what a growing list has more of, as a pattern; its length by default
+    patience: int = 1  # rounds without growth that end a growing list
 
 
 def pages(start: Start, fetch: Callable[[str], str]) -> Iterator[tuple[int, str, str]]:
-    """page_no, url, text of a list's pages, until its own end or the most pages.
+    """page_no, url, text of a list's pages, until its own end or its bounds.
 
-    one: the page alone. next: while it has an enabled link to a next one (`{page}` in
-    the url). numbered: up to the largest number on its buttons. offset: JSON pages of
-    `size` items (`{offset}`) while hasMore and items last. grow: while the next page is
-    longer than the one before (`{page}`); the last one has all.
+    one: the page alone. next: while it has an enabled link to a next one, which is
+    followed, or gives the number in `{page}` if it has no address. numbered: up to the
+    largest number on its buttons. offset: JSON pages of `size` items (`{offset}`) while
+    hasMore and items last. grow: page after page (`{page}`) until `patience` of them had
+    no more rows than the longest; that one has all. A page without the anchor ends a list.
     """
     if start.paging == "one":
         yield 0, start.url, fetch(start.url)
         return
-    last, longest = None, -1
+    at, longest, still = None, -1, 0
+    url = start.url.replace("{page}", "1").replace("{offset}", "0")
     for n in range(start.most):
-        url = start.url.replace("{page}", str(n + 1)).replace("{offset}", str(n * start.size))
         text = fetch(url)
+        if start.anchor and start.anchor not in text:
+            break
+        following = start.url.replace("{page}", str(n + 2)).replace("{offset}", str((n + 1) * start.size))
         if start.paging == "grow":
-            if len(text) <= longest:
-                break
-            longest, last = len(text), (n, url, text)
+            count = len(re.findall(start.rows, text)) if start.rows else len(text)
+            if count > longest:
+                longest, still, at = count, 0, (n, url, text)
+            else:
+                still += 1
+                if still >= start.patience:
+                    break
+            url = following
             continue
         yield n, url, text
-        if start.paging == "next" and not next_link(text):
-            break
+        if start.paging == "next":
+            link = next_link(text)
+            if link is None or not link and following == start.url:
+                break
+            following = urljoin(url, link) if link else following
         if start.paging == "numbered" and n + 1 >= max([1, *(int(x) for x in page_numbers(text) if re.fullmatch(r"[1-9]\d*", x))]):
             break
         if start.paging == "offset":
             body = json.loads(text)
-            if not body.get("hasMore") or not body.get("items"):
+            if not body.get("hasMore") or not body.get("items") or (n + 1) * start.size > start.last_offset:
                 break
-    if last:
-        yield last
+        url = following
+    if at:
+        yield at
 
 
 @dataclass

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("flagship", "run_snapshot", "p1_clean", "p2_make_id", "p3_infer_department", "p6_parse_date", "x10_substantive_lines", "x11_distinct_paragraphs", "j3_restore_cached", "v5_area", "w4_first_seen")
+NAMES = ("flagship", "run_snapshot", "p1_clean", "p2_make_id", "p3_infer_department", "p6_parse_date", "x10_substantive_lines", "x11_distinct_paragraphs", "j3_restore_cached", "v5_area", "w4_first_seen", "u2_eduhk", "u5_hkust", "u7_hkbu", "u11_hsu", "x2_links", "x4_anchor_windows", "x8_pruned_text", "k4_debug_elements", "s6_isolation", "s7e_load_more", "t1_snapshot_state", "p18_date_cell", "v1_smart_sort", "j5_zip_links")
 
 
 def canon(df):

@@ -79,7 +79,8 @@ def test_override_and_details(spark):
 def test_html():
     assert H.body_text("<head><title>t</title></head><p>a<p>b <b>c</b><script>x='</p>'</script><br>d") == "a\nb c\nd"
     assert [r["cells"][0]["text"] for r in H.table_rows("<table><tr><td>1<tr><td>2</table>")] == ["1", "2"]
-    assert H.next_link("<a title='Next' class='off'>x</a>") and not H.next_link("<a title='Next' class='disabled'>x</a>") and not H.next_link("")
+    assert H.next_link("<a title='Next' class='off' href='?p=2'>x</a>") == "?p=2" and H.next_link("<button>Next</button>") == ""
+    assert H.next_link("<a title='Next' class='disabled'>x</a>") is None and H.next_link("<button disabled>next</button>") is None and H.next_link("") is None
 
 
 def test_paging_and_source(spark):
@@ -87,6 +88,13 @@ def test_paging_and_source(spark):
     read = lambda **k: [n for n, _, _ in pages(Start("s", "", **k), site.__getitem__)]
     assert read(url="p{page}", paging="next") == [0, 1] and read(url="n{page}", paging="numbered") == [0, 1]
     assert read(url="o{offset}", paging="offset") == [0, 1] and read(url="g{page}", paging="grow") == [1] and read(url="one") == [0]
+    grown = {f"s{n}": "x" * min(n, 4) if n != 6 else "x" for n in range(1, 20)} | {f"r{n}": "<tr>" * n for n in (1, 2, 3)} | {"r4": "<tr>" * 3 + "longer"}
+    assert [n for n, _, _ in pages(Start("s", "", "s{page}", paging="grow", patience=3), grown.__getitem__)] == [3]
+    assert [t for _, _, t in pages(Start("s", "", "r{page}", paging="grow", rows="<tr"), grown.__getitem__)] == ["<tr>" * 3]
+    chain = {"http://h/a": "Ad <a title='Next' href='/b'>n</a>", "http://h/b": "Ad <a title='Next' href='c'>n</a>", "http://h/c": "none <a title='Next' href='c'>n</a>"}
+    assert [u for _, u, _ in pages(Start("s", "", "http://h/a", paging="next", anchor="Ad"), chain.__getitem__)] == ["http://h/a", "http://h/b"]
+    endless = lambda url: '{"items": [1], "hasMore": true}'
+    assert [n * 25 for n, _, _ in pages(Start("s", "", "o{offset}", paging="offset", most=100), endless)][-1] == 1000
     df = read_pages(spark, [Start("a", "", "one"), Start("b", "", "none")], site.__getitem__, pause=0)
     got = {r.source: (r.body_text, r.error) for r in df.collect()}
     assert got["a"] == ("x", None) and got["b"][0] is None and "KeyError" in got["b"][1]
