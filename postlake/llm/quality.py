@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import SPACE_CLASS, WORD_CLASS, cut
+
 #: measure: (bins at most, slack beyond the fence, whether low values fail too).
 #: symbols: thousandths of word characters; lines: thousandths of lines that repeat; length: hundredths of characters a word.
 MEASURES = {"symbols": (1000, 20, False), "lines": (1000, 250, False), "length": (10_000, 100, True)}
@@ -22,44 +24,56 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 #: Groups up to which the fences are sent to every task; beyond, they are joined by shuffling.
 MAX_SENT = 50_000
 
-_SPACE, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 _M = "__quality_"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, _SPACE, " " * len(_SPACE)), " +"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{SPACE_CLASS}+"), "")
+
 
+def _windows(words: Column, low: Column) -> Column:
+    """A long for each three-word window, sorted: its hash in the upper bits, its place in the bits of low.
 
-def _repeated(words: Column) -> Column:
-    """Places covered by a three-word window that the text has twice or more: equal windows meet by sorting."""
+    Equal windows stand side by side, and plain longs sort without objects.
+    """
     n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)).alias("h"), i.alias("i")))
-    return F.when(n < 3, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(F.sort_array(windows))
+    hashed = lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
+    # No null can be there, which coalesce tells the planner: longs that may be null sort as objects.
+    packed = lambda w, i: F.coalesce(hashed(w, i).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")), F.lit(0).cast("long"))
+    return F.sort_array(F.slice(F.transform(words, packed), F.lit(1), F.greatest(n - 2, F.lit(0))))
+
+
+def _ones(n: Column) -> Column:
+    """Ones in the bits that a place among n needs."""
+    bits = F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int")
+    return F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - F.lit(1).cast("long"), F.lit(0).cast("long"))
 
 
-def measured(docs: DataFrame, text_col: str = "text", repeats: bool = True) -> DataFrame:
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with what the rules read, in columns whose names start with _M; nothing is shuffled.
 
-    A null text has no words. Windows are compared by a 64-bit hash of their words.
+    A null text has no words. Windows are compared by the upper bits of a 64-bit hash of
+    their words, all but those that the text's places need.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACE, "") != "")
-    out = docs.withColumns({f"{_M}words": _words(text), f"{_M}lines": lines})
+    words, lines, low, ordered, places = (F.col(_M + x) for x in ("words", "lines", "low", "windows", "places"))
+    out = docs.withColumns({f"{_M}words": _words(text), f"{_M}lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CLASS))})
+    out = out.withColumn(f"{_M}low", _ones(F.size(words)))
+    out = out.withColumn(f"{_M}windows", _windows(words, low))
+    # Equal windows differ in the bits of their places alone.
+    same = lambda x, j: x.bitwiseXOR(F.coalesce(F.get(ordered, j), F.bitwise_not(x))).between(F.lit(0), low)
+    twice = lambda x, i: same(x, i + 1) | same(x, i - 1)
+    out = out.withColumn(f"{_M}places", F.sort_array(F.transform(F.filter(ordered, twice), lambda x: F.coalesce(x.bitwiseAND(low), F.lit(0).cast("long")))))
+    gaps = F.transform(places, lambda x, i: F.least(F.lit(3).cast("long"), x - F.coalesce(F.get(places, i - 1), x - 3)))
     counts = {
-        "n_words": F.size(f"{_M}words"),
-        "word_chars": F.length(F.translate(text, _SPACE, "")),
-        "n_symbols": F.length(text) - F.length(F.translate(text, _SYMBOLS, "")),
-        "n_lines": F.size(f"{_M}lines"),
-        "n_dup_lines": F.size(f"{_M}lines") - F.size(F.array_distinct(f"{_M}lines")),
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": F.regexp_count(text, F.lit(_SYMBOLS)),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x),
     }
-    if repeats:
-        s = F.col(f"{_M}windows")
-        out = out.withColumn(f"{_M}windows", _repeated(F.col(f"{_M}words")))
-        same = lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])
-        out = out.withColumn(f"{_M}places", F.sort_array(F.transform(F.filter(s, lambda x, i: F.coalesce(same(x, i), (x["h"] == F.get(s, i + 1)["h"]), (x["h"] == F.get(s, i - 1)["h"]), F.lit(False))), lambda x: x["i"])))
-        p = F.col(f"{_M}places")
-        gaps = F.transform(p, lambda x, i: F.least(F.lit(3), x - F.coalesce(F.get(p, i - 1), x - 3)))
-        counts["n_repeat_words"] = F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
     # One generated row holds the counts: conditions on them are read from it and cannot be
     # pushed below, where each would work out the arrays again, once for every element.
     one = F.explode(F.array(F.struct(*(v.cast("long").alias(k) for k, v in counts.items())))).alias(f"{_M}counts")
@@ -73,17 +87,16 @@ def _bins() -> dict[str, Column]:
     return {m: F.least(values[m], F.lit(MEASURES[m][0])).cast("long") for m in MEASURES}
 
 
-def sketches(docs: DataFrame, text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """g1, g2, level, measure, bin, n: of each group (level 0), of each language (1) and of all (2).
+def sketches(rows: DataFrame, group_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """g1, g2, measure, bin, n: how many measured documents of each group are in each bin.
 
     Documents of MIN_WORDS words or more are counted; tasks sum before they send, so a
     hot group arrives as a row for each bin and task.
     """
     a, b = group_cols
     bins = F.array(*(F.struct(F.lit(m).alias("measure"), v.alias("bin")) for m, v in _bins().items()))
-    rows = measured(docs, text_col, repeats=False).where(F.col(f"{_M}n_words") >= MIN_WORDS).select(F.col(a).alias("g1"), F.col(b).alias("g2"), F.explode(bins).alias("x"))
-    own = rows.groupBy("g1", "g2", "x.measure", "x.bin").agg(F.count("*").alias("n"))
-    return own.select("g1", "g2", "measure", "bin", "n")
+    long = rows.where(F.col(f"{_M}n_words") >= MIN_WORDS).select(F.col(a).alias("g1"), F.col(b).alias("g2"), F.explode(bins).alias("x"))
+    return long.groupBy("g1", "g2", "x.measure", "x.bin").agg(F.count("*").alias("n")).select("g1", "g2", "measure", "bin", "n")
 
 
 def fences(sketch: DataFrame) -> DataFrame:
@@ -107,21 +120,18 @@ def fences(sketch: DataFrame) -> DataFrame:
     return q.groupBy("g1", "g2").agg(*(x for m, (_, slack, _) in MEASURES.items() for x in (side(m, F.col("q1") - spread - slack).alias(f"low_{m}"), side(m, F.col("q3") + spread + slack).alias(f"high_{m}"))))
 
 
-def judged(docs: DataFrame, text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """docs with its measures, base_failed and kept, under names that start with _M.
+def judged(rows: DataFrame, group_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """Measured documents with base_failed and kept, under names that start with _M.
 
     Null languages and sources are groups of their own. Fences of up to MAX_SENT groups,
     which is checked, go to every task; more are joined by shuffling, where hot groups
     are split by Spark's skew handling. Repeated rows count and are judged each for
-    itself; an empty table gives no rows.
+    itself; an empty table gives no rows. rows is read twice: cut it before.
     """
-    from .common import cut
-
-    limits = cut(fences(sketches(docs, text_col, group_cols)).select(*(F.col(c).alias(_M + c) for c in ("g1", "g2", *(f"{s}_{m}" for m in MEASURES for s in ("low", "high"))))))
+    limits = cut(fences(sketches(rows, group_cols)).select(*(F.col(c).alias(_M + c) for c in ("g1", "g2", *(f"{s}_{m}" for m in MEASURES for s in ("low", "high"))))))
     if limits.count() <= MAX_SENT:
         limits = F.broadcast(limits)
     a, b = (F.col(c) for c in group_cols)
-    rows = measured(docs, text_col)
     out = rows.join(limits, a.eqNullSafe(F.col(f"{_M}g1")) & b.eqNullSafe(F.col(f"{_M}g2")), "left")
     n, rep = F.col(f"{_M}n_words"), F.col(f"{_M}n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEATED * n)
@@ -133,14 +143,31 @@ def judged(docs: DataFrame, text_col: str = "text", group_cols: tuple[str, str]
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the five counts, base_failed and kept of every document."""
+    """doc_id, the five counts, base_failed and kept of every document.
+
+    Each text is measured once; counts without texts are kept in the shared folder.
+    """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judged(docs.select("doc_id", "text", "lang", "source")).select("doc_id", *(F.col(_M + c).alias(c) for c in names))
+    rows = cut(measured(docs.select("doc_id", "text", "lang", "source")).drop("text"))
+    return judged(rows).select("doc_id", *(F.col(_M + c).alias(c) for c in names))
 
 
 def good_documents(docs: DataFrame, text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """The rows of docs, as they are, that the rules keep."""
-    return judged(docs, text_col, group_cols).where(F.col(f"{_M}kept")).select(*docs.columns)
+    """The rows of docs, as they are, that the rules keep.
+
+    Each text is measured once; documents that fail the base rules count in the sketches
+    and their texts are not written again. Columns of docs whose names start with _M are
+    kept under them: the measures get out of their way. Null and empty texts have no words
+    and go; repeated rows share their fate; an empty table stays empty.
+    """
+    # Names of the measures must not clash with columns of docs.
+    plain = docs.toDF(*(f"__own_{i}" for i in range(len(docs.columns))))
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    rows = measured(plain, own[text_col])
+    failed = (F.col(f"{_M}n_words") < MIN_WORDS) | (100 * F.col(f"{_M}n_repeat_words") > MAX_REPEATED * F.col(f"{_M}n_words"))
+    rows = cut(rows.withColumn(own[text_col], F.when(~failed, F.col(own[text_col]))))
+    kept = judged(rows, tuple(own[c] for c in group_cols)).where(F.col(f"{_M}kept"))
+    return kept.select(*(F.col(f"__own_{i}") for i in range(len(docs.columns)))).toDF(*docs.columns)
 
 
 def oracle() -> str:
