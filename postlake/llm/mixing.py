@@ -9,15 +9,17 @@ one stops where the source's budget ends. Native throughout: DataFrame functions
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import cut, sent, word_count
 
 #: Times that a document may be read for each time that the least read source is.
 REPETITION = 2.0
-#: Halvings of the exponent's range.
-STEPS = 50
+#: Halvings of the exponent's range, and exponents that one pass over the sources tries.
+STEPS, TRIED = 48, 63
 #: Sources up to which the plan is sent to every task; beyond, it is joined by shuffling.
 MAX_SENT = 50_000
 #: Blocks of an epoch, and blocks of a block.
@@ -26,51 +28,68 @@ _M = "__mix_"
 
 
 def token_count(text_col: str) -> Column:
-    """Words of a text; 0 for null."""
-    spaced = F.trim(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES, " " * len(SPACES)))
-    return F.when(spaced == "", F.lit(0)).otherwise(F.size(F.split(spaced, " +"))).cast("long")
+    """Words of a text; 0 for null. DataFrame functions know no tokenizer, so words stand for tokens."""
+    return word_count(F.col(text_col))
 
 
-def plan(totals: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float = REPETITION) -> DataFrame:
-    """source, tokens, alpha, weight, epochs, full (whole epochs), rest (tokens of the last one).
+def exponent(totals: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float = REPETITION) -> tuple[float, float, float]:
+    """The exponent a, the sum of all shares to the power a, and all tokens.
 
-    totals: source, tokens; a row for each source, which meet in one row of arrays. With
-    no budget each source is read once at least. With entropy (in nats) given, the
-    exponent meets it as nearly as 0 to 1 allows; else it is the least at which no
-    source is read more than `repetition` times, or, with no budget, than `repetition`
-    times as often as another. A source without tokens has weight 0 and one epoch.
+    Bisection. What a halving must know of the sources are sums and extremes over them,
+    which an aggregation gives for TRIED exponents at once, that is for six halvings; no
+    list of sources is gathered.
     """
-    one = totals.agg(F.collect_list(F.struct("source", "tokens")).alias("rows"))
-    one = one.withColumn("t", F.transform(F.filter("rows", lambda r: r["tokens"] > 0), lambda r: r["tokens"].cast("double")))
-    one = one.withColumn("total", F.aggregate("t", F.lit(0.0), lambda a, x: a + x)).withColumn("p", F.transform("t", lambda x: x / F.col("total")))
+    some = totals.where("tokens > 0")
+    ends = some.agg(F.sum("tokens").alias("n"), F.min("tokens").alias("least"), F.max("tokens").alias("most")).first()
+    if ends["n"] is None:
+        return 0.0, 1.0, 0.0
+    total = float(ends["n"])
+    share = F.col("tokens") / F.lit(total)
+
+    def measured(exponents: list[float]) -> list[bool]:
+        """Whether each exponent makes the mixture flatter than it may be."""
+        if entropy is None and budget is None:
+            return [(total / ends["least"]) ** (1 - a) / (total / ends["most"]) ** (1 - a) > repetition for a in exponents]
+        sums = [x for i, a in enumerate(exponents) for x in (F.sum(F.pow(share, F.lit(a))).alias(f"z{i}"), F.sum(F.pow(share, F.lit(a)) * F.log(share)).alias(f"s{i}"))]
+        row = some.agg(*sums).first()
+        if entropy is not None:
+            # H = ln z - a * sum(p^a ln p) / z
+            return [math.log(row[f"z{i}"]) - a * row[f"s{i}"] / row[f"z{i}"] > entropy for i, a in enumerate(exponents)]
+        return [(total / ends["least"]) ** (1 - a) / row[f"z{i}"] * budget / total > repetition for i, a in enumerate(exponents)]
+
+    lo, hi = 0.0, 1.0
+    if not measured([0.0])[0]:
+        hi = 0.0
+    steps = 0
+    while hi > 0 and steps < STEPS:
+        tried = [lo + (hi - lo) * (i + 1) / (TRIED + 1) for i in range(TRIED)]
+        flat = measured(tried)
+        at = sum(flat)  # flatness falls as the exponent rises
+        lo, hi = (tried[at - 1] if at else lo), (tried[at] if at < TRIED else hi)
+        steps += (TRIED + 1).bit_length() - 1
+    z = some.agg(F.sum(F.pow(share, F.lit(hi))).alias("z")).first()["z"]
+    return hi, z, total
 
-    def powers(a: Column, b: float = 0.0) -> Column:
-        return F.transform("p", lambda x: F.pow(x, a + F.lit(b)))
 
-    sum_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+def plan(totals: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float = REPETITION) -> DataFrame:
+    """source, tokens, alpha, weight, epochs, full (whole epochs), rest (tokens of the last one).
 
-    def too_flat(a: Column) -> Column:
-        z = sum_of(powers(a))
-        if entropy is not None:
-            # H = ln z - a * sum(p^a ln p) / z
-            return F.log(z) - a * F.aggregate("p", F.lit(0.0), lambda s, x: s + F.pow(x, a) * F.log(x)) / z > entropy
-        if budget is None:
-            return F.array_max(powers(a, -1.0)) / F.array_min(powers(a, -1.0)) > repetition
-        return F.array_max(powers(a, -1.0)) / z * budget / F.col("total") > repetition
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        flat = too_flat(mid)
-        return F.struct(F.when(flat, mid).otherwise(s["lo"]).alias("lo"), F.when(flat, s["hi"]).otherwise(mid).alias("hi"))
-
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve)
-    one = one.withColumn("alpha", F.when(too_flat(F.lit(0.0)), ends["hi"]).otherwise(F.lit(0.0)))
-    size = F.lit(float(budget)) if budget is not None else F.col("total") * F.col("z") * F.array_max(F.transform("p", lambda x: F.pow(x, 1 - F.col("alpha"))))
-    one = one.withColumn("z", sum_of(powers(F.col("alpha")))).withColumn("size", size)
-    out = one.select(F.explode("rows").alias("r"), "alpha", "total", "z", "size").select("r.*", "alpha", "total", "z", "size")
-    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("total"), F.col("alpha")) / F.col("z")).otherwise(F.lit(0.0))
-    out = out.withColumn("weight", weight)
-    epochs = F.when(F.col("tokens") > 0, F.col("weight") * F.col("size") / F.col("tokens")).otherwise(F.lit(1.0))
+    totals: source, tokens; a row for each source. With no budget each source is read
+    once at least. With entropy (in nats) given, the exponent meets it as nearly as 0 to 1
+    allows; else it is the least at which no source is read more than `repetition` times,
+    or, with no budget, than `repetition` times as often as another. A source without
+    tokens has weight 0 and one epoch.
+    """
+    alpha, z, total = exponent(totals, budget, entropy, repetition)
+    share = F.col("tokens") / F.lit(max(total, 1.0))
+    weight = F.when(F.col("tokens") > 0, F.pow(share, F.lit(alpha)) / F.lit(z)).otherwise(F.lit(0.0))
+    if budget is None:
+        most = totals.agg(F.max("tokens").alias("n")).first()["n"] or 0
+        size = total * z * (most / total) ** (1 - alpha) if total else 0.0
+    else:
+        size = float(budget)
+    out = totals.select("source", "tokens", F.lit(alpha).alias("alpha"), weight.alias("weight"))
+    epochs = F.when(F.col("tokens") > 0, F.col("weight") * F.lit(size) / F.col("tokens")).otherwise(F.lit(1.0))
     # Rounding may leave the least read source a trifle under one.
     out = out.withColumn("epochs", F.round(epochs, 9)).withColumn("full", F.floor("epochs"))
     return out.select("source", "tokens", "alpha", "weight", "epochs", "full", F.round((F.col("epochs") - F.col("full")) * F.col("tokens")).cast("long").alias("rest"))
@@ -89,7 +108,7 @@ def _ends(base: DataFrame, planned: DataFrame) -> DataFrame:
     single documents of one of those: no step orders a whole source.
     """
     src = F.col("source").eqNullSafe(F.col("s"))
-    rows = base.join(_sent(planned.where("rest > 0").select(F.col("source").alias("s"), "full", "rest")), src).drop("s")
+    rows = base.join(sent(planned.where("rest > 0").select(F.col("source").alias("s"), "full", "rest"), MAX_SENT), src).drop("s")
     rows = rows.withColumns(_place(F.col("id"), F.col("full"))).select("source", "rest", F.col(f"{_M}b1").alias("b1"), F.col(f"{_M}b2").alias("b2"), F.col(f"{_M}h").alias("h"), "tokens")
 
     def reach(df: DataFrame, left: str, unit: str) -> DataFrame:
@@ -100,52 +119,68 @@ def _ends(base: DataFrame, planned: DataFrame) -> DataFrame:
         return run.groupBy("source").agg(F.min(F.struct(unit, (F.col(left) - F.col("c") + F.col("n")).alias("left"))).alias("m")).select(F.col("source").alias("s"), F.col(f"m.{unit}").alias(f"e_{unit}"), F.col("m.left").alias(f"left_{unit}"))
 
     one = cut(reach(rows, "rest", "b1"))
-    within = rows.join(_sent(one), src & (F.col("b1") == F.col("e_b1"))).drop("s")
+    within = rows.join(sent(one, MAX_SENT), src & (F.col("b1") == F.col("e_b1"))).drop("s")
     two = cut(reach(within, "left_b1", "b2"))
-    within = within.join(_sent(two), src & (F.col("b2") == F.col("e_b2"))).drop("s")
+    within = within.join(sent(two, MAX_SENT), src & (F.col("b2") == F.col("e_b2"))).drop("s")
     three = reach(within, "left_b2", "h")
     join = one.select("s", F.col("e_b1").alias("e1")).join(two.select(F.col("s").alias("s2"), F.col("e_b2").alias("e2")), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
     return join.join(three.select(F.col("s").alias("s3"), F.col("e_h").alias("eh")), F.col("s").eqNullSafe(F.col("s3")), "left").select(F.col("s").alias("source"), "e1", "e2", "eh")
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    """df, marked for sending to every task if it is small; its rows, one for each source at most, are counted."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= MAX_SENT else df
+def _planned(base: DataFrame, budget: int | None, entropy: float | None, repetition: float) -> DataFrame:
+    """For each source its weight, whole epochs and where its last epoch ends, under names that start with _M."""
+    totals = cut(base.groupBy("source").agg(F.sum("tokens").alias("tokens")))
+    planned = cut(plan(totals, budget, entropy, repetition))
+    ends = _ends(base, planned).withColumnRenamed("source", "s")
+    both = planned.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
+    return sent(cut(both.select(F.col("source").alias(f"{_M}source"), F.col("weight").alias(f"{_M}weight"), *(F.col(c).alias(_M + c) for c in ("full", "rest", "e1", "e2", "eh")))), MAX_SENT)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, entropy: float | None = None, repetition: float = REPETITION) -> DataFrame:
-    """docs, each row as often as its source's weight asks, with epoch, block, n_tokens, weight under names that start with _M.
-
-    With no budget every document is there, in epoch 0 at least. A whole epoch has every
-    document of the source; the last one those that come before its budget ends in the
-    order of its permutation (block, then block within it, then hash). Rows of one id
-    stand at the same place and stay or go together; null sources are a source; null and
-    empty texts have no tokens and are in whole epochs. An empty table gives no rows.
-    Texts are not shuffled while the plan of up to MAX_SENT sources, which is checked,
-    goes to every task.
-    """
-    base = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(text_col).alias("tokens")))
-    planned = cut(plan(base.groupBy("source").agg(F.sum("tokens").alias("tokens")), budget, entropy, repetition))
-    ends = _ends(base, planned)
-    both = planned.join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    both = _sent(both.select(F.col("source").alias(f"{_M}source"), F.col("weight").alias(f"{_M}weight"), *(F.col(c).alias(_M + c) for c in ("full", "rest", "e1", "e2", "eh"))))
+def _realised(rows: DataFrame, planned: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """Each row as often as its source's plan asks, with epoch, block, within and order (the place in the block) and weight."""
     c = lambda x: F.col(_M + x)
-    rows = docs.join(both, F.col(source_col).eqNullSafe(c("source")))
+    rows = rows.join(planned, F.col(source_col).eqNullSafe(c("source")))
     last = c("full") - F.when(c("rest") > 0, F.lit(0)).otherwise(F.lit(1))
     rows = rows.where(last >= 0).withColumn(f"{_M}epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     rows = rows.withColumns(_place(F.col(id_col), c("epoch")))
     before = (c("b1") < c("e1")) | (c("b1") == c("e1")) & ((c("b2") < c("e2")) | (c("b2") == c("e2")) & (c("h") < c("eh")))
     rows = rows.where((c("epoch") < c("full")) | F.coalesce(before, c("e1").isNull()))
-    return rows.withColumnRenamed(f"{_M}b1", f"{_M}block").drop(*(_M + x for x in ("source", "full", "rest", "e1", "e2", "eh", "b2", "h")))
+    names = {f"{_M}b1": f"{_M}block", f"{_M}b2": f"{_M}within", f"{_M}h": f"{_M}order"}
+    return rows.withColumnsRenamed(names).drop(*(_M + x for x in ("source", "full", "rest", "e1", "e2", "eh")))
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(text_col).alias("tokens")))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, entropy: float | None = None, repetition: float = REPETITION) -> DataFrame:
+    """docs, each row as often as its source's weight asks, with epoch, block, within, order and weight under names that start with _M.
+
+    With no budget every document is there, in epoch 0 at least. A whole epoch has every
+    document of the source; the last one those that come before its budget ends in the
+    order of its permutation (block, then within, then order). To read a source in that
+    order, sort by epoch and those three; rows come in no order of their own. Rows of one
+    id stand at the same place and stay or go together; null sources are a source; null
+    and empty texts have no tokens and are in whole epochs. An empty table gives no rows.
+    Columns of docs must not start with _M. Texts are read twice and not shuffled while
+    the plan of up to MAX_SENT sources, which is checked, goes to every task.
+    """
+    planned = _planned(_base(docs, id_col, text_col, source_col), budget, entropy, repetition)
+    return _realised(docs, planned, id_col, source_col)
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """doc_id, source, epoch, block, n_tokens, weight: a row for each time that a document is read."""
-    rows = docs.select("doc_id", "source", "text")
-    return mixed(rows).select("doc_id", "source", F.col(f"{_M}epoch").alias("epoch"), F.col(f"{_M}block").alias("block"), token_count("text").alias("n_tokens"), F.col(f"{_M}weight").alias("weight"))
+    """doc_id, source, epoch, block, within, order, n_tokens, weight: a row for each time that a document is read.
+
+    Texts are read once, for their counts.
+    """
+    base = _base(docs, "doc_id", "text", "source")
+    rows = _realised(base, _planned(base, None, None, REPETITION), "id", "source")
+    return rows.select(F.col("id").alias("doc_id"), "source", *(F.col(_M + c).alias(c) for c in ("epoch", "block", "within", "order")), F.col("tokens").alias("n_tokens"), F.col(f"{_M}weight").alias("weight"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, as they are, each as often as it is read."""
-    return mixed(docs, **options).select(*docs.columns)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, as they are, each as often as it is read; any names of columns will do."""
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*own.values())
+    return mixed(plain, own[id_col], own[text_col], own[source_col], **options).select(*own.values()).toDF(*docs.columns)
