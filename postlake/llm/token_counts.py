@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded, cut
 from .encoding import default_tokenizer, encoder
 
 #: Lengths whose suffix sums one task forms; blocks of them are summed first.
@@ -43,7 +44,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For each length as a context limit: docs_at_least, tokens_at_least, truncated_total, docs_at_most and total_tokens.
 
     truncated_total is the sum of min(document length, length). Sums within a block of
-    BLOCK lengths and over the blocks meet, so that no task holds all lengths.
+    BLOCK lengths and over the blocks meet, so that no task holds all lengths. The
+    histogram is read twice.
     """
     h = histogram.withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
@@ -60,8 +62,9 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """suffix_sums of the documents' length_histogram."""
-    return suffix_sums(length_histogram(docs, text_col, tokenizer))
+    """suffix_sums of the documents' length_histogram, which is counted once and kept in the shared folder."""
+    bounded(docs.sparkSession)
+    return suffix_sums(cut(length_histogram(docs, text_col, tokenizer)))
 
 
 def truncated_totals(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
