@@ -47,6 +47,24 @@ def test_own_rows_beside_close_neighbours():
     own, near = [(100, [10.0, 10.0])] * 20, [(i, [9.0, 9.0 - i % 3]) for i in range(1, 31)]
     far = [(200 + i, [-5.0, float(-i)]) for i in range(200)]
     rows = [*own, *near, *far]
-    tree = K.BallTree(np.array([v for _, v in rows]))
+    tree = K.BallTree(np.array([v for _, v in rows]), np.array([i for i, _ in rows]))
+    tree = K.BallTree.unpacked(2, tree.packed())
     want = sorted(((sum(10 * x for x in v), i) for i, v in rows if i != 100), key=lambda x: (-x[0], x[1]))[:10]
-    assert tree.search(np.array([10.0, 10.0]), np.array([i for i, _ in rows]), 100, 10, -np.inf) == [(int(s), i) for s, i in want]
+    assert tree.search(np.array([10.0, 10.0]), 100, 10, []) == [(-int(s), i) for s, i in want]
+
+
+@pytest.mark.parametrize("shard", [16_384, 16])
+def test_sixty_copies_of_the_query(spark, monkeypatch, shard):
+    monkeypatch.setattr(K, "SHARD", shard)
+    rows = [(0, [0.5, 0.25])] * 60 + [(i, [0.5, 0.25]) for i in range(1, 61)] + [(7, [0.5, 0.25])] * 5 + [(100 * i, [0.1 * i, -0.2]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert Counter(tuple(r) for r in K.top_k(df).collect()) == brute(rows)
+
+
+def test_every_shard_shares_the_score(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD", 10)
+    monkeypatch.setattr(K, "BLOCK", 3)
+    rows = vectors(1500, 6, 3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    assert K.forest(K.vectors_of(df, "vec_id", "embedding")).count() >= 150
+    assert Counter(tuple(r) for r in K.top_k(df).collect()) == brute(rows)
