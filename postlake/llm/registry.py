@@ -15,7 +15,7 @@ def queries() -> dict:
         "op5_token_counts": lambda s, d: token_counts.token_counts(table(s, d, "documents")),
         "op6_simhash": lambda s, d: simhash.components_of_documents(table(s, d, "documents")),
         "op7_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")),
-        "op8_quotes": lambda s, d: quotes.conversations(table(s, d, "conversations")),
+        "op8_quotes": lambda s, d: quotes.formatted(table(s, d, "conversations")),
         "op9_mixing": lambda s, d: mixing.mixture(table(s, d, "documents")),
         "op10_lm_scoring": lambda s, d: lm_scoring.pseudo_likelihood(table(s, d, "documents")),
     }
