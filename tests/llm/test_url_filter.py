@@ -35,3 +35,17 @@ def test_query_and_odd_rows(spark):
         (5, "a.org", "/fr/z", "org/fr/", "allow"), (6, "net", "", None, "allow"), (7, "casino.example.com", "/a", None, "block"), (8, "", "", None, "allow"), (9, "b:", "//c.net/x", None, "allow"), (None, "É.net", "/pppppppp", "net/", "block"),
     }
     assert len(U.url_verdicts(df).collect()) == len(rows) and U.url_verdicts(df.limit(0)).count() == 0
+
+
+def test_block_list_over_host_and_path(spark):
+    globs = U.block_globs()
+    assert len(set(globs)) == len(globs) > 200
+    r = random.Random(4)
+    hosts = ["a.example.com", "ads.b.com", "x.track.y.io", "my-casino.de", "pixel7.com", "c.example.org", "cdn-assetsX.com"]
+    parts = ["casino", "casino-tips", "pokers", "poker", "top-poker", "file.exe", "a.zip", "download", "tag", "click", "x.js", "banner.gif", "casinoes", "en", "malware.html", "lottery.php"]
+    urls = [r.choice(hosts) + "".join("/" + r.choice(parts) for _ in range(r.randint(0, 4))) for _ in range(800)]
+    want = [any(by_regex(g, u) for g in globs) for u in urls]
+    assert want == [any(re.fullmatch(U.glob_regex(g), u) for g in globs) for u in urls] and 100 < sum(want) < 780
+    df = spark.createDataFrame([(i, f"http://{u}?q=casino") for i, u in enumerate(urls)], "page_id long, url string")
+    got = {x.page_id: x.verdict for x in U.url_verdicts(df).collect()}
+    assert [got[i] for i in range(len(urls))] == ["block" if w else "allow" for w in want]
