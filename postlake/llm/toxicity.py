@@ -157,8 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of at most max_labelled labelled rows that are not held out.
 
     Near copies among them count once. A label that is null, or of a null id, is left
-    out; of several labels of an id the largest counts. Without labelled rows the model
-    has no lexicon and gives every text the same low score.
+    out; of several labels of an id the largest counts. Without rows of both labels the
+    model has no lexicon and gives every text the same low score.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
@@ -173,6 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = cut(rows.mapInArrow(keyed, "text string, label int, key bigint").dropDuplicates(["label", "key"]))
     size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
+    if not toxic or not clean:
+        return Model(exceptions=tuple(exceptions))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
