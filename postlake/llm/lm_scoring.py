@@ -72,8 +72,8 @@ ADDED = 0.5
 HIDDEN, STEPS, WORD_HIDDEN, WORD_STEPS, RATE = 32, 150, 16, 60, 0.03
 #: Words that a task counts before it sends them, word forms that a worker keeps, and tokens summed together.
 COUNTED, KEPT, SUMMED = 200_000, 1 << 18, 1 << 18
-#: Pieces that the sums are sent in.
-PIECES = 64
+#: Pieces that the sums are sent in, and tasks that pick the known words.
+PIECES, PICKERS = 64, 8
 
 
 def _hash(word: bytes) -> int:
@@ -157,7 +157,9 @@ def vocabulary(counts: DataFrame, layout: Layout = LAYOUT) -> Vocabulary:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], ["h", "e", "n", "types"])
 
     parts = cut(counts.mapInArrow(run, "h bigint, e bigint, n bigint, types bigint"))
-    top = parts.where("h is not null").orderBy(F.desc("n"), "h").limit(known).select("h", "e", "n").collect()
+    # Few tasks pick again among all tasks' picks, so that the driver compares a fixed number.
+    some = parts.where("h is not null").select("h", "e", "n").repartition(PICKERS)
+    top = some.orderBy(F.desc("n"), "h").limit(known).collect()
     tails = {r["e"]: [r["n"], r["types"]] for r in parts.where("h is null").groupBy("e").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()}  # 65,792 rows at most
     for r in top:
         tails[r["e"]][0] -= r["n"]
