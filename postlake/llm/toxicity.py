@@ -11,20 +11,23 @@ logistic curve fitted on the same rows.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Labelled rows that the lexicon and curve are fitted on at most, taken in the order of a hash of their id.
 MAX_LABELLED = 20_000
-#: Entries of the lexicon at most.
-MAX_LEXICON = 4096
+#: Toxic rows that have a pattern at least; and of these rows either a share, or evidence: how unlikely the pattern's rows
+#: would be if it told nothing (a likelihood ratio, as a logarithm), which asks for no more rows as labels grow.
+LEAST_ROWS, LEAST_SHARE, LEAST_EVIDENCE = 3, 0.01, 12.0
 #: A score from which a document counts as toxic.
 THRESHOLD = 0.3
 #: Phrases in which a listed word is harmless.
@@ -38,7 +41,7 @@ INVISIBLE = "­​‌‍⁠﻿"
 _SEPARATORS = " \t\n\x0b\x0c\r\x85\xa0  　!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~«»“”‘’…–—¡¿"
 _FOLD = str.maketrans({**{c: " " for c in _SEPARATORS}, **{c: None for c in INVISIBLE}, **HOMOGLYPHS, **SUBSTITUTES, **{chr(0xFF41 + i): chr(97 + i) for i in range(26)}})
 _SHORT, _LONG, _WHOLE = 3, 8, 24
-_FLUSH = 200_000
+_FLUSH, _COPY_HASHES = 200_000, 3
 
 
 def fold(text: str | None) -> str:
@@ -57,9 +60,13 @@ def features(folded: str) -> set[str]:
 
 
 def _copy_key(folded: str) -> int:
-    """The least hash of the text's three-word runs: near copies mostly share it."""
+    """The least of three hashes each of the text's three-word runs, together: near copies mostly share it, and texts that
+    have but a passage in common do not."""
     w = folded.split()
-    return min((zlib.crc32(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 2))), default=0)
+    runs = {" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass") for i in range(max(1, len(w) - 2))}
+    least = [min((xxhash.xxh64_intdigest(r, seed) for r in runs), default=0) for seed in range(_COPY_HASHES)]
+    x = xxhash.xxh64_intdigest(repr(least).encode(), 0)
+    return x - (1 << 64) if x >> 63 else x
 
 
 @dataclass
@@ -153,23 +160,34 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(round(float(v), 9) for v in w)
 
 
+def _least(labelled: DataFrame, most: int) -> DataFrame:
+    """The first `most` rows in the order of a hash of the id.
+
+    Of many more rows those are compared whose hash is in the range that twice as many
+    fall into, so that tasks do not send `most` rows each.
+    """
+    h, n = F.xxhash64("id"), labelled.count()
+    if n > 2 * most:
+        some = labelled.where(h < F.lit(-(1 << 63) + (1 << 64) * 2 * most // n))
+        labelled = some if some.count() >= most else labelled
+    return labelled.orderBy(h, "id").limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, exceptions: Sequence[str] = EXCEPTIONS) -> Model:
     """A model of at most max_labelled labelled rows that are not held out.
 
-    Near copies among them count once. A label that is null, or of a null id, is left
+    Near copies among them mostly count once. A label that is null, or of a null id, is left
     out; of several labels of an id the largest counts. Without rows of both labels the
     model has no lexicon and gives every text the same low score.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    chosen = _least(cut(chosen), max_labelled)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "label")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_copy_key(fold(t.as_py())) for t in b.column(0)], pa.int64())], ["text", "label", "key"])
 
-    from .common import cut
-
     rows = cut(rows.mapInArrow(keyed, "text string, label int, key bigint").dropDuplicates(["label", "key"]))
     size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
@@ -194,8 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield flush()
 
     counts = rows.mapInArrow(counted, "feature string, t bigint, c bigint").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    pure = F.col("t") * max(1, clean) > 7 * F.col("c") * max(1, toxic)
-    best = counts.where((F.col("t") >= max(3, toxic // 100)) & pure & (F.col("t") > F.col("c"))).orderBy(F.desc("t"), "c", F.length("feature"), "feature").limit(MAX_LEXICON)
+    t, c, share = F.col("t"), F.col("c"), toxic / (toxic + clean)
+    pure = (t * clean > 7 * c * toxic) & (t > c)
+    # Rows of the two kinds, against those that chance would give it.
+    evidence = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
+    told = (t >= int(LEAST_SHARE * toxic)) | (evidence >= LEAST_EVIDENCE)
+    best = counts.where((t >= LEAST_ROWS) & pure & told)  # patterns of max_labelled rows at most
     model = Model(_prune([(r["feature"], r["t"], r["c"]) for r in best.collect()], toxic, clean), tuple(exceptions))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

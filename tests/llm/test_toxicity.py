@@ -54,6 +54,13 @@ def test_held_out_and_odd_rows(spark):
     assert model.score("the vexworm farm") < 0.3 <= model.score("vexworm by a farm")
 
 
+def test_least_hashes(spark):
+    df = spark.range(5000).withColumn("label", X.F.lit(1)).repartition(7)
+    want = [r.id for r in df.orderBy(X.F.xxhash64("id"), "id").limit(200).collect()]
+    assert sorted(r.id for r in X._least(df, 200).collect()) == sorted(want)
+    assert X._least(df, 4000).count() == 4000 and X._least(df, 9000).count() == 5000
+
+
 def test_without_labels(spark):
     df, none = frame(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in X.toxicity(df, none).collect()} == {0}
