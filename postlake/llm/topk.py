@@ -249,3 +249,15 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def oracle() -> str:
+    """The query's SQL: every query against all rows."""
+    return f"""
+    WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    u AS (SELECT id, len(v) AS size, list_transform(v, lambda x: floor({UNIT} * x)) AS w FROM v),
+    q AS (SELECT id, len(v) AS size, list_transform(v, lambda x: floor({UNIT} * x)) AS w FROM (SELECT id, min(v) AS v FROM v WHERE id % {EVERY} = 0 GROUP BY id)),
+    s AS (SELECT q.id AS query_id, u.id AS vec_id, CAST(CASE WHEN q.size = 0 THEN 0 ELSE list_inner_product(q.w, u.w) END AS BIGINT) AS score FROM q JOIN u ON q.size = u.size AND q.id <> u.id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {TOP}"""
