@@ -96,8 +96,9 @@ def plan(totals: DataFrame, budget: int | None = None, entropy: float | None = N
 
 
 def _place(id_col: Column, epoch: Column) -> dict[str, Column]:
-    """The document's place in the epoch's permutation: block, block within it, hash."""
-    h = F.xxhash64(id_col, epoch.cast("long"))
+    """The document's place in the epoch's permutation: block, block within it, hash (60 bits of an MD5)."""
+    digest = F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), epoch.cast("string")))
+    h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     return {f"{_M}b1": F.pmod(h, F.lit(BLOCKS)), f"{_M}b2": F.pmod(F.shiftright(h, 10), F.lit(BLOCKS)), f"{_M}h": h}
 
 
@@ -137,7 +138,7 @@ def _planned(base: DataFrame, budget: int | None, entropy: float | None, repetit
 
 
 def _realised(rows: DataFrame, planned: DataFrame, id_col: str, source_col: str) -> DataFrame:
-    """Each row as often as its source's plan asks, with epoch, block, within and order (the place in the block) and weight."""
+    """Each row as often as its source's plan asks, with epoch, block, sub_block, place (in the sub_block) and weight."""
     c = lambda x: F.col(_M + x)
     rows = rows.join(planned, F.col(source_col).eqNullSafe(c("source")))
     last = c("full") - F.when(c("rest") > 0, F.lit(0)).otherwise(F.lit(1))
@@ -145,7 +146,7 @@ def _realised(rows: DataFrame, planned: DataFrame, id_col: str, source_col: str)
     rows = rows.withColumns(_place(F.col(id_col), c("epoch")))
     before = (c("b1") < c("e1")) | (c("b1") == c("e1")) & ((c("b2") < c("e2")) | (c("b2") == c("e2")) & (c("h") < c("eh")))
     rows = rows.where((c("epoch") < c("full")) | F.coalesce(before, c("e1").isNull()))
-    names = {f"{_M}b1": f"{_M}block", f"{_M}b2": f"{_M}within", f"{_M}h": f"{_M}order"}
+    names = {f"{_M}b1": f"{_M}block", f"{_M}b2": f"{_M}sub_block", f"{_M}h": f"{_M}place"}
     return rows.withColumnsRenamed(names).drop(*(_M + x for x in ("source", "full", "rest", "e1", "e2", "eh")))
 
 
@@ -154,11 +155,11 @@ def _base(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, entropy: float | None = None, repetition: float = REPETITION) -> DataFrame:
-    """docs, each row as often as its source's weight asks, with epoch, block, within, order and weight under names that start with _M.
+    """docs, each row as often as its source's weight asks, with epoch, block, sub_block, place and weight under names that start with _M.
 
     With no budget every document is there, in epoch 0 at least. A whole epoch has every
     document of the source; the last one those that come before its budget ends in the
-    order of its permutation (block, then within, then order). To read a source in that
+    order of its permutation (block, then sub_block, then place). To read a source in that
     order, sort by epoch and those three; rows come in no order of their own. Rows of one
     id stand at the same place and stay or go together; null sources are a source; null
     and empty texts have no tokens and are in whole epochs. An empty table gives no rows.
@@ -170,13 +171,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """doc_id, source, epoch, block, within, order, n_tokens, weight: a row for each time that a document is read.
+    """doc_id, source, epoch, block, sub_block, place, n_tokens, weight (to nine places): a row for each time that a document is read.
 
     Texts are read once, for their counts.
     """
     base = _base(docs, "doc_id", "text", "source")
     rows = _realised(base, _planned(base, None, None, REPETITION), "id", "source")
-    return rows.select(F.col("id").alias("doc_id"), "source", *(F.col(_M + c).alias(c) for c in ("epoch", "block", "within", "order")), F.col("tokens").alias("n_tokens"), F.col(f"{_M}weight").alias("weight"))
+    return rows.select(F.col("id").alias("doc_id"), "source", *(F.col(_M + c).alias(c) for c in ("epoch", "block", "sub_block", "place")), F.col("tokens").alias("n_tokens"), F.round(f"{_M}weight", 9).alias("weight"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -184,3 +185,25 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
     plain = docs.toDF(*own.values())
     return mixed(plain, own[id_col], own[text_col], own[source_col], **options).select(*own.values()).toDF(*docs.columns)
+
+
+def oracle() -> str:
+    """The query's SQL: the exponent in closed form, and running sums over whole permutations."""
+    place = lambda epoch: f"CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || {epoch}), 1, 15) AS BIGINT)"
+    least = f"CASE WHEN hi <= {REPETITION} * lo THEN 0.0 ELSE 1 - ln({REPETITION}) / ln(hi / lo) END"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n FROM documents),
+    t AS (SELECT source, sum(n)::DOUBLE AS n FROM d GROUP BY source),
+    e AS (SELECT sum(n) AS total, min(n) AS lo, max(n) AS hi FROM t WHERE n > 0),
+    a AS (SELECT *, {least} AS alpha FROM e),
+    z AS (SELECT sum(pow(n / total, alpha)) AS z FROM t, a WHERE n > 0),
+    p AS (SELECT source, n, CASE WHEN n > 0 THEN pow(n / total, alpha) / z ELSE 0.0 END AS weight,
+            CASE WHEN n > 0 THEN round(pow(n / total, alpha) * total * pow(hi / total, 1 - alpha) / n, 9) ELSE 1.0 END AS epochs FROM t, a, z),
+    q AS (SELECT source, weight, floor(epochs)::BIGINT AS whole, round((epochs - floor(epochs)) * n)::BIGINT AS rest FROM p),
+    r AS (SELECT d.*, q.weight, q.whole, q.rest FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+    l AS (SELECT *, {place('whole')} AS h FROM r WHERE rest > 0),
+    u AS (SELECT source, h, rest, sum(sum(n)) OVER (PARTITION BY source ORDER BY h % {BLOCKS}, (h >> 10) % {BLOCKS}, h) AS run FROM l GROUP BY source, h, rest),
+    x AS (SELECT doc_id, source, unnest(range(whole)) AS epoch, n, weight FROM r
+          UNION ALL SELECT l.doc_id, l.source, l.whole, l.n, l.weight FROM l JOIN u ON l.source IS NOT DISTINCT FROM u.source AND l.h = u.h WHERE u.run <= u.rest),
+    y AS (SELECT *, {place('epoch')} AS h FROM x)
+    SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, h % {BLOCKS} AS block, (h >> 10) % {BLOCKS} AS sub_block, h AS place, n AS n_tokens, round(weight, 9) AS weight FROM y"""
