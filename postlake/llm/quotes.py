@@ -276,3 +276,44 @@ def chat_lines(messages: DataFrame, role_col: str = "role", text_col: str = "tex
 def formatted(messages: DataFrame) -> DataFrame:
     """conv_id, position, turn, n_quotes, n_linked, reply_to, branch, chat of every message; sorted by conv_id and position they are the conversations."""
     return chat_lines(conversations(messages)).select("conv_id", "position", "turn", "n_quotes", "n_linked", "reply_to", "branch", "chat")
+
+
+def oracle() -> str:
+    """The query's SQL, for texts whose letters fold one to one and whose white space is ASCII."""
+    word = "regexp_extract_all(lower({0}), '[^\\s]+')"
+    windows = lambda w: f"[array_to_string({w}[i:i + {WINDOW - 1}], ' ') for i in range(1, len({w}) - {WINDOW - 2})]"
+    keys = lambda w: f"CASE WHEN len({w}) = 0 THEN [] WHEN len({w}) < {WINDOW} THEN [array_to_string({w}, ' ')] ELSE list_distinct({windows(w)}) END"
+    units = "list_concat(string_split(own, chr(10)), string_split(regexp_replace(own, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)))"
+    short = f"[array_to_string({word.format('u')}, ' ') for u in {units} if len({word.format('u')}) BETWEEN 1 AND {WINDOW - 1}]"
+    return f"""
+    WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id AS conv, turn, role, coalesce(text, '') AS text FROM conversations),
+    ln AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM m),
+    lv AS (SELECT rid, i, line, regexp_extract(line, '^(?:[ \\t]*>)+') AS marks FROM ln),
+    le AS (SELECT rid, i, line, length(marks) - length(replace(marks, '>', '')) AS level, substr(line, length(marks) + 1) AS rest FROM lv),
+    ru AS (SELECT *, level <> coalesce(lag(level) OVER (PARTITION BY rid ORDER BY i), -1) AS fresh FROM le),
+    gr AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM ru),
+    ps AS (SELECT rid, run, any_value(level) AS level, string_agg(rest, ' ' ORDER BY i) AS passage FROM gr WHERE level > 0 GROUP BY rid, run),
+    ow AS (SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), '') AS own, max(level) > 0 AS quotes FROM gr GROUP BY rid),
+    c AS (SELECT m.*, CASE WHEN quotes THEN trim(own, chr(10)) ELSE text END AS own, (SELECT count(*) FROM ps WHERE ps.rid = m.rid) AS n_quotes FROM m JOIN ow ON m.rid = ow.rid),
+    t AS (SELECT DISTINCT conv, turn FROM c WHERE turn IS NOT NULL),
+    pl AS (SELECT *, lag(turn) OVER (PARTITION BY conv ORDER BY turn) AS previous FROM t),
+    q AS (SELECT DISTINCT conv, turn, level, {word.format('passage')} AS w FROM ps JOIN c ON ps.rid = c.rid WHERE turn IS NOT NULL AND len({word.format('passage')}) > 0),
+    a AS (SELECT conv, turn, level, w, length(array_to_string(w, '')) AS size, len({keys('w')}) AS hashes, unnest({keys('w')}) AS h FROM q),
+    o AS (SELECT DISTINCT conv, turn, unnest(list_concat({keys(word.format('own'))}, {short})) AS h FROM c WHERE turn IS NOT NULL),
+    f AS (SELECT a.conv, a.turn, level, w, size, hashes, a.h, max(o.turn) AS source FROM a JOIN o ON a.conv IS NOT DISTINCT FROM o.conv AND a.h = o.h AND o.turn < a.turn GROUP BY ALL),
+    ra AS (SELECT conv, turn, level, w, size, hashes, min(source) AS rare FROM f GROUP BY ALL),
+    he AS (SELECT f.conv, f.turn, f.level, f.w, rare, count(o.h) AS n FROM f JOIN ra ON f.conv IS NOT DISTINCT FROM ra.conv AND f.turn = ra.turn AND f.level = ra.level AND f.w = ra.w
+           LEFT JOIN o ON f.conv IS NOT DISTINCT FROM o.conv AND o.turn = rare AND o.h = f.h GROUP BY ALL),
+    vo AS (SELECT conv, turn, level, w, size, hashes, source, count(*) AS n FROM f GROUP BY ALL),
+    mo AS (SELECT *, row_number() OVER (PARTITION BY conv, turn, level, w ORDER BY n DESC, source DESC) AS k FROM vo),
+    be AS (SELECT mo.conv, mo.turn, mo.level, size, CASE WHEN he.n * 2 > hashes THEN rare ELSE source END AS source FROM mo JOIN he ON mo.conv IS NOT DISTINCT FROM he.conv AND mo.turn = he.turn AND mo.level = he.level AND mo.w = he.w
+           WHERE k = 1 AND (he.n * 2 > hashes OR mo.n * 2 > hashes)),
+    li AS (SELECT conv, turn, source, min(level) AS level, sum(size) AS size FROM be GROUP BY ALL),
+    re AS (SELECT conv, turn, count(*) AS n_linked, arg_max(source, (-level, size, source)) AS quoted FROM li GROUP BY conv, turn),
+    tr AS (SELECT pl.*, coalesce(n_linked, 0) AS n_linked, coalesce(quoted, previous) AS reply FROM pl LEFT JOIN re ON pl.conv IS NOT DISTINCT FROM re.conv AND pl.turn = re.turn),
+    br AS (SELECT *, max(CASE WHEN previous IS NULL OR reply <> previous THEN turn END) OVER (PARTITION BY conv ORDER BY turn) AS branch FROM tr),
+    pa AS (SELECT conv, turn, [turn] AS path FROM br WHERE reply IS NULL UNION ALL SELECT br.conv, br.turn, list_append(path, br.turn) FROM br JOIN pa ON br.conv IS NOT DISTINCT FROM pa.conv AND br.reply = pa.turn),
+    po AS (SELECT conv, turn, row_number() OVER (PARTITION BY conv ORDER BY path) - 1 AS position FROM pa)
+    SELECT c.conv AS conv_id, po.position, c.turn, c.n_quotes, coalesce(br.n_linked, 0) AS n_linked, br.reply AS reply_to, br.branch,
+      '<|' || coalesce(role, 'user') || '|>' || chr(10) || c.own || chr(10) || '<|end|>' || chr(10) AS chat
+    FROM c LEFT JOIN br ON c.conv IS NOT DISTINCT FROM br.conv AND c.turn = br.turn LEFT JOIN po ON c.conv IS NOT DISTINCT FROM po.conv AND c.turn = po.turn"""

@@ -23,4 +23,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express at the tables' size."""
-    return {"op1_url_filter": url_filter.oracle(), "op4_quality": quality.oracle()}
+    return {"op1_url_filter": url_filter.oracle(), "op2_topk": topk.oracle(), "op4_quality": quality.oracle(), "op8_quotes": quotes.oracle(), "op9_mixing": mixing.oracle()}
