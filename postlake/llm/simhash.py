@@ -187,7 +187,8 @@ def links(distinct: DataFrame, distance: int = MAX_DISTANCE, paired: int = PAIRE
         return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where("u <> v")
     masks = _masks(plan(*bit_statistics(distinct), distance))
     keys = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("x")) for k, m in enumerate(masks)))).alias("p")).select("fp", "p.k", "p.x")
-    shared = keys.groupBy("k", "x").agg(F.count("*").alias("n")).where("n > 1")
+    # Kept apart, so that the join is of plain shuffles, whose hot keys Spark splits.
+    shared = cut(keys.groupBy("k", "x").agg(F.count("*").alias("n")).where("n > 1"))
     met = cut(keys.join(shared, ["k", "x"]))
     cold = met.where(F.col("n") <= paired).select("k", "x", "fp")
     pairs = cold.select("k", "x", F.col("fp").alias("u")).join(cold.select("k", "x", F.col("fp").alias("v")), ["k", "x"]).where("u < v")
@@ -239,9 +240,11 @@ def components_of_documents(docs: DataFrame) -> DataFrame:
 #: Words to a shingle and the Jaccard similarity from which documents are near-duplicates.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Parts probed of each document (threshold 0; the others have -1).
-PROBED = 16
+PROBED = 32
 #: Longs of a set's parity sketch.
 SKETCH = 8
+#: Members of a large probe that all its members are compared with first.
+LEADERS = 4
 #: Members of a block of a large probe, least and most, and shingles that a block has about.
 FEWEST, MOST, CELLS = 64, 4096, 1 << 20
 
@@ -251,20 +254,34 @@ def _parts(n: float) -> int:
     return 1 << max(0, math.ceil(math.log2(n / (2 if n < 64 else 4)))) if n > 0 else 1
 
 
-def part_keys(distinct: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
-    """A key for each probed part that has shingles: the part's place and fingerprint.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def part_keys(distinct: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """A key (signed) for each probed part that has shingles: of the number of parts, the part's place and its fingerprint.
 
     Parts double with length. A text also counts as one of the longest length that is
     still similar, so that similar texts on both sides of a step share a count of parts.
     """
-    n, out = len(distinct), []
+    n, out = len(distinct), [np.zeros(0, np.uint64)]
     for m in sorted({_parts(n), _parts(n / similarity)}):
         place = distinct & np.uint64(m - 1)
-        for k in range(min(m, PROBED)):
-            own = distinct[place == k]
-            if len(own):
-                out.append(_signed(xxhash.xxh64_intdigest(f"{m},{k},{majority(own)}".encode(), SEED)))
-    return out
+        own = np.flatnonzero(place < PROBED)
+        own = own[np.argsort(place[own], kind="stable")]
+        if not len(own):
+            continue
+        place = place[own]
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        bits = np.unpackbits(distinct[own].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        sizes = np.diff(np.append(first, len(own)))
+        prints = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        out.append(_mixed(prints ^ _mixed(place[first] + np.uint64(m << 8))))
+    return np.concatenate(out).astype("<u8").view("<i8")
 
 
 def parities(values: np.ndarray, bits: int) -> np.ndarray:
@@ -292,7 +309,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
             rows = []
             for t in b.column(2):
                 d = np.unique(shingle_hashes(t.as_py(), size))
-                rows.append((_digest(d), parities(d >> np.uint64(32), 64 * SKETCH).view("<i8").tolist(), len(d), part_keys(d, similarity)))
+                rows.append((_digest(d), parities(d >> np.uint64(32), 64 * SKETCH).view("<i8"), len(d), part_keys(d, similarity)))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), longs, pa.int64(), longs)))], ["id", "th", "node", "sketch", "n", "keys"])
 
@@ -304,9 +321,10 @@ def _digest(distinct: np.ndarray) -> int:
 
 
 def _met(nodes: DataFrame) -> DataFrame:
-    """x, node, sketch, n, c: nodes at each probe that c > 1 of them share."""
-    keys = nodes.select("node", "sketch", "n", F.explode("keys").alias("x"))
-    shared = keys.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
+    """x, node, c: nodes at each probe that c > 1 of them share."""
+    keys = nodes.select("node", F.explode("keys").alias("x"))
+    # Kept apart, so that the join is of plain shuffles, whose hot keys Spark splits.
+    shared = cut(keys.groupBy("x").agg(F.count("*").alias("c")).where("c > 1"))
     return keys.join(shared, "x")
 
 
@@ -322,23 +340,38 @@ def _candidates(cold: DataFrame, similarity: float) -> DataFrame:
     return near.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
 
 
+def _stars(hot: DataFrame, similarity: float) -> DataFrame:
+    """u, v: members of each large probe (x, node, sketch, n) with its leaders, but pairs that lengths or sketches rule out.
+
+    Leaders are the least members by LEADERS hashes. Links with them join most of a group
+    of copies, so that few members are left to compare with all others.
+    """
+    least = (F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "sketch")) for k in range(LEADERS))
+    leaders = hot.groupBy("x").agg(F.array(*least).alias("leaders"))
+    apart = lambda m: sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(m["sketch"][k])) for k in range(SKETCH)), F.lit(0))
+    like = lambda m: (m["node"] != F.col("node")) & (F.least("n", m["n"]) >= similarity * F.greatest("n", m["n"])) & (apart(m) * (1 + similarity) <= (1 - similarity) * (F.col("n") + m["n"]) + 1e-6)
+    pairs = hot.join(sent(cut(leaders)), "x").select("node", F.explode(F.transform(F.filter("leaders", like), lambda m: m["node"])).alias("m"))
+    return pairs.select(F.least("node", "m").alias("u"), F.greatest("node", "m").alias("v")).distinct()
+
+
 def _alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
     both = len(np.intersect1d(p, q, assume_unique=True))
     return both >= similarity * (len(p) + len(q) - both)
 
 
-def block_links(sets: list[np.ndarray], left: int, similarity: float) -> list[tuple[int, int]]:
+def block_links(sets: list[np.ndarray], left: int, similarity: float, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links of similar sets that join all that are joined by any pair: of all sets if left is 0, else of the first `left` with the others.
 
     Every pair is compared by parity sketches as wide as the sets need and, unless these
-    show that it is not similar or links have joined it before, by the sets.
+    show that it is not similar or links have joined it before, by the sets. joined:
+    groups that are joined already, by number.
     """
     n = np.array([len(x) for x in sets], np.int64)
     bits = 64 * SKETCH
     while bits < 2 * n.max(initial=0):
         bits *= 2
     sketch = np.array([parities(x, bits) for x in sets])
-    group, out = np.arange(len(sets)), []
+    group, out = np.arange(len(sets)) if joined is None else joined.copy(), []
     for i in range(left or len(sets)):
         first = left or i + 1
         at = first + np.flatnonzero(group[first:] != group[i])
@@ -354,20 +387,24 @@ def block_links(sets: list[np.ndarray], left: int, similarity: float) -> list[tu
     return out
 
 
-def _hot_links(hot: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """u, v: links among the nodes (x, node, n) of large probes, which join all that any pair's similarity joins.
+def _hot_links(hot: DataFrame, members: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links among the members (x, node, n) of large probes, which with those found before join all that any pair's similarity joins.
 
-    Members of a probe are dealt into classes of length, of which only the same and the
-    next can be similar, and these into blocks by a hash of the node. Each pair of blocks
-    is one group, which two blocks bound.
+    found: node, root of the components so far. Members of a probe's largest component
+    need not meet one another; the others meet all. Members are dealt into classes of
+    length, of which only the same and the next can be similar, and these into blocks by
+    a hash of the node. Each pair of blocks is one group, which two blocks bound.
     """
     width = math.log(1 / similarity) * (1 + 1e-9) + 1e-9
-    hot = hot.withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / width))
+    hot = cut(hot.join(found, "node", "left").select("x", "node", "n", F.coalesce("root", "node").alias("root"), F.floor(F.log(F.col("n").cast("double")) / width).alias("kind")))
+    roots = hot.groupBy("x", "root").agg(F.count("*").alias("c")).groupBy("x").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots"))
+    hot = hot.join(sent(cut(roots.where("roots > 1").select("x", F.col("m.root").alias("main")))), "x").withColumn("inner", F.col("root") == F.col("main"))
     room = F.greatest(F.lit(FEWEST), F.least(F.lit(MOST), F.floor(F.lit(CELLS) / F.max("n"))))
-    sizes = cut(hot.groupBy("x", "kind").agg(F.ceil(F.count("*") / room).cast("int").alias("blocks")))
-    beside = lambda by, name: sizes.select("x", (F.col("kind") + by).alias("kind"), F.col("blocks").alias(name))
-    rows = hot.select("x", "node", "kind").join(sizes.join(beside(1, "under"), ["x", "kind"], "left").join(beside(-1, "over"), ["x", "kind"], "left"), ["x", "kind"])
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = cut(hot.groupBy("x", "kind").agg(*(F.ceil(F.count_if(of) / room).cast("int").alias(name) for name, of in (("o", ~F.col("inner")), ("i", F.col("inner"))))))
+    beside = lambda by, tail: sizes.select("x", (F.col("kind") + by).alias("kind"), *(F.col(c).alias(c + tail) for c in "oi"))
+    sizes = cut(sizes.join(beside(1, "_under"), ["x", "kind"], "left").join(beside(-1, "_over"), ["x", "kind"], "left").fillna(0))
+    rows = hot.select("x", "node", "kind", "root", "inner").join(sent(sizes), ["x", "kind"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("i")).otherwise(F.col("o"))).cast("int"))
 
     def meet(lo, hi, side: int, kind, step: int):
         """The pairs of blocks of a member: the left block's place, the right one's, and the classes."""
@@ -375,14 +412,16 @@ def _hot_links(hot: DataFrame, members: DataFrame, similarity: float) -> DataFra
         a, b = (lambda k: F.col("own"), lambda k: k) if side == 0 else (lambda k: k, lambda k: F.col("own"))
         return F.transform(other, lambda k: F.struct(kind.alias("a_kind"), F.lit(step).alias("step"), a(k).alias("a"), b(k).alias("b"), F.lit(side).alias("side")))
 
-    none = F.lit(0)
-    turns = F.concat(
-        meet(F.col("own"), F.col("blocks") - 1, 0, F.col("kind"), 0),
-        meet(none, F.col("own") - 1, 1, F.col("kind"), 0),
-        meet(none, F.coalesce("over", none) - 1, 0, F.col("kind"), 1),
-        meet(none, F.coalesce("under", none) - 1, 1, F.col("kind") - 1, 1),
+    none, kind = F.lit(0), F.col("kind")
+    # Steps 0 and 1: others with others of the same and the next class; 2 to 4: others with inner ones of the same, next and last class.
+    outer = F.concat(
+        meet(F.col("own"), F.col("o") - 1, 0, kind, 0), meet(none, F.col("own") - 1, 1, kind, 0),
+        meet(none, F.col("o_over") - 1, 0, kind, 1), meet(none, F.col("o_under") - 1, 1, kind - 1, 1),
+        meet(none, F.col("i") - 1, 0, kind, 2), meet(none, F.col("i_over") - 1, 0, kind, 3), meet(none, F.col("i_under") - 1, 0, kind, 4),
     )
-    rows = rows.join(members, "node").select("x", "node", "set", F.explode(turns).alias("t")).select("x", "t.*", "node", "set")
+    inner = F.concat(meet(none, F.col("o") - 1, 1, kind, 2), meet(none, F.col("o_under") - 1, 1, kind - 1, 3), meet(none, F.col("o_over") - 1, 1, kind + 1, 4))
+    turns = F.when(F.col("inner"), inner).otherwise(outer)
+    rows = rows.select("x", "node", "root", F.explode(turns).alias("t")).join(members, "node").select("x", "t.*", "node", "root", "set")
 
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by([("side", "ascending"), ("node", "ascending")])
@@ -390,7 +429,8 @@ def _hot_links(hot: DataFrame, members: DataFrame, similarity: float) -> DataFra
         # Only a block that meets itself has no right side of its own.
         itself = not block["step"][0].as_py() and block["a"][0].as_py() == block["b"][0].as_py()
         left = 0 if itself else int((side == 0).sum())
-        found = block_links([np.frombuffer(s.as_buffer(), "<u8") for s in block["set"]], left, similarity) if itself or 0 < left < len(side) else []
+        joined = np.unique(block["root"].to_numpy(), return_inverse=True)[1]
+        found = block_links([np.frombuffer(s.as_buffer(), "<u8") for s in block["set"]], left, similarity, joined) if itself or 0 < left < len(side) else []
         return pa.table({"u": pa.array([int(node[i]) for i, _ in found], pa.int64()), "v": pa.array([int(node[j]) for _, j in found], pa.int64())})
 
     return rows.groupBy("x", "a_kind", "step", "a", "b").applyInArrow(run, "u bigint, v bigint")
@@ -403,8 +443,10 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similari
     one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "sketch", "n", "keys")).alias("r")
     nodes = cut(prof.groupBy("node").agg(one).select("node", "r.*").drop("no_id"))
     met = cut(_met(nodes))
-    hot = met.where(F.col("c") > paired).select("x", "node", "n")
-    pairs = cut(_candidates(met.where(F.col("c") <= paired), similarity))
+    # What tells that a pair is not similar comes to the probes' members alone.
+    cold, hot = (met.where(c).select("x", "node").join(nodes.select("node", "sketch", "n"), "node") for c in (F.col("c") <= paired, F.col("c") > paired))
+    hot = cut(hot)
+    pairs = cut(_candidates(cold, similarity).union(_stars(hot, similarity)).distinct())
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(hot.select("node")).distinct()
     wanted = cut(nodes.join(ends, "node", "left_semi").select(F.col("id").alias("__id"), F.col("th").alias("__th")))
     rows = _keyed(docs, id_col, text_col)
@@ -424,7 +466,10 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similari
 
     one = pairs.join(members.select(F.col("node").alias("u"), F.col("set").alias("su")), "u")
     two = one.join(members.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v").select("u", "v", "su", "sv")
-    found = components(two.mapInArrow(verified, "u bigint, v bigint").union(_hot_links(hot, members, similarity)))
+    links = cut(two.mapInArrow(verified, "u bigint, v bigint"))
+    found = components(links)
+    if not hot.isEmpty():
+        found = components(links.union(_hot_links(hot.select("x", "node", "n"), members, cut(found), similarity)))
     linked = cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     return cut(with_looked_up(prof.select("id", "th", "node"), linked, "node").select("id", "th", "root"))
 

@@ -169,6 +169,30 @@ def test_similar_group_without_a_centre(spark, monkeypatch, most):
     assert groups_of(spark, texts) == want
 
 
+def test_pairs_without_a_common_original(spark):
+    r = random.Random(10)
+    common = [f"c{i}" for i in range(36)]
+    texts = []
+    for _ in range(300):  # every even text is at exactly 0.8 of every other even one, and near its odd one
+        own = [f"u{r.randrange(10**9)}" for _ in range(5)]
+        texts += [" ".join(common + own[:4]), " ".join(common + own[:3] + own[4:])]
+    a, b, c = (shingles(texts[i]) for i in (0, 1, 2))
+    assert len(a & b) * 37 == 35 * len(a | b) and len(a & c) * 10 == 8 * len(a | c)
+    assert set(groups_of(spark, texts).values()) == {0}
+
+
+def test_recall_of_probes():
+    r = np.random.default_rng(3)
+    for n in (6, 12, 33, 65, 129, 300, 1100):
+        d = max(k for k in range(n) if (n - k) >= 0.8 * (n + k))
+        for _ in range(150):
+            a = r.integers(0, 2**64, n, dtype=np.uint64)
+            b = np.concatenate([a[d:], r.integers(0, 2**64, d, dtype=np.uint64)])
+            assert len(np.intersect1d(S.part_keys(np.unique(a)), S.part_keys(np.unique(b))))
+    keys = S.part_keys(np.unique(a))
+    assert len(set(keys.tolist())) == len(keys) >= S.PROBED - 4 and len(S.part_keys(np.zeros(0, np.uint64))) == 0
+
+
 def test_parities_never_hide_a_pair():
     r = np.random.default_rng(2)
     for n in (3, 50, 3000):
