@@ -68,17 +68,24 @@ def position_type(title: Column, override: Column | None = None) -> Column:
     return detect_type(title) if override is None else F.coalesce(F.nullif(override, F.lit("")), detect_type(title))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often use reads it, in filters too."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def parse_date(c: Column | str) -> Column:
     """The date as yyyy-MM-dd by the first pattern that fits the cleaned text, else that text."""
-    t = clean(c)
-    shaped = t.rlike(r"^\d{1,4}[ /\-]\w{1,9}[ /\-]\d{1,4}$|^\w{3,9} \d{1,2}, \d{4}$")
-    tried = [F.date_format(F.try_to_date(t, p), "yyyy-MM-dd") for p in rules.DATE_PATTERNS]
-    return F.when(shaped, F.coalesce(*tried, t)).otherwise(t)
+
+    def tried(t: Column) -> Column:
+        shaped = t.rlike(r"^\d{1,4}[ /\-]\w{1,9}[ /\-]\d{1,4}$|^\w{3,9} \d{1,2}, \d{4}$")
+        return F.when(shaped, F.coalesce(F.date_format(F.coalesce(*(F.try_to_date(t, p) for p in rules.DATE_PATTERNS)), "yyyy-MM-dd"), t)).otherwise(t)
+
+    return _bound(clean(c), tried)
 
 
 def deadline_date(deadline: Column) -> Column:
     """The date of a parsed deadline; null for none and for free text."""
-    return F.when(deadline.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(deadline, "yyyy-M-d"))
+    return F.try_to_date(F.regexp_extract(deadline, r"^\d{4}-\d{1,2}-\d{1,2}$", 0), "yyyy-M-d")
 
 
 def is_active(deadline: Column, as_of: Column) -> Column:
@@ -174,7 +181,8 @@ def last_match(cells: Column, pattern: str) -> Column:
 
 def date_cells(cells: Column) -> Column:
     """Parsed dates of the cells that parsing changes; one that is a date already does not count."""
-    return F.filter(F.transform(cells, lambda c: F.when(parse_date(c) != c, parse_date(c)).otherwise("")), lambda d: d != "")
+    both = F.transform(cells, lambda c: F.struct(c.alias("c"), parse_date(c).alias("d")))
+    return F.filter(F.transform(both, lambda x: F.when(x["d"] != x["c"], x["d"]).otherwise("")), lambda d: d != "")
 
 
 def lines(c: Column) -> Column:
@@ -187,11 +195,6 @@ def substantive(c: Column, most: int = 20, longest: int = rules.LONGEST) -> Colu
     return F.left(F.array_join(F.slice(F.filter(lines(c), lambda x: F.length(x) > rules.LINE), 1, most), "\n\n"), F.lit(longest))
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), with the value worked out once however often lambdas in use read it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def distinct_paragraphs(parts: Column, longest: int = 2000) -> Column:
     """The paragraphs, the first of those that are equal but for case, cut at `longest`.
 
