@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +82,23 @@ def with_looked_up(rows: DataFrame, found: DataFrame, key: str, total: int | Non
     return stays.unionByName(rest.join(found, key))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, after which the worker gives memory that it no longer uses back: workers wait for other tasks beside the JVM."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of one C library, not of every
+    if trim:
+        trim(0)
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """The text's words, A-Z lower-cased, as UTF-8; bytes.split() cuts at exactly SPACES."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, bounded, cut
+from .common import ascii_words, bounded, cut, tidy
 
 
 @dataclass(frozen=True)
@@ -92,6 +92,7 @@ def ending(word: bytes) -> int:
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """h, e, n: every word of the corpus by its hash, with its ending and number."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[bytes] = Counter()
 
@@ -138,6 +139,7 @@ def vocabulary(counts: DataFrame, layout: Layout = LAYOUT) -> Vocabulary:
     """
     known = layout.known
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, sums = np.zeros((0, 3), np.int64), {}
         for b in batches:
@@ -237,6 +239,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> D
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
     names = ["row", "id", "ids", "tails", "owns", "piece", "sums"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
         forms, sums, known = _Ids(vocab), Sums(vocab), vocab.layout.known
@@ -281,6 +284,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> D
 def corpus_sums(rows: DataFrame, vocab: Vocabulary) -> Sums:
     """The tasks' sums, added up a piece at a time as they come; Layout.cells numbers reach the driver."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
@@ -440,6 +444,7 @@ def scores(rows: DataFrame, network: Network) -> DataFrame:
     """id, n_words, log_likelihood, per_word of every encoded document."""
     shared, kind = rows.sparkSession.sparkContext.broadcast(network), rows.schema["id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for b in batches:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .encoding import default_tokenizer, encoder
 
 #: The longest piece, and the id that ends a document (fixed values).
@@ -43,6 +44,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, names = encoder(path), ["id", "start", "length", "ids", "doc_tokens"]
         for b in batches:

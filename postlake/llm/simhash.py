@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, cut, sent, with_looked_up
+from .common import ascii_words, cut, give_back, sent, tidy, with_looked_up
 from .components import components
 
 BITS, SEED = 64, 42
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, fp (signed) of every row; whole texts, nothing is shuffled."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(majority(shingle_hashes(t.as_py(), size))) for t in b.column(1)], pa.int64())], ["id", "fp"])
@@ -89,6 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
     """The number of fingerprints, and how many have each pair of bits set: sums over all rows, 64 x 64 numbers."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BITS, BITS), np.int64)
         n = 0
@@ -304,6 +306,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
     kind = docs.schema[id_col].dataType.simpleString()
     longs = pa.list_(pa.int64())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -431,7 +434,11 @@ def _hot_links(hot: DataFrame, members: DataFrame, found: DataFrame, similarity:
         left = 0 if itself else int((side == 0).sum())
         joined = np.unique(block["root"].to_numpy(), return_inverse=True)[1]
         found = block_links([np.frombuffer(s.as_buffer(), "<u8") for s in block["set"]], left, similarity, joined) if itself or 0 < left < len(side) else []
-        return pa.table({"u": pa.array([int(node[i]) for i, _ in found], pa.int64()), "v": pa.array([int(node[j]) for _, j in found], pa.int64())})
+        out = pa.table({"u": pa.array([int(node[i]) for i, _ in found], pa.int64()), "v": pa.array([int(node[j]) for _, j in found], pa.int64())})
+        if len(node) >= FEWEST:
+            del block
+            give_back()
+        return out
 
     return rows.groupBy("x", "a_kind", "step", "a", "b").applyInArrow(run, "u bigint, v bigint")
 
@@ -452,6 +459,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similari
     rows = _keyed(docs, id_col, text_col)
     texts = rows.join(sent(wanted), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left_semi")
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.unique(shingle_hashes(t.as_py(), size)) for t in b.column(0)]
@@ -459,6 +467,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similari
 
     members = cut(texts.select("text").mapInArrow(sets, "node bigint, set binary").dropDuplicates(["node"]))
 
+    @tidy
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [_alike(*(np.frombuffer(s.as_buffer(), "<u8") for s in x), similarity) for x in zip(b.column(2), b.column(3))]

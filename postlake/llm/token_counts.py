@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import bounded, cut, tidy
 from .encoding import default_tokenizer, encoder
 
 #: Lengths whose suffix sums one task forms; blocks of them are summed first.
@@ -29,6 +29,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", tokenizer: str | N
     """
     path = tokenizer or default_tokenizer()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, counts = encoder(path), Counter()
         for b in batches:

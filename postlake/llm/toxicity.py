@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 #: Labelled rows that the lexicon and curve are fitted on at most, taken in the order of a hash of their id.
 MAX_LABELLED = 20_000
@@ -184,6 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = _least(cut(chosen), max_labelled)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "label")
 
+    @tidy
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_copy_key(fold(t.as_py())) for t in b.column(0)], pa.int64())], ["text", "label", "key"])
@@ -194,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not toxic or not clean:
         return Model(exceptions=tuple(exceptions))
 
+    @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -220,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = counts.where((t >= LEAST_ROWS) & pure & told)  # patterns of max_labelled rows at most
     model = Model(_prune([(r["feature"], r["t"], r["c"]) for r in best.collect()], toxic, clean), tuple(exceptions))
 
+    @tidy
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [model.inputs(fold(t.as_py())) for t in b.column(0)]
@@ -238,6 +241,7 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t.as_py()) for t in b.column(1)], pa.float64())], ["id", "score"])
@@ -249,6 +253,7 @@ def clean_documents(docs: DataFrame, model: Model, text_col: str = "text", thres
     """The rows of docs, as they are, whose text scores under the threshold; nothing is shuffled."""
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([model.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
