@@ -30,7 +30,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The printable character that byte-level vocabularies use for each byte."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = iter(range(256, 512))
@@ -56,7 +56,7 @@ class Encoder(dict):
             and parts[0].get("pattern") == {"Regex": _SPLIT} and parts[1]["type"] == "ByteLevel"
         )
         if self.by_piece:
-            symbols = _byte_symbols()
+            symbols = byte_symbols()
             self.spelled = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
             self.merge = self.tokenizer.model.tokenize
             self.plain = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|()\-]*)").fullmatch

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, mixing, packing, quality, quotes, simhash, token_counts, topk, toxicity, url_filter
+from . import bpe, lm_scoring, mixing, packing, quality, quotes, simhash, token_counts, topk, toxicity, url_filter, variants
 from .common import table
 
 
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op8_quotes": lambda s, d: quotes.formatted(table(s, d, "conversations")),
         "op9_mixing": lambda s, d: mixing.mixture(table(s, d, "documents")),
         "op10_lm_scoring": lambda s, d: lm_scoring.pseudo_likelihood(table(s, d, "documents")),
+        "op11_bpe": lambda s, d: bpe.digests(bpe.round_trip(table(s, d, "documents"))),
+        "op12_variants": lambda s, d: variants.document_variants(table(s, d, "documents")),
     }
 
 
