@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,6 +60,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as a table in the shared folder and read from there: readers of a few columns read these only."""
+    path = f"{shared_folder(bounded(df.sparkSession))}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sent(df: DataFrame, most: int = MAX_SENT) -> DataFrame:
     """df, which is read twice, marked for sending to every task if its rows, which are counted, are few."""
     return F.broadcast(df) if df.count() <= most else df

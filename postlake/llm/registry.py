@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lm_scoring, mixing, packing, quality, quotes, simhash, token_counts, topk, toxicity, url_filter, variants
+from . import alignment, bpe, lm_scoring, mixing, packing, quality, quotes, simhash, token_counts, topk, toxicity, url_filter, variants
 from .common import table
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_lm_scoring": lambda s, d: lm_scoring.pseudo_likelihood(table(s, d, "documents")),
         "op11_bpe": lambda s, d: bpe.digests(bpe.round_trip(table(s, d, "documents"))),
         "op12_variants": lambda s, d: variants.document_variants(table(s, d, "documents")),
+        "op13_alignment": lambda s, d: alignment.align(table(s, d, "documents")),
     }
 
 
