@@ -175,13 +175,19 @@ def presence_streaks(history: DataFrame, key: str, day: str) -> DataFrame:
     return days.withColumn("__i", island).withColumn("first_seen", F.min(day).over(Window.partitionBy(key, "__i"))).drop("__i")
 
 
+def joined_last(current: DataFrame, previous: DataFrame, as_of: Column, hint: str | None = None, unique_ids: bool = False) -> DataFrame:
+    """current with what the last snapshot says of its ids: is_new, date_added, description and desc_action, by one join. unique_ids: the snapshot has no id twice."""
+    names = ("id", "date_added", "description")
+    known = previous.select(*(F.col(c).alias(f"__{c}") for c in names)) if unique_ids else _known(previous, *names[1:])
+    out = current.drop("is_new", "date_added").join(known.hint(hint) if hint else known, F.col("id") == F.col("__id"), "left")
+    return _described(_dated(out, as_of)).drop("__id", "__date_added", "__description")
+
+
 def run(current: DataFrame, previous: DataFrame, as_of: Column, summariser=None) -> DataFrame:
     """The whole run in its order: first of each id, retention, rank again with the description, known and new, descriptions."""
     out = keep_first(current, ["id"], ["ingest_seq"])
     out = out.where(is_retained(F.col("deadline"), as_of)).withColumn("rank", detect_rank(F.col("title"), F.col("description")))
-    out = out.drop("is_new", "date_added").join(_known(previous, "date_added", "description"), F.col("id") == F.col("__id"), "left")
-    out = _described(_dated(out, as_of)).drop("__id", "__date_added", "__description")
-    return summarise(out, summariser)
+    return summarise(joined_last(out, previous, as_of), summariser)
 
 
 def report(snapshot: DataFrame, as_of: Column, by: list[str] | None = None) -> DataFrame:

@@ -102,13 +102,13 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(postings_sql("spark").replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}"), orders=orders, customer=customer)
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw postings, normalised and classified."""
+def postings(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Raw postings, normalised and classified; more: raw columns beside them."""
     raw = raw_postings(spark, sf_dir)
     return raw.select(
         "ingest_seq", "custkey", make_id(F.col("university"), F.col("reference")).alias("id"), "title", "title_no", detect_rank(F.col("title")).alias("rank"),
         "university", "university_full", F.col("university_full").alias("department"), parse_date("deadline_raw").alias("deadline"), "reference",
-        detect_type(F.col("title")).alias("position_type"), F.concat(F.lit("https://example.org/"), "reference").alias("apply_url"), "description",
+        detect_type(F.col("title")).alias("position_type"), F.concat(F.lit("https://example.org/"), "reference").alias("apply_url"), "description", *more,
     )
 
 
