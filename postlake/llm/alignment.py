@@ -33,6 +33,8 @@ BLOCK_BYTES, _AT_ONCE = 24 << 20, 1 << 20
 #: What appended to a serialised model of the second kind turns its own leading space off (fixed value).
 _NO_PREFIX = b"\x1a\x02\x18\x00"
 _MARK = "▁"
+#: Links of a group up to which they are counted one by one.
+_FEW = 64
 
 
 def default_b() -> str:
@@ -42,10 +44,9 @@ def default_b() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def safe_cuts(tokens: Iterable[bytes], pieces: Iterable[str]) -> str:
+def safe_cuts(*vocabularies: Iterable[str]) -> str:
     """White space before which a text may be cut: no token has it after a character that is not white space."""
-    inside = {c.decode() for t in tokens for c in re.findall(rb"\S([\x20\x09-\x0D])", t)}
-    inside |= {c for p in pieces for c in re.findall(r"\S([\x20\x09-\x0D])", p)}
+    inside = {c for tokens in vocabularies for t in tokens for c in re.findall(r"\S([\x20\x09-\x0D])", t)}
     return "".join(c for c in SPACES if c not in inside)
 
 
@@ -62,14 +63,17 @@ class Tokenizers:
         self.a.no_truncation()
         self.a.no_padding()
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        self.bytes_a = {i: bytes(byte_of[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        vocabulary = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        # An id without a token has no bytes, and what it is in is not given back whole.
+        self.bytes_a = [bytes(byte_of[c] for c in vocabulary.get(i, "")) for i in range(self.a.get_vocab_size() + 1)]
         with open(path_b, "rb") as file:
             model = file.read()
         # The texts' leading space is put there before they are cut.
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model + _NO_PREFIX)
         shown = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(shown)]
-        cuts = safe_cuts(self.bytes_a.values(), (p.replace(_MARK, " ") for p in shown))
+        # A part of a character counts as one that is not white space.
+        cuts = safe_cuts((t.decode("utf-8", "replace") for t in self.bytes_a), (p.replace(_MARK, " ") for p in shown))
         self.cut = re.compile(rf"(?<=\S)(?=[{re.escape(cuts)}])") if cuts else re.compile(r"(?!)")
 
     def segments(self, text: str) -> Iterator[list[str]]:
@@ -83,32 +87,44 @@ class Tokenizers:
 
     def aligned(self, segments: list[str]) -> Iterator[tuple]:
         """For each segment: whether both give back its bytes, numbers of tokens, groups and links, the groups, linked pairs (A's id in the upper 32 bits) and how often each is linked."""
-        for segment, first, second in zip(segments, self.a.encode_batch(segments, add_special_tokens=False), self.b.encode(segments), strict=True):
+        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        for segment, first, b in zip(segments, self.a.encode_batch(segments, add_special_tokens=False), self.b.encode(segments), strict=True):
             a, whole = first.ids, segment.encode()
-            parts_a, parts_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in second]
-            if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
+            parts_a, parts_b = list(map(bytes_a, a)), list(map(bytes_b, b))
+            if b"".join(parts_a) == whole == b"".join(parts_b):
+                yield True, len(a), len(b), *_grouped(a, list(map(len, parts_a)), b, list(map(len, parts_b)))
+            else:
                 yield False, 0, 0, 0, 0, "", [], []
-                continue
-            yield True, len(a), len(second), *_grouped(a, parts_a, second, parts_b)
 
 
-def _grouped(a: list[int], parts_a: list[bytes], b: list[int], parts_b: list[bytes]) -> tuple:
-    groups, pairs, links = [], Counter(), 0
-    i = j = from_a = from_b = at_a = at_b = 0
-    while i < len(a):
-        at_a += len(parts_a[i])
-        i += 1
+def _grouped(a: list[int], sizes_a: list[int], b: list[int], sizes_b: list[int]) -> tuple:
+    groups, pairs, links = [], {}, 0
+    j = from_a = from_b = at_a = at_b = 0
+    for i, size in enumerate(sizes_a, 1):
+        at_a += size
         while at_b < at_a:
-            at_b += len(parts_b[j])
+            at_b += sizes_b[j]
             j += 1
         if at_a != at_b:
             continue
-        here_a, here_b = a[from_a:i], b[from_b:j]
-        groups.append(f"{','.join(map(str, here_a))}|{','.join(map(str, here_b))}")
-        links += len(here_a) * len(here_b)
-        for x, n in Counter(here_a).items():
-            for y, m in Counter(here_b).items():
-                pairs[x << 32 | y] += n * m
+        n = (i - from_a) * (j - from_b)
+        links += n
+        if n == 1:
+            x, y = a[from_a], b[from_b]
+            groups.append(f"{x}|{y}")
+            pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + 1
+        else:
+            here_a, here_b = a[from_a:i], b[from_b:j]
+            groups.append(f"{','.join(map(str, here_a))}|{','.join(map(str, here_b))}")
+            if n > _FEW:
+                here_a, here_b = Counter(here_a).items(), Counter(here_b).items()
+                for x, k in here_a:
+                    for y, m in here_b:
+                        pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + k * m
+            else:
+                for x in here_a:
+                    for y in here_b:
+                        pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + 1
         from_a, from_b = i, j
     return len(groups), links, ";".join(groups), list(pairs), list(pairs.values())
 
