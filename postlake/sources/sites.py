@@ -7,7 +7,7 @@ first posting of the source's own key, in the order of sections, pages and rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.functions import rules
@@ -325,6 +325,16 @@ def run_source(source: str, pages: DataFrame, details: DataFrame, cache: DataFra
 SITES = {"polyu": polyu, "eduhk": eduhk, "lingnan": lingnan, "hku": hku, "hkust": hkust, "cityu": cityu, "hkbu": hkbu, "cuhk": cuhk, "hkmu": hkmu, "hsu": hsu, "sfu": sfu, "hksyu": hksyu}
 
 
+def archive(pages: DataFrame, folder: str) -> None:
+    """Adds pages to the archive in folder, which has a folder for each source."""
+    pages.write.mode("append").partitionBy("source").parquet(folder)
+
+
+def archived(spark: SparkSession, folder: str) -> DataFrame:
+    """The archive's pages. What asks for one source, as collect does, opens this source's files alone."""
+    return spark.read.parquet(folder)
+
+
 def collect(pages: DataFrame, source: str | None = None, sites: dict | None = None, settle=None) -> tuple[DataFrame, dict[str, str]]:
     """All sources' postings in the registry's order with ingest_seq, and the errors of those that failed.
 

@@ -16,7 +16,7 @@ from urllib.parse import urljoin
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from .html import body_text, next_link, page_numbers
 
@@ -108,6 +108,16 @@ class _Reader(DataSourceReader):
     def __init__(self, starts: list[Start], fetch, pause: float):
         self.starts, self.fetch, self.pause = starts, fetch, pause
 
+    def pushFilters(self, filters):
+        """Takes over equalities of source and section: lists of others are not fetched."""
+        for f in filters:
+            at = getattr(f, "attribute", None)
+            if at in (("source",), ("section",)) and isinstance(f, EqualTo | In):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.starts = [s for s in self.starts if getattr(s, at[0]) in values]
+            else:
+                yield f
+
     def partitions(self):
         return [_List(s) for s in self.starts]
 
@@ -138,7 +148,8 @@ class Pages(DataSource):
 
 
 def read_pages(spark: SparkSession, starts: list[Start], fetch: Callable[[str], str] | None = None, pause: float = PAUSE) -> DataFrame:
-    """All lists' pages; a partition for each list."""
+    """All lists' pages; a partition for each list. Where a source or section is asked for, other lists are not fetched."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     spark.dataSource.register(Pages)
     reader = spark.read.format("postlake_pages").option("starts", json.dumps([s.__dict__ for s in starts])).option("pause", pause)
     return (reader.option("fetch", cloudpickle.dumps(fetch).hex()) if fetch else reader).load()
