@@ -6,8 +6,11 @@ both tokenizers give a segment the same tokens alone as within its text. Segment
 each distinct one of the corpus is tokenised and aligned once.
 
 Texts become blocks: the segments that a block has, each once, and a sequence of their
-numbers for every text. Alignments are joined to the blocks' segments, of which there are
-far fewer than occurrences, and a block's texts are composed from them.
+numbers for every text. The blocks' segments, of which there are far fewer than occurrences,
+meet sorted, so that equal ones are aligned once, and go back to their blocks with their
+alignment in packed form. A block's texts are composed from these, first to count in how
+many texts a pair is linked, then, with the corpus' counts of the block's pairs, for the
+result. No key has more rows than there are blocks.
 """
 
 from __future__ import annotations
@@ -16,16 +19,16 @@ import hashlib
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_tokenizer as default_a
-from .common import SPACES, bounded, give_back, stored, tidy, with_looked_up
+from .common import SPACES, bounded, give_back, stored, tidy
 from .encoding import byte_symbols
 
 #: Bytes of text from which a block is full, and characters that are cut, or segments that are hashed, at a time.
@@ -33,8 +36,8 @@ BLOCK_BYTES, _AT_ONCE = 24 << 20, 1 << 20
 #: What appended to a serialised model of the second kind turns its own leading space off (fixed value).
 _NO_PREFIX = b"\x1a\x02\x18\x00"
 _MARK = "▁"
-#: Links of a group up to which they are counted one by one.
-_FEW = 64
+#: Bytes of packed alignments that a task holds, and links of a group from which tokens are counted before they are paired.
+_PACKED, _MANY = 16 << 20, 1 << 16
 
 
 def default_b() -> str:
@@ -85,48 +88,31 @@ class Tokenizers:
             yield self.cut.split(text[start:end])
             start = end
 
-    def aligned(self, segments: list[str]) -> Iterator[tuple]:
-        """For each segment: whether both give back its bytes, numbers of tokens, groups and links, the groups, linked pairs (A's id in the upper 32 bits) and how often each is linked."""
+    def aligned(self, segments: list[str]) -> Iterator[str]:
+        """Each segment's groups as text; empty where a tokenizer does not give back its bytes."""
         bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
         for segment, first, b in zip(segments, self.a.encode_batch(segments, add_special_tokens=False), self.b.encode(segments), strict=True):
             a, whole = first.ids, segment.encode()
             parts_a, parts_b = list(map(bytes_a, a)), list(map(bytes_b, b))
             if b"".join(parts_a) == whole == b"".join(parts_b):
-                yield True, len(a), len(b), *_grouped(a, list(map(len, parts_a)), b, list(map(len, parts_b)))
+                yield _grouped(a, list(map(len, parts_a)), b, list(map(len, parts_b)))
             else:
-                yield False, 0, 0, 0, 0, "", [], []
+                yield ""
 
 
-def _grouped(a: list[int], sizes_a: list[int], b: list[int], sizes_b: list[int]) -> tuple:
-    groups, pairs, links = [], {}, 0
+def _grouped(a: list[int], sizes_a: list[int], b: list[int], sizes_b: list[int]) -> str:
+    """The groups between places where tokens of both end: a1,a2|b1;a3|b2,b3."""
+    groups = []
     j = from_a = from_b = at_a = at_b = 0
     for i, size in enumerate(sizes_a, 1):
         at_a += size
         while at_b < at_a:
             at_b += sizes_b[j]
             j += 1
-        if at_a != at_b:
-            continue
-        n = (i - from_a) * (j - from_b)
-        links += n
-        if n == 1:
-            x, y = a[from_a], b[from_b]
-            groups.append(f"{x}|{y}")
-            pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + 1
-        else:
-            here_a, here_b = a[from_a:i], b[from_b:j]
-            groups.append(f"{','.join(map(str, here_a))}|{','.join(map(str, here_b))}")
-            if n > _FEW:
-                here_a, here_b = Counter(here_a).items(), Counter(here_b).items()
-                for x, k in here_a:
-                    for y, m in here_b:
-                        pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + k * m
-            else:
-                for x in here_a:
-                    for y in here_b:
-                        pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + 1
-        from_a, from_b = i, j
-    return len(groups), links, ";".join(groups), list(pairs), list(pairs.values())
+        if at_a == at_b:
+            groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
+            from_a, from_b = i, j
+    return ";".join(groups)
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -145,80 +131,162 @@ class _Numbers(dict):
         return n
 
 
+def _pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of two kinds. Texts: block, id, codes (unsigned 32-bit numbers of the block's segments, in order). Segments of a block: block, code, key (a checksum of 128 bits), segment."""
+    """Rows of two kinds. Texts, some in a row: block, ids, sizes (segments of each), codes (the segments' numbers within the block, in order, packed). Segments: block, code, segment."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        both, block, held = tokenizers(path_a, path_b), TaskContext.get().partitionId() << 33, 0
-        numbers = _Numbers()
-        names = ["block", "id", "codes", "code", "key", "segment"]
+        both, block, held, numbers = tokenizers(path_a, path_b), TaskContext.get().partitionId() << 33, 0, _Numbers()
+        names = ["block", "ids", "sizes", "codes", "code", "segment"]
 
-        def of_segments():
-            listed, n = list(numbers), len(numbers)
-            keys = [hashlib.md5(s.encode(), usedforsecurity=False).digest() for s in listed]
-            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, of_id), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(keys, pa.binary()), pa.array(listed, pa.string())], names)
+        def of_segments(of_ids):
+            n = len(numbers)
+            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, of_ids), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(list(numbers), pa.string())], names)
 
-        of_id = pa.int64()
+        of_ids = None
         for b in batches:
-            of_id, codes = b.schema.field(0).type, []
+            of_ids, codes, sizes = pa.list_(b.schema.field(0).type), array("I"), []
             for text in b.column(1):
-                own = array("I")
+                before = len(codes)
                 for some in both.segments(text.as_py()) if text.as_py() else ():
-                    own.extend(map(numbers.__getitem__, some))
-                codes.append(own.tobytes())
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), b.column(0), pa.array(codes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.string())], names)
+                    codes.extend(map(numbers.__getitem__, some))
+                sizes.append(len(codes) - before)
+            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), ids.cast(of_ids), pa.array([sizes], pa.list_(pa.int64())), pa.array([_pack(codes.tobytes())], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string())], names)
             held += b.nbytes
             if held >= BLOCK_BYTES:
-                yield of_segments()
+                yield of_segments(of_ids)
                 numbers.clear()
                 block, held = block + 1, 0
         if numbers:
-            yield of_segments()
+            yield of_segments(of_ids)
+
+    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"block bigint, ids array<{kind}>, sizes array<bigint>, codes binary, code int, segment string")
 
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"block bigint, id {kind}, codes binary, code int, key binary, segment string")
 
+def align_segments(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """block, codes, groups (both packed): the alignments of words(block, code, segment), which are sorted by segment within tasks.
 
-def align_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """key, ok, n_a, n_b, n_groups, n_links, groups, pairs, times for each row of segments(key, segment)."""
+    A run of equal segments is tokenised and aligned once.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = tokenizers(path_a, path_b)
-        types = [pa.bool_(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        for b in batches:
-            columns = zip(*both.aligned(b.column(1).to_pylist()), strict=True) if b.num_rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["key", "ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
-
-    return segments.mapInArrow(run, "key binary, ok boolean, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs array<bigint>, times array<bigint>")
-
+        both, last, held = tokenizers(path_a, path_b), {}, 0
+        waiting: dict[int, tuple[array, list[str]]] = {}
 
-def _by_code(words: pa.Table) -> pa.Table:
-    return words.take(np.argsort(words["code"].to_numpy(zero_copy_only=False), kind="stable"))
+        def flush():
+            codes, groups = [_pack(c.tobytes()) for c, _ in waiting.values()], [_pack("".join(g).encode()) for _, g in waiting.values()]
+            out = pa.RecordBatch.from_arrays([pa.array(list(waiting), pa.int64()), pa.array(codes, pa.binary()), pa.array(groups, pa.binary())], ["block", "codes", "groups"])
+            waiting.clear()
+            return out
 
-
-def _pairs_of_block(texts: pa.Table, words: pa.Table) -> pa.Table:
+        for b in batches:
+            segments = b.column(2).to_pylist()
+            new = [s for s in dict.fromkeys(segments) if s not in last]
+            known = last | dict(zip(new, both.aligned(new), strict=True))
+            last = {segments[-1]: known[segments[-1]]} if segments else last
+            for block, code, segment in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), segments, strict=True):
+                if block not in waiting:
+                    waiting[block] = array("I"), []
+                codes, groups = waiting[block]
+                codes.append(code)
+                groups.append(known[segment] + "\n")
+                held += len(groups[-1]) + 4
+            if held >= _PACKED:
+                yield flush()
+                held = 0
+        if waiting:
+            yield flush()
+
+    return words.mapInArrow(run, "block bigint, codes binary, groups binary")
+
+
+class _Block:
+    """A block's segments by their numbers: which are aligned, their groups, and their links."""
+
+    def __init__(self, packed: pa.Table):
+        codes, lines = [], []
+        for c, g in zip(packed["codes"], packed["groups"], strict=True):
+            codes.append(np.frombuffer(_unpack(c.as_py()), "<u4"))
+            lines += _unpack(g.as_py()).split(b"\n")[:-1]
+        order = np.argsort(np.concatenate(codes), kind="stable") if codes else np.zeros(0, np.int64)
+        self.groups = [lines[i] for i in order.tolist()]
+        self.n = len(self.groups)
+        self.ok = np.fromiter(map(bool, self.groups), bool, self.n)
+        self._read(b"\n".join([g for g in self.groups if g]) + b"\n")
+
+    def _read(self, text: bytes) -> None:
+        """Numbers and what follows each: , another of its side, | B's side, ; the next group, a line end the next segment."""
+        size = self.n
+        if text == b"\n":
+            text = b""
+        signs = np.frombuffer(text, np.uint8)
+        signs = signs[(signs < ord("0")) | (signs > ord("9"))]
+        ids = np.array(text.translate(bytes.maketrans(b",|;\n", b"    ")).split(), np.int64)
+        ends_group = (signs == ord(";")) | (signs == ord("\n"))
+        group = np.cumsum(ends_group) - ends_group
+        n_groups = int(group[-1]) + 1 if len(group) else 0
+        # A number is B's if its group's bar came before it.
+        bars = np.cumsum(signs == ord("|")) - (signs == ord("|"))
+        of_b = bars > group
+        segment_of_group = np.flatnonzero(self.ok)[(np.cumsum(signs == ord("\n")) - (signs == ord("\n")))[ends_group]]
+        n_a, n_b = np.bincount(group[~of_b], minlength=n_groups), np.bincount(group[of_b], minlength=n_groups)
+        self.sums = {name: np.bincount(segment_of_group, x, size).astype(np.int64) for name, x in (("n_a", n_a), ("n_b", n_b), ("n_groups", np.ones(n_groups)), ("n_links", n_a * n_b))}
+        start = np.cumsum(n_a + n_b) - (n_a + n_b)
+        links = n_a * n_b
+        few = links <= _MANY
+        n, first, second = links[few], start[few], (start + n_a)[few]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = np.repeat(n_b[few], n)
+        pairs = [ids[np.repeat(first, n) + at // np.maximum(width, 1)] << 32 | ids[np.repeat(second, n) + at % np.maximum(width, 1)]]
+        segment, times = [np.repeat(segment_of_group[few], n)], [np.ones(len(at), np.int64)]
+        for g in np.flatnonzero(~few):
+            x, k = np.unique(ids[start[g] : start[g] + n_a[g]], return_counts=True)
+            y, m = np.unique(ids[start[g] + n_a[g] : start[g] + n_a[g] + n_b[g]], return_counts=True)
+            pairs.append((x[:, None] << 32 | y).ravel())
+            times.append((k[:, None] * m).ravel())
+            segment.append(np.full(len(pairs[-1]), segment_of_group[g]))
+        #: Links: their segment, pair and how often; in no order.
+        self.segment, self.pair, self.times = np.concatenate(segment), np.concatenate(pairs), np.concatenate(times)
+
+    def texts(self, texts: pa.Table) -> Iterator[tuple[object, np.ndarray]]:
+        """Each text's id and the numbers of its segments; none if one of them is not aligned."""
+        for ids, sizes, codes in zip(texts["ids"] if "ids" in texts.column_names else texts["sizes"], texts["sizes"], texts["codes"], strict=True):
+            own, at = np.frombuffer(_unpack(codes.as_py()), "<u4"), 0
+            for i, n in zip(ids.as_py(), sizes.as_py(), strict=True):
+                some = own[at : at + n]
+                at += n
+                yield i, some if n and self.ok[some].all() else some[:0]
+
+
+def _pairs_of_block(texts: pa.Table, packed: pa.Table) -> pa.Table:
     """Each linked pair of a block with the number of its texts that link it."""
-    words = _by_code(words)
-    ok, lists = words["ok"].to_numpy(zero_copy_only=False), words["pairs"].combine_chunks()
-    flat, sizes = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
-    starts = np.cumsum(sizes) - sizes
-    # Pairs by their numbers within the block, so that a text's are few small numbers.
-    known, flat = np.unique(flat, return_inverse=True)
-    total = np.zeros(len(known), np.int64)
-    waiting, held = [], 0
-    for codes in texts["codes"]:
-        own = np.unique(np.frombuffer(codes.as_buffer(), "<u4"))
-        if not len(own) or not ok[own].all():
+    block = _Block(packed)
+    known, pair = np.unique(block.pair, return_inverse=True)
+    # Each pair of a segment once, in the order of segments.
+    once = np.unique(block.segment * max(1, len(known)) + pair)
+    segment, pair = np.divmod(once, max(1, len(known)))
+    sizes = np.bincount(segment, minlength=block.n)
+    starts, total, waiting, held = np.cumsum(sizes) - sizes, np.zeros(len(known), np.int64), [], 0
+    for _, codes in block.texts(texts):
+        if not len(codes):
             continue
+        own = np.unique(codes)
         n = sizes[own]
         ends = np.cumsum(n)
-        at = np.repeat(starts[own] - (ends - n), n) + np.arange(ends[-1])
-        waiting.append(np.unique(flat[at]))
+        waiting.append(np.unique(pair[np.repeat(starts[own] - (ends - n), n) + np.arange(ends[-1])]))
         held += len(waiting[-1])
         if held >= _AT_ONCE:
             total += np.bincount(np.concatenate(waiting), minlength=len(known))
@@ -226,7 +294,7 @@ def _pairs_of_block(texts: pa.Table, words: pa.Table) -> pa.Table:
     if waiting:
         total += np.bincount(np.concatenate(waiting), minlength=len(known))
     met = np.flatnonzero(total)
-    out = pa.table({"pair": pa.array(known[met], pa.int64()), "n": pa.array(total[met], pa.int64())})
+    out = pa.table({"block": pa.array(np.full(len(met), packed["in_block"][0].as_py() if len(packed) else 0), pa.int64()), "pair": pa.array(known[met], pa.int64()), "n": pa.array(total[met], pa.int64())})
     give_back()
     return out
 
@@ -235,34 +303,40 @@ def _pairs_of_block(texts: pa.Table, words: pa.Table) -> pa.Table:
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _texts_of_block(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """A row for each text of a block, composed from its segments."""
-    words = _by_code(words)
-    ok = words["ok"].to_numpy(zero_copy_only=False)
-    numbers = np.array([words[c].to_numpy(zero_copy_only=False) for c in SUMS])
-    groups = [g.encode() for g in words["groups"].to_pylist()]
-    sums, digests = [], []
-    for codes in texts["codes"]:
-        own = np.frombuffer(codes.as_buffer(), "<u4")
-        if not len(own) or not ok[own].all():
-            sums.append([0] * len(SUMS))
-            digests.append("")
-            continue
+def _texts_of_block(texts: pa.Table, rows: pa.Table) -> pa.Table:
+    """A row for each text of a block, composed from its segments' alignments and its pairs' counts."""
+    kind = texts.schema.field("ids").type.value_type
+    counts = rows.filter(rows["pair"].is_valid())
+    block = _Block(rows.filter(rows["pair"].is_null()))
+    pair = counts["pair"].to_numpy()
+    order = np.argsort(pair)
+    # A link that no whole text has is without a count, and in no text's sum.
+    pair = np.append(pair[order], -1)
+    at = np.searchsorted(pair[:-1], block.pair)
+    there = pair[at] == block.pair
+    for name, values in (("n_best", counts["top"].to_numpy(zero_copy_only=False)), ("count_sum", counts["n"].to_numpy())):
+        value = np.append(values.astype(np.int64)[order], 0)[at] * there * block.times
+        block.sums[name] = np.zeros(block.n, np.int64)
+        np.add.at(block.sums[name], block.segment, value)
+    numbers = np.array([block.sums[c] for c in SUMS]).reshape(len(SUMS), block.n)
+    ids, sums, digests = [], [], []
+    for i, own in block.texts(texts):
+        ids.append(i)
         total, digest = np.zeros(len(SUMS), np.int64), hashlib.sha256()
         for start in range(0, len(own), _AT_ONCE):
             some = own[start : start + _AT_ONCE]
             total += numbers[:, some].sum(1)
-            digest.update(b";" * (start > 0) + b";".join(map(groups.__getitem__, some.tolist())))
-        sums.append(total.tolist())
-        digests.append(digest.hexdigest())
+            digest.update(b";" * (start > 0) + b";".join(map(block.groups.__getitem__, some.tolist())))
+        sums.append(total)
+        digests.append(digest.hexdigest() if len(own) else "")
     columns = np.array(sums, np.int64).reshape(-1, len(SUMS)).T
-    out = pa.table({"id": texts["id"], **{c: pa.array(x, pa.int64()) for c, x in zip(SUMS, columns, strict=True)}, "groups_sha256": pa.array(digests, pa.string())})
+    out = pa.table({"id": pa.array(ids, kind), **{c: pa.array(x, pa.int64()) for c, x in zip(SUMS, columns, strict=True)}, "groups_sha256": pa.array(digests, pa.string())})
     give_back()
     return out
 
 
-def _cogrouped(texts: DataFrame, words: DataFrame, of_block, schema: str) -> DataFrame:
-    return texts.groupBy("block").cogroup(words.groupBy("in_block")).applyInArrow(of_block, schema)
+def _cogrouped(texts: DataFrame, rows: DataFrame, of_block, schema: str) -> DataFrame:
+    return texts.groupBy("block").cogroup(rows.groupBy("in_block")).applyInArrow(of_block, schema)
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -277,25 +351,24 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     stay, other columns are not read, and an empty table gives no rows.
 
     A task holds a block, which is BLOCK_BYTES of texts or one longer text, with the
-    alignments of its distinct segments. Segments that are in very many blocks are joined
-    where they are.
+    alignments of its distinct segments.
     """
     bounded(docs.sparkSession)
     path_a, path_b = path_a or default_a(), path_b or default_b()
     parts = stored(blocks(docs, path_a, path_b, id_col, text_col))
-    texts, words = parts.where("key is null").select("block", "id", "codes"), parts.where("key is not null").select(F.col("block").alias("in_block"), "code", "key")
-    aligned = stored(align_segments(parts.where("key is not null").select("key", "segment").distinct(), path_a, path_b))
-    total = words.count()
+    texts, words = parts.where("segment is null").select("block", "ids", "sizes", "codes"), parts.where("segment is not null").select("block", "code", "segment")
+    packed = stored(align_segments(words.repartition("segment").sortWithinPartitions("segment"), path_a, path_b)).select(F.col("block").alias("in_block"), "codes", "groups")
 
-    with_pairs = with_looked_up(words, aligned.select("key", "ok", "pairs"), "key", total).select("in_block", "code", "ok", "pairs")
-    counts = stored(_cogrouped(texts.select("block", "codes"), with_pairs, _pairs_of_block, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")))
+    of_blocks = stored(_cogrouped(texts.drop("ids"), packed, _pairs_of_block, "block bigint, pair bigint, n bigint"))
+    counts = of_blocks.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32))
+    counts = stored(counts)
     # One row for each id of the first vocabulary at most.
-    best = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))
-    counts = counts.withColumn("a", F.shiftright("pair", 32)).join(F.broadcast(best), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("top"))
-    links = aligned.where("ok").select("key", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("key", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
-    scored = with_looked_up(links, counts, "pair").groupBy("key").agg(F.sum(F.when(F.col("top"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    values = stored(aligned.drop("pairs", "times").join(scored, "key", "left").fillna(0, ["n_best", "count_sum"]))
+    best = counts.groupBy("a").agg(F.max("n").alias("most"))
+    counts = counts.join(F.broadcast(best), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("top"))
+    pairs = of_blocks.select(F.col("block").alias("in_block"), "pair").join(counts, "pair")
 
-    with_values = with_looked_up(words, values, "key", total).select("in_block", "code", "ok", *SUMS, "groups")
+    empty = lambda kind: F.lit(None).cast(kind)
+    rows = packed.select("in_block", "codes", "groups", empty("bigint").alias("pair"), empty("bigint").alias("n"), empty("boolean").alias("top"))
+    rows = rows.unionByName(pairs.select("in_block", empty("binary").alias("codes"), empty("binary").alias("groups"), "pair", "n", "top"))
     of_id = docs.schema[id_col].dataType.simpleString()
-    return _cogrouped(texts, with_values, _texts_of_block, f"id {of_id}, {', '.join(f'{c} bigint' for c in SUMS)}, groups_sha256 string").withColumnRenamed("id", id_col)
+    return _cogrouped(texts, rows, _texts_of_block, f"id {of_id}, {', '.join(f'{c} bigint' for c in SUMS)}, groups_sha256 string").withColumnRenamed("id", id_col)
