@@ -117,6 +117,53 @@ def pending(current: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
     return current.where(is_retained(F.col("deadline"), as_of)).join(good, "id", "left_anti")
 
 
+#: Bits of a Bloom filter of ids, and how many of them an id sets.
+FILTER_BITS, FILTER_HASHES = 1 << 23, 4
+
+
+def _bits(key: str, bits: int, hashes: int) -> list[Column]:
+    """An id's places in the filter."""
+    return [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits).cast("long")) for i in range(hashes)]
+
+
+def id_filter(ids: DataFrame, key: str = "id", bits: int = FILTER_BITS, hashes: int = FILTER_HASHES) -> DataFrame:
+    """One row with `words`: a Bloom filter of ids as an array of longs, bits / 64 of them whatever the ids.
+
+    Tasks set the bits of their own ids in words first, and these are merged; an empty
+    array stands for no ids. bits is a multiple of 64.
+    """
+    if bits <= 0 or bits % 64 or hashes < 1:
+        raise ValueError("bits is a multiple of 64, hashes is 1 at least")
+    at = ids.where(F.col(key).isNotNull()).select(F.explode(F.array(*_bits(key, bits, hashes))).alias("b"))
+    words = at.select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 AS INT))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    filled = ids.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("m", F.lit(0).cast("long")).alias("m"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda x: x["m"])
+    return filled.agg(F.when(F.bit_or("m") != 0, ordered).otherwise(F.array().cast("array<bigint>")).alias("words"))
+
+
+def may_have(words: Column, key: str, bits: int = FILTER_BITS, hashes: int = FILTER_HASHES) -> Column:
+    """Whether a filter's words may have the row's id: true for all that it was made of, and for few others."""
+    out = F.col(key).isNotNull() & (F.size(words) > 0)
+    for b in _bits(key, bits, hashes):
+        word = F.get(words, F.shiftright(b, 6).cast("int"))
+        out = out & (F.call_function("getbit", word, b.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return out
+
+
+def pending_filtered(current: DataFrame, cache: DataFrame, as_of: Column, bits: int = FILTER_BITS, hashes: int = FILTER_HASHES) -> DataFrame:
+    """pending(), where rows whose id cannot have a good cached description do not go through the join.
+
+    The filter of good ids, of bits / 8 bytes, is worked out once and applied where current
+    is read; what it lets through is joined, so that the result is exact whatever it lets
+    through. Rows with a null id are pending.
+    """
+    good = cache.where(good_cached(F.col("description"))).select("id")
+    words = id_filter(good, "id", bits, hashes).scalar()
+    retained = current.where(is_retained(F.col("deadline"), as_of)).withColumn("__may", may_have(words, "id", bits, hashes))
+    sure = retained.where(~F.col("__may")).drop("__may")
+    return sure.unionByName(retained.where("__may").drop("__may").join(good, "id", "left_anti").select(*sure.columns))
+
+
 def join_details(current: DataFrame, details: DataFrame, extract: Column) -> DataFrame:
     """description from the detail page of the row's URL; the row's own where there is none. details: url, body_text."""
     one = unique(details.select("url", extract.alias("x")), "url", "x").select(F.col("url").alias("__u"), F.col("x").alias("__x"))
@@ -167,6 +214,54 @@ def summarise(rows: DataFrame, summariser=None) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def summarise_once(rows: DataFrame, summariser, memo: str) -> DataFrame:
+    """summarise(), but a text is summarised once, however many rows, runs or retries have it.
+
+    memo is a folder, shared by all executors, of the summaries so far, by a checksum of
+    what the summariser is given. What is due and not there yet is called for first, each
+    once, and written; then all rows take their summaries from there. A run that is cut off
+    later and tried again finds them. A failed call is not remembered, and its text stays.
+    """
+    spark, names = rows.sparkSession, rows.columns
+    given = [F.left("description", F.lit(rules.LONGEST)), F.coalesce("title", F.lit("")), F.coalesce("department", F.lit(""))]
+    key = F.sha2(F.to_json(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(given)))), 256)
+    keyed = rows.withColumn("__key", F.when(F.col("desc_action") == "summarise", key))
+    schema = "key string, summary string"
+    known = lambda: spark.read.schema(schema).parquet(memo) if _exists(spark, memo) else spark.createDataFrame([], schema)
+    due = keyed.where("__key is not null").groupBy("__key").agg(*(F.first(c).alias(n) for c, n in zip(given, ("text", "title", "department"), strict=True)))
+    due = due.join(known().select(F.col("key").alias("__key")), "__key", "left_anti")
+    _called(due, summariser, schema).write.mode("append").parquet(memo)
+    # Two runs at once may both have called for a text; one of the answers stands.
+    one = unique(known(), "key", "summary").select(F.col("key").alias("__k"), F.col("summary").alias("__s"))
+    out = keyed.join(one, F.col("__key") == F.col("__k"), "left")
+    return out.withColumn("description", F.coalesce("__s", "description")).select(*names)
+
+
+def _exists(spark, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _called(due: DataFrame, summariser, schema: str) -> DataFrame:
+    """key, summary of due(__key, text, title, department), without those whose call failed."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, summaries = [], []
+            for k, *args in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    summaries.append(summariser(*args))
+                    keys.append(k)
+                except Exception:  # noqa: BLE001, S112  the text as it is stands in for any failure
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(summaries, pa.string())], ["key", "summary"])
+
+    return due.select("__key", "text", "title", "department").mapInArrow(run, schema)
+
+
 def presence_streaks(history: DataFrame, key: str, day: str) -> DataFrame:
     """first_seen of each key and day: the first day of the unbroken run of days that holds it."""
     days = history.select(key, day).distinct()

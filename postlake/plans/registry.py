@@ -17,10 +17,8 @@ from postlake.streaming import snapshots
 
 from . import archive as A
 from . import postings as P
+from . import runs, states, views
 from .lists import QUERIES as LISTS
-from .states import QUERIES as STATES
-from .views import QUERIES as VIEWS
-from .views import SAME
 
 _DAY = P._D
 _Q: dict = {}
@@ -265,7 +263,7 @@ _add("g2_extractors", " UNION ALL ".join(_COUNTS.values()))(lambda s, d: _counte
 _add("s5_source_selection", f"SELECT id, title FROM ({A.listed_sql('hku')})")(lambda s, d: S.collect(_everything(s, d, "hku", "hsu"), "HKU")[0].select("id", "title"))
 _add("s6_isolation", f"{_COUNTS['hsu']} UNION ALL {_COUNTS['hkmu']}")(lambda s, d: _counted(S.collect(_everything(s, d, "hsu", "sfu", "hkmu"), sites={"hsu": S.hsu, "sfu": _broken, "hkmu": S.hkmu}, settle=kept)[0]))
 _add("g3_in_page", f"SELECT * FROM ({_SQL['x14_nearest_link']})")(_Q["x14_nearest_link"])
-for _name, (_query, _sql) in (LISTS | STATES | VIEWS | {n: (q, _SQL[same]) for n, (q, same) in SAME.items()}).items():
+for _name, (_query, _sql) in (LISTS | states.QUERIES).items():
     _add(_name, _sql)(_query)
 
 
@@ -315,6 +313,13 @@ _add("v11_detail", P.sql("SELECT id, 'Apply on ' || university AS apply_label FR
 _add("v12_stat_header", P.sql(f"SELECT university, count(*) FILTER (date_added = {_DAY}) AS new_today FROM snap GROUP BY ALL"))(lambda s, d: P.snapshot(s, d).groupBy("university").agg(F.count_if(c("date_added") == P.as_of()).alias("new_today")))
 
 
+# --- Indexes, pages, sinks, memory -------------------------------------------------------
+for _name, (_query, _sql) in (views.QUERIES | runs.QUERIES).items():
+    _add(_name, _sql)(_query)
+for _name, (_query, _same) in (views.SAME | runs.SAME).items():
+    _add(_name, _SQL[_same])(_query)
+
+
 def queries() -> dict:
     return dict(_Q)
 

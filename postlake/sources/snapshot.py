@@ -12,6 +12,8 @@ from postlake.functions.rules import COLUMNS
 from postlake.functions.text import text
 from postlake.operators.reconcile import keep_last
 
+from .lines import write_lines
+
 _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
@@ -32,12 +34,45 @@ def read_snapshot(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
     at = _settled(fs, path_of, path)
     if at is None:
         return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in ("id", "date_added", "description")])).withColumn("date_added", F.col("date_added").cast("date"))
-    rows = spark.read.options(**_CSV).csv(at)
+    return _last_rows(spark.read.options(**_CSV).csv(at), as_of)
+
+
+def read_snapshot_parts(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
+    """The same of what write_snapshot_parts wrote: only the first file has a header."""
+    fs, path_of = _fs(spark, path)
+    at = _settled(fs, path_of, path)
+    if at is None:
+        return read_snapshot(spark, path, as_of)
+    rows = spark.read.options(**_CSV | {"header": False}).schema(", ".join(f"`{c}` string" for c in COLUMNS)).csv(at)
+    header = F.lit(True)
+    for c in COLUMNS:
+        header = header & F.col(c).eqNullSafe(F.lit(c))
+    return _last_rows(rows.where(~header), as_of)
+
+
+def _last_rows(rows: DataFrame, as_of: Column) -> DataFrame:
     added = F.try_to_date(F.col("date_added"), "yyyy-MM-dd") if "date_added" in rows.columns else as_of
     rows = rows.select(F.trim(text("id")).alias("id"), added.alias("date_added"), (text("description") if "description" in rows.columns else F.lit("")).alias("description"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"))
     return keep_last(rows.where("id <> ''"), ["id"], ["f", "n"]).drop("f", "n")
 
 
+def _fields(snapshot: DataFrame) -> list[Column]:
+    """The posting columns in order, as text."""
+    flags = {"is_new": F.when(F.col("is_new"), "TRUE").otherwise("FALSE"), "date_added": F.date_format("date_added", "yyyy-MM-dd")}
+    return [(flags.get(c, F.col(c)) if c in snapshot.columns else F.lit("")).cast("string").alias(c) for c in COLUMNS]
+
+
+def write_snapshot_parts(snapshot: DataFrame, path: str) -> None:
+    """The same lines as write_snapshot's, one file for each task: nothing meets in one task.
+
+    The first file begins with the header; all files one after the other are the one file.
+    A failed run leaves the old folder. read_snapshot_parts reads them again.
+    """
+    options = {"quote": '"', "escape": '"', "emptyValue": ""}
+    line = F.coalesce(F.to_csv(F.struct(*_fields(snapshot)), options), F.lit(""))
+    write_lines(snapshot, line, path, ",".join(COLUMNS) + "\n", ".csv")
+
+
 def write_snapshot(snapshot: DataFrame, path: str) -> None:
     """The posting columns in order as one CSV file, as its readers expect it.
 
@@ -45,8 +80,7 @@ def write_snapshot(snapshot: DataFrame, path: str) -> None:
     deleted after: the input may be the old file, and at no time is there no whole
     snapshot. For large states write the Parquet versions of streaming.snapshots.
     """
-    flags = {"is_new": F.when(F.col("is_new"), "TRUE").otherwise("FALSE"), "date_added": F.date_format("date_added", "yyyy-MM-dd")}
-    out = snapshot.select(*((flags.get(c, F.col(c)) if c in snapshot.columns else F.lit("")).cast("string").alias(c) for c in COLUMNS))
+    out = snapshot.select(*_fields(snapshot))
     whole = path.rstrip("/")
     beside, aside = f"{whole}.{uuid.uuid4().hex}", f"{whole}.old"
     out.coalesce(1).write.options(**{k: v for k, v in _CSV.items() if k != "multiLine"}, emptyValue="").csv(beside)
