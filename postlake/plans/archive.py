@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlake.functions import rules
+from postlake.operators import reconcile as R
 from postlake.sources import sites
 
 from . import postings as P
@@ -117,11 +118,40 @@ def details(spark: SparkSession, d: str, source: str) -> DataFrame:
 
 
 def cache(spark: SparkSession, d: str, source: str) -> DataFrame:
-    """id, description of an earlier run: a good one of every fifth job, a placeholder of every fifth."""
+    """id, description, date_added of an earlier run: a good description of every fifth job, a placeholder of every fifth."""
     job = F.col("job")
     prefix = {s: p for s, _, p, _ in rules.UNIVERSITIES}[source]
     rows = _listing(spark, d, source).select("job").distinct().where(job % 5 < 2)
-    return rows.select(_text(f"{prefix}-", "26" if source == "hkmu" else "", job, "BV" if source == "hkmu" else "").alias("id"), F.when(job % 5 == 0, CACHED).otherwise(f"Post. {rules.PLACEHOLDER} for full details.").alias("description"))
+    return rows.select(_text(f"{prefix}-", "26" if source == "hkmu" else "", job, "BV" if source == "hkmu" else "").alias("id"), F.when(job % 5 == 0, CACHED).otherwise(f"Post. {rules.PLACEHOLDER} for full details.").alias("description"), F.date_sub(P.as_of(), (job % 30).cast("int")).alias("date_added"))
+
+
+def failing_pages(spark: SparkSession, d: str) -> DataFrame:
+    """hkbu's pages as fetched on a bad day, with error: every seventh JSON page failed, and all lists were rendered too."""
+    api, failed = pages(spark, d, "hkbu"), F.col("page_no") % 7 == 0
+    gone = lambda c: F.when(~failed, F.col(c)).alias(c)
+    listed = api.select("source", "section", "section_no", "page_no", "url", gone("html"), gone("body_text"), F.when(failed, "HTTPError: 503").alias("error"))
+    k, title, job, dept = (F.col(c) for c in ("k", "title", "job", "dept"))
+    link = _text(f"<a href='{rules.BASES['hkbu']}/", job, "'>", title, F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(", "), dept)), "</a>")
+    rows = _listing(spark, d, "hkbu").select("page", F.struct("row", link.alias("html")).alias("r"))
+    one = rows.groupBy("page").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    html = F.concat(F.lit("<div>"), F.array_join(F.transform("r", lambda x: x["html"]), ""), F.lit("</div>"))
+    return listed.unionByName(one.select(F.lit("hkbu").alias("source"), F.lit(sites.RENDERED).alias("section"), F.lit(1).cast("long").alias("section_no"), F.col("page").cast("long").alias("page_no"), _text("https://list.example/hkbu/rendered/", F.col("page")).alias("url"), html.alias("html"), F.lit("").alias("body_text"), F.lit(None).cast("string").alias("error")))
+
+
+def run_failing(spark: SparkSession, d: str) -> DataFrame:
+    """hkbu's whole run on the bad day, first of each id."""
+    out = sites.run_source("hkbu", failing_pages(spark, d), details(spark, d, "hkbu"), cache(spark, d, "hkbu"), P.as_of())
+    return R.keep_first(out, ["id"], ["section_no", "page_no", "row_no"]).select(*COLUMNS)
+
+
+def all_archived(spark: SparkSession, d: str, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every source's list and detail pages, archived by source in folder, and the last snapshot."""
+    for source in SOURCES:
+        listed = failing_pages(spark, d) if source == "hkbu" else pages(spark, d, source).withColumn("error", F.lit(None).cast("string"))
+        sites.archive(listed, f"{folder}/pages")
+        sites.archive(details(spark, d, source).withColumn("source", F.lit(source)), f"{folder}/details")
+    previous = R.union_sources([cache(spark, d, source) for source in SOURCES])
+    return sites.archived(spark, f"{folder}/pages"), sites.archived(spark, f"{folder}/details"), previous
 
 
 def run(spark: SparkSession, d: str, source: str) -> DataFrame:
@@ -153,15 +183,15 @@ def _id(prefix: str, key: str) -> str:
     return f"'{prefix}-' || CASE WHEN length({key}) <= 20 AND regexp_matches({key}, '^[\\w\\-]+$') THEN ({key}) ELSE md5({key})[1:10] END"
 
 
-def _expected(source: str) -> str:
-    """The source's query: from l to the posting columns."""
+def _expected(source: str, placed: bool = False) -> str:
+    """The source's query: from l to the posting columns; placed: with section, page and r, where the row stands."""
     named = "CASE WHEN bare THEN uni ELSE dept END"
     cached = "job % 5 = 0"
     first = lambda key, rows="l": f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY page, r) AS n FROM {rows}) WHERE n = 1)"
     base = rules.BASES.get(source, "")
 
     def out(id_, title, dept, deadline, ref, url, about, rows, where="true", kind="type"):
-        return f"SELECT {id_} AS id, {title} AS title, rank, {dept} AS department, {deadline} AS deadline, {ref} AS reference, {kind} AS position_type, {url} AS apply_url, {about} AS description FROM {rows} WHERE {where}"
+        return f"SELECT {id_} AS id, {title} AS title, rank, {dept} AS department, {deadline} AS deadline, {ref} AS reference, {kind} AS position_type, {url} AS apply_url, {about} AS description{', 0 AS section, page, r' if placed else ''} FROM {rows} WHERE {where}"
 
     job = "CAST(job AS VARCHAR)"
     if source == "polyu":
@@ -211,6 +241,38 @@ def _expected(source: str) -> str:
     return out(_id("HKSYU", key), "title", "dept", "day", "CASE WHEN bare THEN '' ELSE 'ro-' || job END", f"CASE WHEN bare THEN 'https://list.example/hksyu/' || page ELSE '{base}/files/ro-' || job || '.pdf' END", _HOLDER.format(dept="dept"), rows)
 
 
+def _expected_failing() -> str:
+    """hkbu's on the bad day, placed: JSON rows of pages that did not fail, then all rendered rows."""
+    named = "CASE WHEN bare THEN inferred ELSE dept END"
+    api = _expected("hkbu", True).replace("FROM l)", "FROM (SELECT * FROM l WHERE page % 7 <> 0))")
+    rows = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title || CASE WHEN bare THEN '' ELSE dept END ORDER BY page, r) AS n FROM l) WHERE n = 1)"
+    about = f"title || CASE WHEN {named} <> '' THEN ' — ' || {named} ELSE '' END || '. {rules.PLACEHOLDER} for full details.'"
+    return f"""{api} UNION ALL SELECT 'HKBU-' || CAST(job AS VARCHAR), title, rank, coalesce(nullif({named}, ''), uni), CASE WHEN {_SEEN} THEN '199' || job % 10 || '-03-05' ELSE '' END, CAST(job AS VARCHAR), type,
+        '{rules.BASES['hkbu']}/' || job, {about}, 1, page, r FROM {rows}"""
+
+
+def failing_sql() -> str:
+    return f"WITH l AS ({_lst('hkbu')}), x AS ({_expected_failing()}) SELECT {', '.join(COLUMNS)} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY section, page, r) AS n FROM x) WHERE n = 1"
+
+
+def all_sql(tail: str) -> str:
+    """tail after found, first and snap: every source's rows, the first of each id, and the snapshot."""
+    found, last = [], []
+    for source, _, prefix, _ in rules.UNIVERSITIES:
+        body = _expected_failing() if source == "hkbu" else _expected(source, True)
+        found.append(f"SELECT '{source}' AS source, * FROM (WITH l AS ({_lst(source)}) {body})")
+        job = "'26' || job || 'BV'" if source == "hkmu" else "job"
+        last.append(f"SELECT '{prefix}-' || {job} AS id, {P._D} - CAST(job % 30 AS INTEGER) AS date_added, CASE WHEN job % 5 = 0 THEN '{CACHED}' ELSE 'Post. {rules.PLACEHOLDER} for full details.' END AS description FROM (SELECT DISTINCT job FROM (WITH l AS ({_lst(source)}) SELECT job FROM l) WHERE job % 5 < 2)")
+    none = lambda c: f"{c} NOT LIKE '%{rules.PLACEHOLDER}%' AND {c} NOT LIKE '%{rules.SEE_LINK}%'"
+    reuse = f"coalesce(o.description <> '' AND length(o.description) <= 800 AND {none('o.description')}, false)"
+    return f"""WITH found AS ({' UNION ALL '.join(found)}), prev AS ({' UNION ALL '.join(last)}),
+      first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY section, page, r) AS n FROM found) WHERE n = 1),
+      snap AS (SELECT f.* EXCLUDE (description, n, section, page, r), o.id IS NULL AS is_new, coalesce(o.date_added, {P._D}) AS date_added,
+          CASE WHEN {reuse} THEN 'reuse' WHEN length(f.description) > 300 AND {none('f.description')} THEN 'summarise' ELSE 'keep' END AS desc_action, CASE WHEN {reuse} THEN o.description ELSE f.description END AS description
+        FROM first f LEFT JOIN prev o ON f.id = o.id WHERE TRY_CAST(f.deadline AS DATE) IS NULL OR TRY_CAST(f.deadline AS DATE) >= {P._D} - 14)
+      {tail}"""
+
+
 def expected_sql(source: str) -> str:
     return f"WITH l AS ({_lst(source)}) {_expected(source)}"
 

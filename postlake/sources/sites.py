@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from postlake.functions import rules
 from postlake.functions import text as T
 from postlake.operators import reconcile as R
+from postlake.operators.metrics import Counted
 
 from . import html as H
 
@@ -20,6 +21,8 @@ _ORDER = ["section_no", "page_no", "row_no"]
 _NAMES = {s: (code, prefix, full) for s, code, prefix, full in rules.UNIVERSITIES}
 
 BASES = rules.BASES
+#: The section of pages that a browser rendered, where a source has another way too.
+RENDERED = "rendered"
 
 
 def _finish(df: DataFrame, source: str, id_ref: Column, override: Column | None = None) -> DataFrame:
@@ -188,6 +191,18 @@ def hkbu_fallback(pages: DataFrame) -> DataFrame:
     return _finish(rows, "hkbu", _ref_or_title())
 
 
+def hkbu_composed(pages: DataFrame) -> DataFrame:
+    """The JSON source and, if one of its pages failed, what the rendered pages have after it.
+
+    Pages of the section RENDERED are the fallback's; error tells which of the others
+    failed. What the JSON pages gave before stays, and postings that both have are left to
+    dedup, where the JSON source's come first.
+    """
+    rendered, failed = F.col("section") == RENDERED, F.col("error").isNotNull()
+    any_failed = pages.where(~rendered & failed).agg((F.count("*") > 0).alias("failed")).scalar()
+    return hkbu(pages.where(~rendered & ~failed)).unionByName(hkbu_fallback(pages.where(rendered & any_failed)))
+
+
 def cuhk(pages: DataFrame) -> DataFrame:
     rows = _cells(pages).withColumn("td", F.filter("cells", lambda c: c["tag"] == "td")).where(F.size("td") >= 3)
     linked = F.coalesce(F.array_position(F.transform("td", lambda c: F.coalesce(c["link_text"], F.lit("")) != ""), True), F.lit(0))
@@ -292,7 +307,7 @@ def run_source(source: str, pages: DataFrame, details: DataFrame, cache: DataFra
     archived; a posting without one keeps what it has. cache: id, description of the last
     run. Which postings read a detail page, and what they take from it, differs by source.
     """
-    out = SITES[source](pages)
+    out = (hkbu_composed if source == "hkbu" and "error" in pages.columns else SITES[source])(pages)
     retained = T.is_retained(F.col("deadline"), as_of)
     texts = lambda: details.select("url", detail_text(source).alias("description"))
     if source == "polyu":
@@ -325,6 +340,22 @@ def run_source(source: str, pages: DataFrame, details: DataFrame, cache: DataFra
 SITES = {"polyu": polyu, "eduhk": eduhk, "lingnan": lingnan, "hku": hku, "hkust": hkust, "cityu": cityu, "hkbu": hkbu, "cuhk": cuhk, "hkmu": hkmu, "hsu": hsu, "sfu": sfu, "hksyu": hksyu}
 
 
+def run_all(pages: DataFrame, details: DataFrame, cache: DataFrame, previous: DataFrame, as_of: Column, counted: dict[str, Counted] | None = None, summariser=None) -> DataFrame:
+    """The whole of a day: every source's list and detail pages, one after the other in the registry's order, to the next snapshot.
+
+    pages and details have a source each; where they are archived by source, each source's
+    files are opened once for its list. previous is the last snapshot, cache its
+    descriptions. Counts of `counted`, found before dedup and kept after, arrive as it runs.
+    """
+    parts = []
+    for i, name in enumerate(SITES):
+        out = run_source(name, pages.where(F.col("source") == name), details.where(F.col("source") == name).drop("source"), cache, as_of)
+        parts.append(out.withColumn("ingest_seq", F.struct(F.lit(i).alias("source_no"), *_ORDER)).drop(*_ORDER))
+    found, counted = R.union_sources(parts), counted or {}
+    out = R.run(counted["found"].of(found) if "found" in counted else found, previous, as_of, summariser)
+    return counted["kept"].of(out) if "kept" in counted else out
+
+
 def archive(pages: DataFrame, folder: str) -> None:
     """Adds pages to the archive in folder, which has a folder for each source."""
     pages.write.mode("append").partitionBy("source").parquet(folder)
