@@ -38,6 +38,8 @@ _NO_PREFIX = b"\x1a\x02\x18\x00"
 _MARK = "▁"
 #: Bytes of packed alignments that a task holds, and links of a group from which tokens are counted before they are paired.
 _PACKED, _MANY = 16 << 20, 1 << 16
+#: Segments whose alignments are read at a time, and what stands between their numbers.
+_READ, _BLANKS = 1 << 15, bytes.maketrans(b",|;\n", b"    ")
 
 
 def default_b() -> str:
@@ -225,41 +227,41 @@ class _Block:
         self.groups = [lines[i] for i in order.tolist()]
         self.n = len(self.groups)
         self.ok = np.fromiter(map(bool, self.groups), bool, self.n)
-        self._read(b"\n".join([g for g in self.groups if g]) + b"\n")
+        self.sums = {name: np.zeros(self.n, np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
+        links: list[tuple] = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for start in range(0, self.n, _READ):
+            links += self._read(start, self.groups[start : start + _READ])
+        #: Links: their segment, pair and how often; in no order.
+        self.segment, self.pair, self.times = (np.concatenate(x) for x in zip(*links, strict=True))
 
-    def _read(self, text: bytes) -> None:
+    def _read(self, first: int, lines: list[bytes]) -> Iterator[tuple]:
         """Numbers and what follows each: , another of its side, | B's side, ; the next group, a line end the next segment."""
-        size = self.n
-        if text == b"\n":
-            text = b""
+        aligned = np.flatnonzero(self.ok[first : first + len(lines)])
+        if not len(aligned):
+            return
+        text = b"\n".join(filter(None, lines)) + b"\n"
         signs = np.frombuffer(text, np.uint8)
         signs = signs[(signs < ord("0")) | (signs > ord("9"))]
-        ids = np.array(text.translate(bytes.maketrans(b",|;\n", b"    ")).split(), np.int64)
+        ids = np.fromstring(text.translate(_BLANKS), np.int64, sep=" ")
         ends_group = (signs == ord(";")) | (signs == ord("\n"))
         group = np.cumsum(ends_group) - ends_group
-        n_groups = int(group[-1]) + 1 if len(group) else 0
+        n_groups = int(group[-1]) + 1
         # A number is B's if its group's bar came before it.
-        bars = np.cumsum(signs == ord("|")) - (signs == ord("|"))
-        of_b = bars > group
-        segment_of_group = np.flatnonzero(self.ok)[(np.cumsum(signs == ord("\n")) - (signs == ord("\n")))[ends_group]]
+        of_b = np.cumsum(signs == ord("|")) - (signs == ord("|")) > group
+        segment = (first + aligned[(np.cumsum(signs == ord("\n")) - (signs == ord("\n")))[ends_group]]).astype(np.int32)
         n_a, n_b = np.bincount(group[~of_b], minlength=n_groups), np.bincount(group[of_b], minlength=n_groups)
-        self.sums = {name: np.bincount(segment_of_group, x, size).astype(np.int64) for name, x in (("n_a", n_a), ("n_b", n_b), ("n_groups", np.ones(n_groups)), ("n_links", n_a * n_b))}
-        start = np.cumsum(n_a + n_b) - (n_a + n_b)
-        links = n_a * n_b
+        start, links = np.cumsum(n_a + n_b) - (n_a + n_b), n_a * n_b
+        for name, x in (("n_a", n_a), ("n_b", n_b), ("n_groups", np.ones(n_groups, np.int64)), ("n_links", links)):
+            np.add.at(self.sums[name], segment, x)
         few = links <= _MANY
-        n, first, second = links[few], start[few], (start + n_a)[few]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        width = np.repeat(n_b[few], n)
-        pairs = [ids[np.repeat(first, n) + at // np.maximum(width, 1)] << 32 | ids[np.repeat(second, n) + at % np.maximum(width, 1)]]
-        segment, times = [np.repeat(segment_of_group[few], n)], [np.ones(len(at), np.int64)]
+        n, at_a, at_b = links[few], start[few], (start + n_a)[few]
+        k, width = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(n_b[few], n)
+        yield np.repeat(segment[few], n), ids[np.repeat(at_a, n) + k // width] << 32 | ids[np.repeat(at_b, n) + k % width], np.ones(len(k), np.int64)
         for g in np.flatnonzero(~few):
             x, k = np.unique(ids[start[g] : start[g] + n_a[g]], return_counts=True)
             y, m = np.unique(ids[start[g] + n_a[g] : start[g] + n_a[g] + n_b[g]], return_counts=True)
-            pairs.append((x[:, None] << 32 | y).ravel())
-            times.append((k[:, None] * m).ravel())
-            segment.append(np.full(len(pairs[-1]), segment_of_group[g]))
-        #: Links: their segment, pair and how often; in no order.
-        self.segment, self.pair, self.times = np.concatenate(segment), np.concatenate(pairs), np.concatenate(times)
+            pairs = (x[:, None] << 32 | y).ravel()
+            yield np.full(len(pairs), segment[g], np.int32), pairs, (k[:, None] * m).ravel()
 
     def texts(self, texts: pa.Table) -> Iterator[tuple[object, np.ndarray]]:
         """Each text's id and the numbers of its segments; none if one of them is not aligned."""
@@ -276,7 +278,7 @@ def _pairs_of_block(texts: pa.Table, packed: pa.Table) -> pa.Table:
     block = _Block(packed)
     known, pair = np.unique(block.pair, return_inverse=True)
     # Each pair of a segment once, in the order of segments.
-    once = np.unique(block.segment * max(1, len(known)) + pair)
+    once = np.unique(block.segment.astype(np.int64) * max(1, len(known)) + pair)
     segment, pair = np.divmod(once, max(1, len(known)))
     sizes = np.bincount(segment, minlength=block.n)
     starts, total, waiting, held = np.cumsum(sizes) - sizes, np.zeros(len(known), np.int64), [], 0
