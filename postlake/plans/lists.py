@@ -1,106 +1,117 @@
-"""Lists that are paged in every way, and what reading them must give.
+"""Lists that are paged in every way, from pages that the orders of each customer make, and what reading them must give.
 
-Every nation is a list whose length follows from its key; the fetchers make its pages
-from their address alone, so that executors need nothing but the address.
+A customer is a list and its orders are the posts, four to a page, so that lists have the
+lengths that the table gives them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.sources.web import Start, read_pages, with_fallback
+from postlake.sources import html as H
+from postlake.sources import paging as G
 
-_COLUMNS = ("section", "page_no")
+SIZE, PATIENCE = 4, 3
+_HOST = "https://lists.example"
 
 
-def _nations(spark: SparkSession, d: str) -> list[tuple[int, str]]:
-    """The lists' names: a registry of 25 rows."""
-    return [(r["n_nationkey"], r["n_name"]) for r in spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    """list, posts (a customer's orders in order), last (its number of pages)."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey")
+    lists = orders.groupBy(F.col("o_custkey").alias("list")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("posts"))
+    return lists.withColumn("last", F.ceil(F.size("posts") / SIZE).cast("int"))
 
 
-def _key(url: str) -> tuple[int, int]:
-    """List and page of an address like http://lists.example/7/2."""
-    parts = url.split("/")
-    return int(parts[3]), int(parts[4])
+def _starts(spark: SparkSession, d: str, style: str, tail: str = "/") -> DataFrame:
+    lists = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("list")).distinct()
+    return lists.select(F.lit("lists").alias("source"), F.col("list").cast("string").alias("section"), F.col("list").alias("section_no"), F.concat(F.lit(f"{_HOST}/{style}/"), F.col("list").cast("string"), F.lit(tail)).alias("url"))
 
 
-def _length(key: int) -> int:
-    return key % 4 + 1
+def _each(posts: Column, open_: str, close: str) -> Column:
+    return F.array_join(F.transform(posts, lambda k: F.concat(F.lit(open_), k.cast("string"), F.lit(close))), "")
 
 
-def static(url: str) -> str:
-    key, _ = _key(url)
-    if key % 5 == 4:
-        raise OSError("404")
-    return f"<html><head><title>t</title></head><body><script>var x = '</p>';</script><p>Jobs of list {key}</p><p>Two  posts</p></body></html>"
+def _pages(spark: SparkSession, d: str, style: str) -> DataFrame:
+    """The archive of a style: url, html. Pages go on beyond the last for lists that grow."""
+    beyond = {"more": 1, "scroll": PATIENCE}.get(style, 0)
+    rows = _lists(spark, d).withColumn("page", F.explode(F.sequence(F.lit(1), F.col("last") + beyond)))
+    page, last = F.col("page"), F.col("last")
+    own, so_far = F.slice("posts", (page - 1) * SIZE + 1, SIZE), F.slice("posts", 1, page * SIZE)
+    number = (page - 1) * SIZE if style == "offset" else page
+    html = {
+        "next": lambda: F.concat(_each(own, "<p>Ad ", "</p>"), F.when(page < last, F.concat(F.lit("<a title='Next' href='"), (page + 1).cast("string"), F.lit("'>go</a>"))).otherwise("")),
+        "disabled": lambda: F.concat(_each(own, "<p>Post ", "</p>"), F.when(page < last, "<a class='page' href='#'>Next</a>").otherwise("<a class='page disabled' href='#'>Next</a>")),
+        "numbered": lambda: F.concat(_each(own, "<p>Post ", "</p>"), F.array_join(F.transform(F.sequence(F.lit(1), last), lambda n: F.concat(F.lit("<button>"), n.cast("string"), F.lit("</button>"))), ""), F.lit("<button>Search</button>")),
+        "more": lambda: F.concat(F.lit("<table>"), _each(so_far, "<tr><td>", "</td></tr>"), F.lit("</table><!-- "), page.cast("string"), F.lit(" -->")),
+        "scroll": lambda: _each(so_far, "<p>Post ", "</p>"),
+        "offset": lambda: F.concat(F.lit('{"items": ['), F.array_join(F.transform(own, lambda k: F.concat(F.lit('{"Id": '), k.cast("string"), F.lit("}"))), ", "), F.lit('], "hasMore": '), (page < last).cast("string"), F.lit("}")),
+    }[style]()
+    return rows.select(F.concat(F.lit(f"{_HOST}/{style}/"), F.col("list").cast("string"), F.lit("/"), number.cast("string")).alias("url"), html.alias("html"))
 
 
-def next_by_address(url: str) -> str:
-    key, page = _key(url)
-    more = f"<a title='Next' href='{page + 1}'>go</a>" if page < _length(key) else ""
-    return f"<p>Ad of page {page}</p>{more}"
+def _cover(spark: SparkSession, d: str) -> DataFrame:
+    """One page of each list, but that of every fifth was never fetched."""
+    text = lambda c: F.col(c).cast("string")
+    html = F.concat(F.lit("<html><head><title>t</title></head><body><script>var x = '</p>';</script><p>Jobs of list "), text("list"), F.lit("</p><p>"), F.size("posts").cast("string"), F.lit("  posts</p></body></html>"))
+    return _lists(spark, d).where("list % 5 <> 4").select(F.concat(F.lit(f"{_HOST}/cover/"), text("list")).alias("url"), html.alias("html"))
 
 
-def next_disabled(url: str) -> str:
-    key, page = _key(url)
-    return f"<p>Page {page}</p><a class='{'page' if page < _length(key) else 'page disabled'}' href='#'>Next</a>"
+def _listed(pages: DataFrame, *more) -> DataFrame:
+    return pages.select(F.col("section_no").alias("list"), "page_no", *more)
 
 
-def numbered(url: str) -> str:
-    key, _ = _key(url)
-    return "".join(f"<button>{n}</button>" for n in range(1, _length(key) + 1)) + "<button>Search</button>"
+def _by(read, style: str, **how):
+    return lambda s, d: _listed(read(_starts(s, d, style), _pages(s, d, style), **how))
 
 
-def more_rows(url: str) -> str:
-    key, page = _key(url)
-    return "<table>" + "<tr><td>post</td></tr>" * (10 * min(page, _length(key))) + f"</table><!-- {page} -->"
+def _static(spark: SparkSession, d: str) -> DataFrame:
+    return G.with_text(G.fetched(_starts(spark, d, "cover", ""), _cover(spark, d)))
 
 
-def scrolled(url: str) -> str:
-    key, page = _key(url)
-    return "<p>post</p>" * (10 * min(page, _length(key)))
+def _addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's address is known before."""
+    starts = _starts(spark, d, "numbered").drop("url").join(_lists(spark, d), F.col("section_no") == F.col("list"))
+    at = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("last")))).select("source", "section", "section_no", "n", F.concat(F.lit(f"{_HOST}/numbered/"), "section", F.lit("/"), F.col("n").cast("string")).alias("url"))
+    return G.fetched(at, _pages(spark, d, "numbered")).where("error is null").select(F.col("section_no").alias("list"), F.regexp_extract("url", r"(\d+)$", 1).cast("bigint").alias("page"))
 
 
-def offsets(url: str) -> str:
-    import json
+def _offsets(spark: SparkSession, d: str, archive: DataFrame | None = None) -> DataFrame:
+    return G.by_offset(_starts(spark, d, "offset"), _pages(spark, d, "offset") if archive is None else archive, size=SIZE)
 
-    key, offset = _key(url)
-    total = 3 * key
-    return json.dumps({"items": [{"Id": i} for i in range(offset, min(total, offset + 25))], "hasMore": total > offset + 25})
 
-
-def _read(spark: SparkSession, d: str, fetch, tail: str, **how) -> DataFrame:
-    starts = [Start("lists", name, f"http://lists.example/{key}/{tail}", key, **how) for key, name in _nations(spark, d)]
-    return read_pages(spark, starts, fetch, pause=0)
-
-
-def _urls(spark: SparkSession, d: str) -> DataFrame:
-    starts = [Start("lists", name, f"http://lists.example/{key}/{n}", n) for key, name in _nations(spark, d) for n in range(_length(key))]
-    return read_pages(spark, starts, next_by_address, pause=0).select("section", F.col("section_no").alias("page_no"))
+def _fallback(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lists of which every fifth stops after its first page, and rendered ones in their place."""
+    pages = _pages(spark, d, "offset")
+    gone = (F.split("url", "/")[4].cast("long") % 5 == 4) & ~F.col("url").endswith("/0")
+    primary = _offsets(spark, d, pages.where(~gone))
+    return G.with_fallback(primary, G.by_growth(_starts(spark, d, "scroll"), _pages(spark, d, "scroll"), patience=PATIENCE))
 
 
-def _fallback(spark: SparkSession, d: str) -> DataFrame:
-    primary = _read(spark, d, static, "1")
-    return with_fallback(primary, lambda: _read(spark, d, numbered, "1").where("section_no % 5 = 4"))
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    """What the pages' own buttons say: their number and the largest page that one leads to."""
+    read = H.with_parsed(_pages(spark, d, "numbered"), "html", "buttons", "texts", H.page_numbers)
+    numbers = F.filter(F.transform("buttons", lambda b: b.try_cast("bigint")), lambda n: n > 0)
+    return read.select("url", F.size("buttons").cast("bigint").alias("buttons"), F.coalesce(F.array_max(numbers), F.lit(1)).alias("largest"))
 
 
-_PAGES = "SELECT n_name AS section, CAST(unnest(range(n_nationkey % 4 + 1)) AS BIGINT) AS page_no FROM nation"
-_LAST = "SELECT n_name AS section, CAST(n_nationkey % 4 AS BIGINT) AS page_no FROM nation"
-_OFFSETS = "SELECT n_name AS section, n_nationkey AS key, unnest(range(greatest(1, (3 * n_nationkey + 24) // 25))) AS page_no FROM nation"
+_L = f"(SELECT o_custkey AS list, count(*) AS posts, CAST(ceil(count(*) / {SIZE}.0) AS BIGINT) AS last FROM orders GROUP BY o_custkey)"
+_ALL = f"SELECT list, unnest(range(last)) AS page_no FROM {_L}"
+_LAST = f"SELECT list, last - 1 AS page_no FROM {_L}"
 
 #: name: (query, SQL).
 QUERIES = {
-    "s1_static_scan": (lambda s, d: _read(s, d, static, "1").select("section", "page_no", "body_text", F.col("error").isNotNull().alias("failed")), "SELECT n_name AS section, CAST(CASE WHEN n_nationkey % 5 = 4 THEN -1 ELSE 0 END AS BIGINT) AS page_no, CASE WHEN n_nationkey % 5 <> 4 THEN 'Jobs of list ' || n_nationkey || chr(10) || 'Two posts' END AS body_text, n_nationkey % 5 = 4 AS failed FROM nation"),
-    "s2_rendered_scan": (lambda s, d: _read(s, d, scrolled, "2").select("section", "page_no", F.length("body_text").cast("bigint").alias("n")), "SELECT n_name AS section, CAST(0 AS BIGINT) AS page_no, CAST(10 * least(2, n_nationkey % 4 + 1) * 5 - 1 AS BIGINT) AS n FROM nation"),
-    "s3_json_scan": (lambda s, d: _read(s, d, offsets, "{offset}", paging="offset").select("section", F.explode(F.from_json("body_text", "items array<struct<Id:bigint>>")["items"]).alias("i")).select("section", "i.Id"), "SELECT n_name AS section, CAST(unnest(range(3 * n_nationkey)) AS BIGINT) AS Id FROM nation"),
-    "s7a_url_list": (_urls, _PAGES),
-    "s7b_next_link": (lambda s, d: _read(s, d, next_by_address, "1", paging="next", most=20, anchor="Ad").select(*_COLUMNS), _PAGES),
-    "s7c_next_disabled": (lambda s, d: _read(s, d, next_disabled, "{page}", paging="next").select(*_COLUMNS), _PAGES),
-    "s7d_numbered": (lambda s, d: _read(s, d, numbered, "{page}", paging="numbered").select(*_COLUMNS), _PAGES),
-    "s7e_load_more": (lambda s, d: _read(s, d, more_rows, "{page}", paging="grow", most=500, rows="<tr").select(*_COLUMNS), _LAST),
-    "s7f_offsets": (lambda s, d: _read(s, d, offsets, "{offset}", paging="offset").select(*_COLUMNS), f"SELECT section, CAST(page_no AS BIGINT) AS page_no FROM ({_OFFSETS})"),
-    "s7g_scroll": (lambda s, d: _read(s, d, scrolled, "{page}", paging="grow", most=60, patience=3).select(*_COLUMNS), _LAST),
-    "s8_fallback": (lambda s, d: _fallback(s, d).select("section", "page_no", F.col("error").isNotNull().alias("failed")), "SELECT n_name AS section, CAST(0 AS BIGINT) AS page_no, false AS failed FROM nation UNION ALL SELECT n_name, -1, true FROM nation WHERE n_nationkey % 5 = 4"),
-    "o2_union_pages": (lambda s, d: _read(s, d, next_by_address, "1", paging="next").groupBy("section").agg(F.count("*").alias("n"), F.max("page_no").alias("last")), "SELECT n_name AS section, CAST(n_nationkey % 4 + 1 AS BIGINT) AS n, CAST(n_nationkey % 4 AS BIGINT) AS last FROM nation"),
+    "s1_static_scan": (lambda s, d: _listed(_static(s, d), "body_text", F.col("error").isNotNull().alias("failed")), f"SELECT list, CAST(CASE WHEN list % 5 = 4 THEN -1 ELSE 0 END AS BIGINT) AS page_no, CASE WHEN list % 5 <> 4 THEN 'Jobs of list ' || list || chr(10) || posts || ' posts' END AS body_text, list % 5 = 4 AS failed FROM {_L}"),
+    "s2_rendered_scan": (lambda s, d: _listed(G.by_growth(_starts(s, d, "scroll"), _pages(s, d, "scroll"), patience=PATIENCE), "body_text"), f"SELECT list, last - 1 AS page_no, body_text FROM {_L} JOIN (SELECT o_custkey, string_agg('Post ' || o_orderkey, chr(10) ORDER BY o_orderkey) AS body_text FROM orders GROUP BY o_custkey) ON list = o_custkey"),
+    "s3_json_scan": (lambda s, d: _offsets(s, d).select(F.col("section_no").alias("list"), F.explode(F.from_json("body_text", "items array<struct<Id:bigint>>")["items"]).alias("i")).select("list", "i.Id"), "SELECT o_custkey AS list, o_orderkey AS Id FROM orders"),
+    "s7a_url_list": (_addresses, f"SELECT list, unnest(range(1, last + 1)) AS page FROM {_L}"),
+    "s7b_next_link": (lambda s, d: _listed(G.by_links(_starts(s, d, "next", "/1"), _pages(s, d, "next"), anchor="Ad")), _ALL),
+    "s7c_next_disabled": (_by(G.by_next, "disabled"), _ALL),
+    "s7d_numbered": (_by(G.by_numbers, "numbered"), _ALL),
+    "s7e_load_more": (_by(G.by_growth, "more", rows="<tr"), _LAST),
+    "s7f_offsets": (lambda s, d: _listed(_offsets(s, d)), _ALL),
+    "s7g_scroll": (_by(G.by_growth, "scroll", patience=PATIENCE, most=60), _LAST),
+    "s8_fallback": (lambda s, d: _listed(_fallback(s, d), F.col("error").isNotNull().alias("failed")), f"SELECT list, CAST(unnest(range(CASE WHEN list % 5 = 4 THEN 1 ELSE last END)) AS BIGINT) AS page_no, false AS failed FROM {_L} UNION ALL SELECT list, -1, true FROM {_L} WHERE list % 5 = 4 AND last > 1 UNION ALL SELECT list, last - 1, false FROM {_L} WHERE list % 5 = 4 AND last > 1"),
+    "g3_in_page": (_labels, f"SELECT '{_HOST}/numbered/' || list || '/' || unnest(range(1, last + 1)) AS url, last + 1 AS buttons, last AS largest FROM {_L}"),
+    "o2_union_pages": (lambda s, d: G.by_numbers(_starts(s, d, "numbered"), _pages(s, d, "numbered")).groupBy(F.col("section_no").alias("list")).agg(F.count("*").alias("n"), F.max("page_no").alias("last")), f"SELECT list, last AS n, last - 1 AS last FROM {_L}"),
 }

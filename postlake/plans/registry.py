@@ -262,7 +262,6 @@ _counted = lambda df: df.groupBy("university").agg(F.count("*").alias("n"))  # n
 _add("g2_extractors", " UNION ALL ".join(_COUNTS.values()))(lambda s, d: _counted(S.collect(_everything(s, d))[0]))
 _add("s5_source_selection", f"SELECT id, title FROM ({A.listed_sql('hku')})")(lambda s, d: S.collect(_everything(s, d, "hku", "hsu"), "HKU")[0].select("id", "title"))
 _add("s6_isolation", f"{_COUNTS['hsu']} UNION ALL {_COUNTS['hkmu']}")(lambda s, d: _counted(S.collect(_everything(s, d, "hsu", "sfu", "hkmu"), sites={"hsu": S.hsu, "sfu": _broken, "hkmu": S.hkmu}, settle=kept)[0]))
-_add("g3_in_page", f"SELECT * FROM ({_SQL['x14_nearest_link']})")(_Q["x14_nearest_link"])
 for _name, (_query, _sql) in (LISTS | states.QUERIES).items():
     _add(_name, _sql)(_query)
 
