@@ -32,15 +32,15 @@ ROUNDS = (64, 8, 1)
 _EXACT = 2.0**52
 
 
-def usable(vec: str) -> Column:
-    """True for vectors without null or non-finite components."""
-    return F.coalesce(F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+def usable(vec: str, unit: int = UNIT) -> Column:
+    """True for vectors without null or non-finite components; one whose product with unit is no finite double is none either."""
+    return F.coalesce(F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * F.lit(float(unit))) < F.lit(float("inf")))), F.lit(False))
 
 
-def vectors_of(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+def vectors_of(rows: DataFrame, id_col: str, vec_col: str, unit: int = UNIT) -> DataFrame:
     """id, v: the rows that take part, components as doubles."""
     out = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return out.where(F.col("id").isNotNull() & usable("v"))
+    return out.where(F.col("id").isNotNull() & usable("v", unit))
 
 
 class BallTree:
@@ -196,6 +196,9 @@ def _searched(trees: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]
         for i, x in best.items():
             for pair in set(before.get(i, ())):
                 out += [(i, pair[1], -pair[0])] * max(0, x.count(pair) - before[i].count(pair))
+        for i, v, score in out:
+            if not -(2**63) <= score < 2**63:
+                raise ValueError(f"the score of {i} and {v} does not fit a long: {score}")
         cols = list(zip(*out)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
@@ -206,17 +209,19 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     """query_id, rank, vec_id, score: the k best inner products of each query with all other vectors.
 
     Queries are the rows whose id divides by `every`. Rows without an id, or with a null
-    or non-finite component, take no part; vectors compare with those of their length. A
+    or non-finite component, take no part, nor do those with one whose product with unit
+    is no finite double; vectors compare with those of their length. A
     query's own are the rows of its id, and a repeated query counts once (its least
     vector). Other repeated rows are results each for itself. Fewer than k candidates give
-    fewer rows, an empty table none. Other columns are not read. Scores must fit a long.
+    fewer rows, an empty table none. Other columns are not read. Scores
+    are exact whole numbers, however large; a result whose score does not fit a long is an error.
 
     Vectors are read once into trees and the trees once for each block of BLOCK queries
     and round; the results of a block, k for each of its queries, are all that the driver
     holds of it.
     """
     bounded(vectors.sparkSession)
-    rows = vectors_of(vectors, id_col, vec_col)
+    rows = vectors_of(vectors, id_col, vec_col, unit)
     asked = cut(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")))
     trees = cut(forest(rows, unit))
     shards, blocks = trees.count(), max(1, -(-asked.count() // BLOCK))

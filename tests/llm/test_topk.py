@@ -68,3 +68,19 @@ def test_every_shard_shares_the_score(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
     assert K.forest(K.vectors_of(df, "vec_id", "embedding")).count() >= 150
     assert Counter(tuple(r) for r in K.top_k(df).collect()) == brute(rows)
+
+
+def test_very_large_components(spark):
+    big = [(0, [3e14, 1.0]), (1, [2e11, 1.0]), (2, [-1.0, 2e11]), (3, [1e306, 0.0]), (4, [1e300, 0.0])]
+    rows = lambda *ids: spark.createDataFrame([x for x in big if x[0] in ids], "vec_id long, embedding array<double>")
+    # Whole numbers beyond doubles' exactness, with a query whose scores fit a long: exact.
+    q = spark.createDataFrame([(0, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in K.top_k(q.unionByName(rows(1, 2, 3))).orderBy("rank").collect()]
+    scaled = lambda v: [int(x * 1024) for x in v]
+    want = {i: sum(a * b for a, b in zip(scaled([3.0, 1.0]), scaled(v))) for i, v in big if i in (1, 2)}
+    # 1e306 times 1024 is no finite double, so that vector takes no part.
+    assert got == [(1, want[1]), (2, want[2])]
+    with pytest.raises(Exception, match="does not fit a long"):
+        K.top_k(rows(0, 1)).collect()
+    with pytest.raises(Exception, match="does not fit a long"):
+        K.top_k(q.unionByName(rows(4))).collect()
