@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, sent, word_count
 
-#: Times that a document may be read for each time that the least read source is.
+#: Times that a document may be read for each time that the least read source is, at most. By
+#: default the square root of the largest source's tokens over the least one's, if that is less:
+#: half way between proportional and even.
 REPETITION = 2.0
 #: Halvings of the exponent's range, and exponents that one pass over the sources tries.
 STEPS, TRIED = 48, 63
@@ -32,7 +34,7 @@ def token_count(text_col: str) -> Column:
     return word_count(F.col(text_col))
 
 
-def exponent(totals: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float = REPETITION) -> tuple[float, float, float]:
+def exponent(totals: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float | None = None) -> tuple[float, float, float]:
     """The exponent a, the sum of all shares to the power a, and all tokens.
 
     Bisection. What a halving must know of the sources are sums and extremes over them,
@@ -44,6 +46,8 @@ def exponent(totals: DataFrame, budget: int | None = None, entropy: float | None
     if ends["n"] is None:
         return 0.0, 1.0, 0.0
     total = float(ends["n"])
+    if repetition is None:
+        repetition = REPETITION if budget is not None else min(REPETITION, math.sqrt(ends["most"] / ends["least"]))
     share = F.col("tokens") / F.lit(total)
 
     def measured(exponents: list[float]) -> list[bool]:
@@ -71,14 +75,14 @@ def exponent(totals: DataFrame, budget: int | None = None, entropy: float | None
     return hi, z, total
 
 
-def plan(totals: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float = REPETITION) -> DataFrame:
+def plan(totals: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float | None = None) -> DataFrame:
     """source, tokens, alpha, weight, epochs, full (whole epochs), rest (tokens of the last one).
 
     totals: source, tokens; a row for each source. With no budget each source is read
     once at least. With entropy (in nats) given, the exponent meets it as nearly as 0 to 1
     allows; else it is the least at which no source is read more than `repetition` times,
-    or, with no budget, than `repetition` times as often as another. A source without
-    tokens has weight 0 and one epoch.
+    or, with no budget, than `repetition` times as often as another; see REPETITION for its
+    default. A source without tokens has weight 0 and one epoch.
     """
     alpha, z, total = exponent(totals, budget, entropy, repetition)
     share = F.col("tokens") / F.lit(max(total, 1.0))
@@ -128,7 +132,7 @@ def _ends(base: DataFrame, planned: DataFrame) -> DataFrame:
     return join.join(three.select(F.col("s").alias("s3"), F.col("e_h").alias("eh")), F.col("s").eqNullSafe(F.col("s3")), "left").select(F.col("s").alias("source"), "e1", "e2", "eh")
 
 
-def _planned(base: DataFrame, budget: int | None, entropy: float | None, repetition: float) -> DataFrame:
+def _planned(base: DataFrame, budget: int | None, entropy: float | None, repetition: float | None) -> DataFrame:
     """For each source its weight, whole epochs and where its last epoch ends, under names that start with _M."""
     totals = cut(base.groupBy("source").agg(F.sum("tokens").alias("tokens")))
     planned = cut(plan(totals, budget, entropy, repetition))
@@ -154,7 +158,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(text_col).alias("tokens")))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, entropy: float | None = None, repetition: float = REPETITION) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, entropy: float | None = None, repetition: float | None = None) -> DataFrame:
     """docs, each row as often as its source's weight asks, with epoch, block, sub_block, place and weight under names that start with _M.
 
     With no budget every document is there, in epoch 0 at least. A whole epoch has every
@@ -176,7 +180,7 @@ def mixture(docs: DataFrame) -> DataFrame:
     Texts are read once, for their counts.
     """
     base = _base(docs, "doc_id", "text", "source")
-    rows = _realised(base, _planned(base, None, None, REPETITION), "id", "source")
+    rows = _realised(base, _planned(base, None, None, None), "id", "source")
     return rows.select(F.col("id").alias("doc_id"), "source", *(F.col(_M + c).alias(c) for c in ("epoch", "block", "sub_block", "place")), F.col("tokens").alias("n_tokens"), F.round(f"{_M}weight", 9).alias("weight"))
 
 
@@ -190,7 +194,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def oracle() -> str:
     """The query's SQL: the exponent in closed form, and running sums over whole permutations."""
     place = lambda epoch: f"CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || {epoch}), 1, 15) AS BIGINT)"
-    least = f"CASE WHEN hi <= {REPETITION} * lo THEN 0.0 ELSE 1 - ln({REPETITION}) / ln(hi / lo) END"
+    least = f"CASE WHEN hi <= lo THEN 0.0 ELSE 1 - ln(least({REPETITION}, sqrt(hi / lo))) / ln(hi / lo) END"
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n FROM documents),
     t AS (SELECT source, sum(n)::DOUBLE AS n FROM d GROUP BY source),

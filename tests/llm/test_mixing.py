@@ -33,6 +33,15 @@ def test_repetition_limit(spark):
     assert math.isclose(got["a"].epochs, 1) and math.isclose(got["c"].epochs, 2, rel_tol=1e-6) and got["empty"].epochs == 1
 
 
+def test_the_default_chooses_a_temperature(spark):
+    # Sources that are less than four times apart: half way between proportional and even.
+    got = planned(spark, {"a": 1500, "b": 1000, "c": 1200})
+    assert math.isclose(got["a"].alpha, 0.5, abs_tol=1e-9) and math.isclose(got["b"].epochs, math.sqrt(1.5), rel_tol=1e-6)
+    # Further apart: twice as often as the least read source.
+    assert math.isclose(planned(spark, TOTALS)["c"].epochs, 2, rel_tol=1e-6)
+    assert planned(spark, {"a": 7, "b": 7})["a"].alpha == 0
+
+
 def test_entropy_and_budget(spark):
     got = planned(spark, TOTALS, entropy=1.0)
     w = [r.weight for r in got.values() if r.weight]
@@ -75,5 +84,5 @@ def test_permutations_differ_and_empty(spark):
     place = defaultdict(dict)
     for r in rows:
         place[r.epoch][r.doc_id] = r.block
-    assert len(place) == 2 and any(place[0][d] != b for d, b in place[1].items())
+    assert len(place) == 2 and place[1] and any(place[0][d] != b for d, b in place[1].items())
     assert M.mixture(frame(spark).limit(0)).count() == 0
