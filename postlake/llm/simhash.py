@@ -241,7 +241,8 @@ def components_of_documents(docs: DataFrame) -> DataFrame:
 
 #: Words to a shingle and the Jaccard similarity from which documents are near-duplicates.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Parts probed of each document (threshold 0; the others have -1).
+#: Parts probed of each document (threshold 0; the others have -1). At the similarity above, two
+#: sets share none of them with a probability of some 1e-7; None probes the exact way instead.
 PROBED = 32
 #: Longs of a set's parity sketch.
 SKETCH = 8
@@ -263,16 +264,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def part_keys(distinct: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+def part_keys(distinct: np.ndarray, similarity: float = SIMILARITY, probed: int | None = PROBED) -> np.ndarray:
     """A key (signed) for each probed part that has shingles: of the number of parts, the part's place and its fingerprint.
 
-    Parts double with length. A text also counts as one of the longest length that is
+    With no number of probed parts, each shingle is a part and the parts go by their hashes:
+    of two similar sets one shingle at least is among the first of both, as many as may
+    differ and one more. That loses no pair, at a key for every fifth shingle.
+
+    Else parts double with length. A text also counts as one of the longest length that is
     still similar, so that similar texts on both sides of a step share a count of parts.
     """
     n, out = len(distinct), [np.zeros(0, np.uint64)]
+    if probed is None:
+        least = math.ceil(similarity * n - 1e-9)
+        return np.sort(distinct)[: n - least + 1].astype("<u8").view("<i8")
     for m in sorted({_parts(n), _parts(n / similarity)}):
         place = distinct & np.uint64(m - 1)
-        own = np.flatnonzero(place < PROBED)
+        own = np.flatnonzero(place < probed)
         own = own[np.argsort(place[own], kind="stable")]
         if not len(own):
             continue
@@ -301,7 +309,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _profile(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+def _profile(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, probed: int | None = PROBED) -> DataFrame:
     """id, th, node (digest of the shingle set), sketch, n, keys of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     longs = pa.list_(pa.int64())
@@ -312,7 +320,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
             rows = []
             for t in b.column(2):
                 d = np.unique(shingle_hashes(t.as_py(), size))
-                rows.append((_digest(d), parities(d >> np.uint64(32), 64 * SKETCH).view("<i8"), len(d), part_keys(d, similarity)))
+                rows.append((_digest(d), parities(d >> np.uint64(32), 64 * SKETCH).view("<i8"), len(d), part_keys(d, similarity, probed)))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), longs, pa.int64(), longs)))], ["id", "th", "node", "sketch", "n", "keys"])
 
@@ -443,9 +451,9 @@ def _hot_links(hot: DataFrame, members: DataFrame, found: DataFrame, similarity:
     return rows.groupBy("x", "a_kind", "step", "a", "b").applyInArrow(run, "u bigint, v bigint")
 
 
-def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, paired: int) -> DataFrame:
+def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, paired: int, probed: int | None) -> DataFrame:
     """id, th, root of every row: the group of similar documents that it is in."""
-    prof = cut(_profile(docs, id_col, text_col, size, similarity))
+    prof = cut(_profile(docs, id_col, text_col, size, similarity, probed))
     # One row stands for a shingle set: that of the least id, then of the least text hash.
     one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "sketch", "n", "keys")).alias("r")
     nodes = cut(prof.groupBy("node").agg(one).select("node", "r.*").drop("no_id"))
@@ -483,21 +491,21 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similari
     return cut(with_looked_up(prof.select("id", "th", "node"), linked, "node").select("id", "th", "root"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED, probed: int | None = PROBED) -> DataFrame:
     """id, component of every row: the least id that links of similar shingle sets reach, or null where no row of the group has one.
 
     Candidates share the fingerprint of a part; a link is verified by the Jaccard
     similarity of the whole shingle sets, as 64-bit hashes. Texts of one set, null, empty
     and blank ones too, are one node. Pairs of a probe of more than `paired` members are
-    compared in blocks; none is left out that links have not joined. Repeated rows get the
-    same class, other columns are not read, and an empty table gives no rows.
+    compared in blocks; none is left out that links have not joined. probed: parts of a text
+    that are probed; None for the exact way (part_keys). Repeated rows get the same class, other columns are not read, and an empty table gives no rows.
     """
-    rows = _classified(docs, id_col, text_col, size, similarity, paired)
+    rows = _classified(docs, id_col, text_col, size, similarity, paired, probed)
     names = cut(rows.groupBy("root").agg(F.min("id").alias("component")))
     return with_looked_up(rows, names, "root").select(F.col("id").alias(id_col), "component")
 
 
-def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED, probed: int | None = PROBED) -> DataFrame:
     """The rows of docs, as they are, one for each group of similar documents.
 
     It is the row of the least id, rows without an id coming last, then of the least hash
@@ -505,7 +513,7 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group, leave one row. Rows of one id with texts that are not similar are decided each
     for itself. Any names of columns will do; an empty table stays empty.
     """
-    rows = _classified(docs, id_col, text_col, size, similarity, paired)
+    rows = _classified(docs, id_col, text_col, size, similarity, paired, probed)
     groups = rows.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id0"), F.col("th").alias("th0"))).alias("w"))
     several = cut(groups.where("n > 1").select("root", "w.id0", "w.th0"))
     first = F.col("id").eqNullSafe(F.col("id0")) & (F.col("th") == F.col("th0"))

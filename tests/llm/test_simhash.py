@@ -116,6 +116,22 @@ def test_similar_groups(spark):
     assert {r.doc_id for r in kept.collect()} == {x for x in got if got[x] == x} and kept.columns == frame(spark).columns
 
 
+def test_exact_probes_lose_no_pair(spark):
+    r = random.Random(15)
+    docs = [d for d in documents() if d[0] is not None and d[0] != 2005]
+    for k in range(40):
+        text = " ".join(f"w{r.randrange(4000)}" for _ in range(r.choice([5, 7, 12, 25, 60, 64, 90, 150, 400])))
+        # Edits that leave some of the copies at about the similarity itself.
+        for j in range(4):
+            docs.append((4000 + 10 * k + j, edited(r, text, max(0, j * len(text.split()) // 70)), "en", "a", *docs[0][4:]))
+    sets = {d[0]: shingles(d[1]) for d in docs}
+    want = classes(sorted(sets), lambda a, b: similar(sets[a], sets[b]))
+    for paired in (64, 3):
+        assert {x.doc_id: x.component for x in S.similar_groups(frame(spark, docs), paired=paired, probed=None).collect()} == want
+    n = [1, 2, 5, 9, 10, 99, 1000]
+    assert [len(S.part_keys(S.np.arange(k, dtype="u8"), 0.8, None)) for k in n] == [1, 1, 2, 2, 3, 20, 201]
+
+
 def test_similar_large_probe(spark):
     r = random.Random(6)
     text = " ".join(f"w{r.randrange(4000)}" for _ in range(200))
