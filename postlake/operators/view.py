@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.functions.text import contains_any, deadline_date, text
+from postlake.sources.storage import kept
 
 #: Areas by words of title and department, first match wins; lists of our own.
 AREAS = (
@@ -69,10 +70,11 @@ def deadline_order(descending: bool = False) -> list[Column]:
 def ranked(df: DataFrame, by: str, groups: dict[str, Column], order: list[Column], tie: str, name: str = "n") -> DataFrame:
     """df with each row's place, from 1, among those of its `by`: by groups in the order of order, then by tie.
 
-    groups: columns under their names, which order reads. Groups are counted and their
-    counts summed, so that a task sorts the rows of one group, never all of a `by`.
+    groups: columns under their names, which order reads. The rows, which should be narrow,
+    are worked out once and kept; groups are counted and their counts summed, so that a
+    task sorts the rows of one group, never all of a `by`.
     """
-    rows = df.withColumns(groups)
+    rows = kept(df.withColumns(groups))
     keys = [by, *groups]
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))

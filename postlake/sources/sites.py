@@ -294,6 +294,22 @@ def _detailed(postings: DataFrame, found: DataFrame, due: Column) -> DataFrame:
     return out.withColumn("description", F.when(F.col("__due"), T.first_filled(F.col("__x"), F.col("description"))).otherwise(F.col("description"))).drop("__u", "__x", "__due")
 
 
+def with_detail_error(postings: DataFrame, details: DataFrame) -> DataFrame:
+    """postings with detail_error: why a posting has nothing from its detail page, null where it has a page with text.
+
+    `not archived` where there is no page, the page's own error (details may have the
+    column) where fetching failed, `empty` where it came without text. A page that is there
+    more than once counts as read if one of them was.
+    """
+    error = F.col("error") if "error" in details.columns else F.lit(None).cast("string")
+    blank = T.first_filled(F.col("html"), F.col("body_text")) == ""
+    seen = details.select(F.col("url").alias("__u"), F.when(error.isNotNull(), error).when(blank, "empty").alias("__e"))
+    one = seen.where("__u is not null").groupBy("__u").agg(F.bool_or(F.col("__e").isNull()).alias("__read"), F.max("__e").alias("__e"))
+    out = postings.join(one, F.col("apply_url") == F.col("__u"), "left")
+    why = F.when(F.col("__u").isNull(), "not archived").when(~F.col("__read"), F.col("__e"))
+    return out.withColumn("detail_error", why).drop("__u", "__e", "__read")
+
+
 def _good(postings: DataFrame, cache: DataFrame) -> DataFrame:
     """postings with __cached: the good description of an earlier run, or null."""
     good = R.unique(cache.where(R.good_cached(F.col("description"))), "id", "description")
