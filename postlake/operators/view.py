@@ -24,6 +24,8 @@ AREAS = (
     ("Arts & Design", ("design", "art", "film", "media", "communication")),
     ("Administration", ("officer", "registr", "administrat", "secretar", "clerk", "student", "library", "security")),
 )
+#: Rules of areas that a table may have: each is a part of one expression.
+MAX_RULES = 2_000
 
 
 def area(title: Column, department: Column) -> Column:
@@ -34,6 +36,26 @@ def area(title: Column, department: Column) -> Column:
     return out.otherwise("Other")
 
 
+def area_of_rules(rules: DataFrame, title: Column, department: Column, most: int = MAX_RULES) -> Column:
+    """area() by a table of rules(place, area, word): the area of the first place of which a word is in title or department.
+
+    The table is read once, up to `most` rows; more are an error, not a cut. Words are
+    compared in any case, rows with a null or empty word say nothing, and places that are
+    equal go by their area. Without a rule every posting is Other.
+    """
+    rows = rules.where("word is not null and word <> '' and area is not null").select("place", "area", F.lower("word").alias("word")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rules")
+    words: dict[tuple, list[str]] = {}
+    for r in rows:
+        words.setdefault((r["place"] is None, r["place"] or 0, r["area"]), []).append(r["word"])
+    low, out = F.lower(F.concat_ws(" ", title, department)), None
+    for key in sorted(words):
+        hit = contains_any(low, sorted(set(words[key])))
+        out = F.when(hit, key[2]) if out is None else out.when(hit, key[2])
+    return F.lit("Other") if out is None else out.otherwise("Other")
+
+
 def search(df: DataFrame, words: str) -> DataFrame:
     """Rows that have the words, in any case, in title, department, university or description."""
     hay = F.lower(F.concat_ws(" ", text("title"), text("department"), text("university_full"), text("description")))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlake.operators import index, pages
+from postlake.operators import view as V
 from postlake.sources import html as H
 from postlake.sources import sites as S
 from postlake.sources import tables
@@ -121,3 +122,16 @@ def test_table_functions(spark):
         spark.sql("SELECT w.* FROM {t}, LATERAL anchor_windows(t, t, 3, 2) w", t=text).collect()
     with pytest.raises(Exception, match="takes a string"):
         spark.sql("SELECT r.* FROM {df}, LATERAL html_rows(id) r", df=df).collect()
+
+
+def test_areas_by_a_table_of_rules(spark):
+    rules = spark.createDataFrame([(2, "Law", "law"), (1, "Music", "Opera"), (1, "Music", "sing"), (3, "None", None), (3, "None", ""), (2, "Art", "law"), (None, "Late", "tutor")], "place int, area string, word string")
+    df = spark.createDataFrame([("Lawful opera", "x"), ("Tutor", "LAW"), ("Tutor", None), ("Dean", "Registry"), (None, None)], "t string, d string")
+    got = [r[0] for r in df.select(V.area_of_rules(rules, F.col("t"), F.col("d"))).collect()]
+    assert got == ["Music", "Art", "Late", "Other", "Other"]
+    own = spark.createDataFrame([(i, a, w) for i, (a, words) in enumerate(V.AREAS) for w in words], "place int, area string, word string")
+    both = spark.createDataFrame([("Lecturer in Nursing Law", "Music"), ("Officer", "")], "t string, d string").select(V.area_of_rules(own, F.col("t"), F.col("d")), V.area(F.col("t"), F.col("d"))).collect()
+    assert all(r[0] == r[1] for r in both)
+    assert df.select(V.area_of_rules(rules.limit(0), F.col("t"), F.col("d")).alias("a")).distinct().collect()[0].a == "Other"
+    with pytest.raises(ValueError, match="over 2"):
+        V.area_of_rules(rules, F.col("t"), F.col("d"), most=2)
