@@ -78,7 +78,10 @@ def parse_date(c: Column | str) -> Column:
 
     def tried(t: Column) -> Column:
         shaped = t.rlike(r"^\d{1,4}[ /\-]\w{1,9}[ /\-]\d{1,4}$|^\w{3,9} \d{1,2}, \d{4}$")
-        return F.when(shaped, F.coalesce(F.date_format(F.coalesce(*(F.try_to_date(t, p) for p in rules.DATE_PATTERNS)), "yyyy-MM-dd"), t)).otherwise(t)
+        long, short, iso, day_first, month_first, slashed, us_long, us_short = (F.try_to_date(t, p) for p in rules.DATE_PATTERNS)
+        # How a text begins tells which patterns can fit: a parser that fails is dear.
+        read = F.when(t.rlike(r"^\d+ "), F.coalesce(long, short)).when(t.rlike(r"^\d+-"), iso).when(t.rlike(r"^\d+/\d+/"), F.coalesce(day_first, month_first)).when(t.rlike(r"^\d+/"), slashed).otherwise(F.coalesce(us_long, us_short))
+        return F.when(shaped, F.coalesce(F.date_format(read, "yyyy-MM-dd"), t)).otherwise(t)
 
     return _bound(clean(c), tried)
 
