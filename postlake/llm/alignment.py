@@ -32,7 +32,7 @@ from .common import SPACES, bounded, give_back, stored, tidy
 from .encoding import byte_symbols
 
 #: Bytes of text from which a block is full, and characters that are cut, or segments that are hashed, at a time.
-BLOCK_BYTES, _AT_ONCE = 24 << 20, 1 << 20
+BLOCK_BYTES, _AT_ONCE = 16 << 20, 1 << 20
 #: What appended to a serialised model of the second kind turns its own leading space off (fixed value).
 _NO_PREFIX = b"\x1a\x02\x18\x00"
 _MARK = "▁"
