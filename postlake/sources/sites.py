@@ -149,7 +149,6 @@ def hkust(pages: DataFrame) -> DataFrame:
         "deadline": T.parse_date(F.regexp_extract("w.after", rules.JOB_CLOSE, 1)), "apply_url": F.replace(F.lit(BASES["hkust"]), F.lit("{ref}"), F.col("ref")),
     }).where(F.length("title") >= 4).drop("w", "below", "n")
     urls = H.with_parsed(pages.select("html"), "html", "u", "urls", lambda h: H.nearest_links(h, "Job ID", "interfolio")).select(F.explode("u").alias("u")).select("u.*")
-    urls = urls.groupBy("reference").agg(F.max("href").alias("href"))
     done = _finish(rows.withColumn("description", T.placeholder(F.col("title"), F.col("dept"), optional=True)), "hkust", F.col("ref"))
     return R.override_urls(done, urls)
 
