@@ -17,8 +17,10 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS, WORD_CLASS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: Bytes of a batch that goes to a Python worker at once, but for a single row that is longer.
 BATCH_BYTES = "8m"
-#: Rows of ids up to which they are sent to every task; beyond, they are joined by shuffling.
-MAX_SENT = 500_000
+#: Rows of ids up to which they are sent to every task, through the driver; beyond, they are joined by shuffling.
+MAX_SENT = 100_000
+#: Bytes of such a row; of wider ones as many fewer are sent.
+SENT_ROW = 32
 #: Rows of a key from which it is a hot one, and no longer meets in one task.
 HOT_ROWS = 10_000
 
@@ -67,9 +69,9 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sent(df: DataFrame, most: int = MAX_SENT) -> DataFrame:
-    """df, which is read twice, marked for sending to every task if its rows, which are counted, are few."""
-    return F.broadcast(df) if df.count() <= most else df
+def sent(df: DataFrame, most: int = MAX_SENT, row_bytes: int = SENT_ROW) -> DataFrame:
+    """df, which is read twice, marked for sending to every task if its rows, which are counted, are few for their width."""
+    return F.broadcast(df) if df.count() * max(row_bytes, SENT_ROW) <= most * SENT_ROW else df
 
 
 def with_looked_up(rows: DataFrame, found: DataFrame, key: str, total: int | None = None) -> DataFrame:

@@ -361,7 +361,7 @@ def _stars(hot: DataFrame, similarity: float) -> DataFrame:
     leaders = hot.groupBy("x").agg(F.array(*least).alias("leaders"))
     apart = lambda m: sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(m["sketch"][k])) for k in range(SKETCH)), F.lit(0))
     like = lambda m: (m["node"] != F.col("node")) & (F.least("n", m["n"]) >= similarity * F.greatest("n", m["n"])) & (apart(m) * (1 + similarity) <= (1 - similarity) * (F.col("n") + m["n"]) + 1e-6)
-    pairs = hot.join(sent(cut(leaders)), "x").select("node", F.explode(F.transform(F.filter("leaders", like), lambda m: m["node"])).alias("m"))
+    pairs = hot.join(sent(cut(leaders), row_bytes=LEADERS * (64 + 8 * SKETCH)), "x").select("node", F.explode(F.transform(F.filter("leaders", like), lambda m: m["node"])).alias("m"))
     return pairs.select(F.least("node", "m").alias("u"), F.greatest("node", "m").alias("v")).distinct()
 
 
@@ -402,14 +402,16 @@ def _hot_links(hot: DataFrame, members: DataFrame, found: DataFrame, similarity:
     """u, v: links among the members (x, node, n) of large probes, which with those found before join all that any pair's similarity joins.
 
     found: node, root of the components so far. Members of a probe's largest component
-    need not meet one another; the others meet all. Members are dealt into classes of
+    need not meet one another; the others meet all. Probes of one largest component are
+    worked on together, so that members that share many probes meet once. Members are dealt into classes of
     length, of which only the same and the next can be similar, and these into blocks by
     a hash of the node. Each pair of blocks is one group, which two blocks bound.
     """
     width = math.log(1 / similarity) * (1 + 1e-9) + 1e-9
     hot = cut(hot.join(found, "node", "left").select("x", "node", "n", F.coalesce("root", "node").alias("root"), F.floor(F.log(F.col("n").cast("double")) / width).alias("kind")))
     roots = hot.groupBy("x", "root").agg(F.count("*").alias("c")).groupBy("x").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots"))
-    hot = hot.join(sent(cut(roots.where("roots > 1").select("x", F.col("m.root").alias("main")))), "x").withColumn("inner", F.col("root") == F.col("main"))
+    mains = sent(cut(roots.where("roots > 1").select("x", F.col("m.root").alias("main"))))
+    hot = cut(hot.join(mains, "x").select(F.col("main").alias("x"), "node", "n", "root", "kind", (F.col("root") == F.col("main")).alias("inner")).distinct())
     room = F.greatest(F.lit(FEWEST), F.least(F.lit(MOST), F.floor(F.lit(CELLS) / F.max("n"))))
     sizes = cut(hot.groupBy("x", "kind").agg(*(F.ceil(F.count_if(of) / room).cast("int").alias(name) for name, of in (("o", ~F.col("inner")), ("i", F.col("inner"))))))
     beside = lambda by, tail: sizes.select("x", (F.col("kind") + by).alias("kind"), *(F.col(c).alias(c + tail) for c in "oi"))
