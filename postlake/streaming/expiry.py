@@ -21,6 +21,11 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 _OUT = "id string, due long"
 
 
+def _timer(held) -> int | None:
+    """The time of the timer of what is held, a millisecond after the due time; None without a due time or if it was told."""
+    return held[2] + 1 if held is not None and held[2] >= 0 and not held[3] else None
+
+
 class _Expiry(StatefulProcessor):
     """Per id: when its row was seen, that row's number and due time (-1: none), and whether its expiry was told.
 
@@ -44,11 +49,13 @@ class _Expiry(StatefulProcessor):
                 yield Row(id=key[0], due=held[2])
             held = (seen, seq, due, False)
         if held is not None and held != before:
-            if before is None or before[2] != held[2]:
-                if before is not None and before[2] >= 0 and not before[3]:
-                    self.handle.deleteTimer(before[2] + 1)
-                if held[2] >= 0:
-                    self.handle.registerTimer(held[2] + 1)
+            # The timer of an expiry that was told is gone, so that the same due time may need another one.
+            stands, wanted = _timer(before), _timer(held)
+            if stands != wanted:
+                if stands is not None:
+                    self.handle.deleteTimer(stands)
+                if wanted is not None:
+                    self.handle.registerTimer(wanted)
             self.held.update(held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

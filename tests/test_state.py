@@ -35,6 +35,23 @@ def test_expiry_is_told_once_and_after_a_restart(spark, tmp_path):
     assert told == [("a", "2026-01-05", "2026-01-19"), ("c", "2026-01-03", "2026-01-17"), ("c", "2026-01-10", "2026-01-24"), ("d", "2026-01-20", "2026-02-03")]
 
 
+def test_a_deadline_that_was_told_and_comes_back_is_told_again(spark, tmp_path):
+    schema, day = "id string, seen date, seq int, deadline date", date.fromisoformat
+
+    def go(*rows):
+        spark.createDataFrame([(i, day(s), n, d and day(d)) for n, (i, s, d) in enumerate(rows)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        expiry.run_expiries(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+        return sorted((r.id, str(r.deadline)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert go(("a", "2026-01-01", "2026-01-03"), ("x", "2026-01-31", None)) == [("a", "2026-01-03")]
+    # Another deadline and the first one again, in one batch.
+    assert go(("a", "2026-02-01", "2026-06-01"), ("a", "2026-02-02", "2026-01-03"), ("x", "2026-02-05", None)) == [("a", "2026-01-03")] * 2
+    # The same with no deadline between, and one that has not passed yet.
+    assert go(("a", "2026-02-06", None), ("a", "2026-02-07", "2026-01-03"), ("b", "2026-02-07", "2026-01-25"), ("x", "2026-02-08", None)) == [("a", "2026-01-03")] * 3
+    assert go(("b", "2026-02-08", None), ("b", "2026-02-08", "2026-01-25"), ("x", "2026-02-20", None)) == [("a", "2026-01-03")] * 3 + [("b", "2026-01-25")]
+
+
 def ids(df):
     return {r.id: (r.is_new, r.date_added) for r in df.collect()}
 
