@@ -3,9 +3,10 @@
 The default tokenizer drops white space and lower-cases before it merges, so the ids of a
 text are those of its space- and newline-separated pieces in order. Pieces recur; each
 worker keeps the ids of a bounded number of them, and starts that memory anew when it is
-full, taking over what is met again. A word of Latin letters goes straight to the
-tokenizer's model, any other piece through the whole tokenizer. A tokenizer
-of another build encodes whole texts.
+full, taking over what is met again. Texts of Latin-1 characters, whose lower case is
+the same character by character everywhere, are lower-cased first, so that a piece is met
+in one case only. A word of Latin letters goes straight to the tokenizer's model, any
+other piece through the whole tokenizer. A tokenizer of another build encodes whole texts.
 """
 
 from __future__ import annotations
@@ -56,8 +57,11 @@ class Encoder(dict):
             and parts[0].get("pattern") == {"Regex": _SPLIT} and parts[1]["type"] == "ByteLevel"
         )
         if self.by_piece:
-            symbols = byte_symbols()
-            self.spelled = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+            # Bytes of lower-cased Latin letters are their own symbols, but for these.
+            symbols, letters = byte_symbols(), {b for c in range(0xC0, 0x100) for b in chr(c).lower().encode()}
+            self.spelled = [(chr(b), symbols[b]) for b in sorted(letters) if symbols[b] != chr(b)]
+            # Special tokens are found in texts as they are written.
+            self.named = [a["content"].lower() for a in spec.get("added_tokens") or []]
             self.merge = self.tokenizer.model.tokenize
             self.plain = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|()\-]*)").fullmatch
 
@@ -80,7 +84,21 @@ class Encoder(dict):
         if found[2]:
             return self[found[1]] + self[found[2]]
         # Letters alone need no normalising or splitting: the model merges their byte symbols.
-        return array("I", [t.id for t in self.merge(piece.lower().translate(self.spelled))]).tobytes()
+        letters = piece.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1")
+            for byte, symbol in self.spelled:
+                letters = letters.replace(byte, symbol)
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def _lowered(self, text: str) -> str:
+        """The text in lower case, or as it is where that might give other ids."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(name in low for name in self.named) else low
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit bytes; none for null."""
@@ -88,7 +106,7 @@ class Encoder(dict):
             return b""
         if not self.by_piece:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.__getitem__, self._lowered(text).replace("\n", " ").split(" ")))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -69,3 +69,15 @@ def test_counts(spark, coder, monkeypatch):
     q = {r.share: r.length for r in token_counts.length_quantiles(sums, [0.0, 0.5, 1.0]).collect()}
     assert q[0.5] == sorted(lengths)[-(-len(lengths) // 2) - 1] and q[1.0] == max(lengths) and q[0.0] == min(lengths)
     assert token_counts.token_counts(frame(spark).limit(0)).count() == 0
+
+
+def test_a_piece_is_met_in_one_case_and_ids_are_the_tokenizers():
+    coder = encoding.Encoder(encoding.default_tokenizer())
+    assert coder.encode("Word word WORD wOrd") == coder.encode("word word word word") and list(coder) == ["word"]
+    letters = "".join(map(chr, range(0xA0, 0x180)))
+    texts = [
+        *letters, letters, " ".join(letters), "STRASSE Straße ÀÍÞŸÿ ÀÍÞÿ. Ça, ÑANDÚ! µ ª º × ÷ ¡Él! x²", "İ I ı ΣΑΣ ΟΔΟΣ. ÉCOLE", "DON'T WE'LL It's IT'S",
+        "A <|STARTOFTEXT|> B <|startoftext|> C", "<|EndOfText|>", "ÉCOLE école", " A  \x85B\x1fC \tD\r\nE", "", " ", "NAÏVE " * 50,
+    ]
+    for t in texts:
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
