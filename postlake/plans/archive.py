@@ -31,9 +31,15 @@ def _text(*parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def _listing(spark: SparkSession, d: str, source: str) -> DataFrame:
-    """k, page, row, title, job, dept, raw, day, of a source's rows."""
-    raw = P.raw_postings(spark, d).where(F.col("source_no") == SOURCES.index(source))
+def by_source(spark: SparkSession, d: str, folder: str) -> DataFrame:
+    """What lists are made of, joined once and kept in folder by source, so that each source reads its own rows alone."""
+    P.raw_postings(spark, d).select("ingest_seq", "source_no", "custkey", "orderdate", "title", "deadline_raw").write.partitionBy("source_no").parquet(folder)
+    return spark.read.schema("ingest_seq long, custkey long, orderdate timestamp, title string, deadline_raw string, source_no int").parquet(folder)
+
+
+def _listing(spark: SparkSession, d: str, source: str, kept: DataFrame | None = None) -> DataFrame:
+    """k, page, row, title, job, dept, raw, day, of a source's rows; kept: of by_source."""
+    raw = (P.raw_postings(spark, d) if kept is None else kept).where(F.col("source_no") == SOURCES.index(source))
     dept = F.concat(F.lit("Department of "), F.element_at(F.array(*(F.lit(n) for n in NAMES)), (F.col("ingest_seq") % 4 + 1).cast("int")))
     return raw.select(
         F.col("ingest_seq").alias("k"), F.col("custkey").alias("page"), F.row_number().over(Window.partitionBy("custkey").orderBy("ingest_seq")).alias("row"),
@@ -83,10 +89,10 @@ def _row(source: str) -> tuple[Column, Column]:
 _HEADER = {"polyu": "<tr><th>Dept</th><th>Post</th><th>Project</th><th>Closing</th><th>Ref</th></tr>", "hkmu": "<tr><th>Post</th></tr>", "hksyu": "<tr><th>Department / Unit</th><th>Position</th><th>Type</th><th>Closing</th></tr>"}
 
 
-def pages(spark: SparkSession, d: str, source: str) -> DataFrame:
+def pages(spark: SparkSession, d: str, source: str, kept: DataFrame | None = None) -> DataFrame:
     """The source's archived list: source, section, section_no, page_no, url, html, body_text. A page holds a customer's orders."""
     html, body = _row(source)
-    rows = _listing(spark, d, source).select("page", F.struct("row", html.alias("html"), body.alias("body")).alias("r"))
+    rows = _listing(spark, d, source, kept).select("page", F.struct("row", html.alias("html"), body.alias("body")).alias("r"))
     one = rows.groupBy("page").agg(F.sort_array(F.collect_list("r")).alias("r"))
     joined = lambda part, by: F.array_join(F.transform("r", lambda x: x[part]), by)
     table = source in ("polyu", "hku", "cityu", "cuhk", "hkmu", "hksyu")
@@ -101,10 +107,10 @@ def _detail_url(source: str) -> Column:
     return _text(start.get(source, "none"), job, "BV&x=1" if source == "hkmu" else "")
 
 
-def details(spark: SparkSession, d: str, source: str) -> DataFrame:
+def details(spark: SparkSession, d: str, source: str, kept: DataFrame | None = None) -> DataFrame:
     """url, html, body_text of the jobs' detail pages; every seventh job's is there twice."""
     job = F.col("job")
-    rows = _listing(spark, d, source).select("job").distinct().where(job % 4 != 3)
+    rows = _listing(spark, d, source, kept).select("job").distinct().where(job % 4 != 3)
     rows = rows.withColumn("again", F.explode(F.when(job % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     first = _text("Duties of post ", job, ": ", DUTIES)
     closing = {"cuhk": _text("Closing Date: March 5, 199", job % 10), "hsu": _text("Please apply on or before 5 March 202", job % 10)}.get(source, _text("Closing Date: 5 March 199", job % 10))
@@ -117,22 +123,22 @@ def details(spark: SparkSession, d: str, source: str) -> DataFrame:
     return rows.select(_detail_url(source).alias("url"), block.alias("html"), body.alias("body_text"))
 
 
-def cache(spark: SparkSession, d: str, source: str) -> DataFrame:
+def cache(spark: SparkSession, d: str, source: str, kept: DataFrame | None = None) -> DataFrame:
     """id, description, date_added of an earlier run: a good description of every fifth job, a placeholder of every fifth."""
     job = F.col("job")
     prefix = {s: p for s, _, p, _ in rules.UNIVERSITIES}[source]
-    rows = _listing(spark, d, source).select("job").distinct().where(job % 5 < 2)
+    rows = _listing(spark, d, source, kept).select("job").distinct().where(job % 5 < 2)
     return rows.select(_text(f"{prefix}-", "26" if source == "hkmu" else "", job, "BV" if source == "hkmu" else "").alias("id"), F.when(job % 5 == 0, CACHED).otherwise(f"Post. {rules.PLACEHOLDER} for full details.").alias("description"), F.date_sub(P.as_of(), (job % 30).cast("int")).alias("date_added"))
 
 
-def failing_pages(spark: SparkSession, d: str) -> DataFrame:
+def failing_pages(spark: SparkSession, d: str, kept: DataFrame | None = None) -> DataFrame:
     """hkbu's pages as fetched on a bad day, with error: every seventh JSON page failed, and all lists were rendered too."""
-    api, failed = pages(spark, d, "hkbu"), F.col("page_no") % 7 == 0
+    api, failed = pages(spark, d, "hkbu", kept), F.col("page_no") % 7 == 0
     gone = lambda c: F.when(~failed, F.col(c)).alias(c)
     listed = api.select("source", "section", "section_no", "page_no", "url", gone("html"), gone("body_text"), F.when(failed, "HTTPError: 503").alias("error"))
     k, title, job, dept = (F.col(c) for c in ("k", "title", "job", "dept"))
     link = _text(f"<a href='{rules.BASES['hkbu']}/", job, "'>", title, F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(", "), dept)), "</a>")
-    rows = _listing(spark, d, "hkbu").select("page", F.struct("row", link.alias("html")).alias("r"))
+    rows = _listing(spark, d, "hkbu", kept).select("page", F.struct("row", link.alias("html")).alias("r"))
     one = rows.groupBy("page").agg(F.sort_array(F.collect_list("r")).alias("r"))
     html = F.concat(F.lit("<div>"), F.array_join(F.transform("r", lambda x: x["html"]), ""), F.lit("</div>"))
     return listed.unionByName(one.select(F.lit("hkbu").alias("source"), F.lit(sites.RENDERED).alias("section"), F.lit(1).cast("long").alias("section_no"), F.col("page").cast("long").alias("page_no"), _text("https://list.example/hkbu/rendered/", F.col("page")).alias("url"), html.alias("html"), F.lit("").alias("body_text"), F.lit(None).cast("string").alias("error")))
@@ -146,11 +152,15 @@ def run_failing(spark: SparkSession, d: str) -> DataFrame:
 
 def all_archived(spark: SparkSession, d: str, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every source's list and detail pages, archived by source in folder, and the last snapshot."""
+    kept = by_source(spark, d, f"{folder}/raw")
     for source in SOURCES:
-        listed = failing_pages(spark, d) if source == "hkbu" else pages(spark, d, source).withColumn("error", F.lit(None).cast("string"))
+        listed = failing_pages(spark, d, kept) if source == "hkbu" else pages(spark, d, source, kept).withColumn("error", F.lit(None).cast("string"))
         sites.archive(listed, f"{folder}/pages")
-        sites.archive(details(spark, d, source).withColumn("source", F.lit(source)), f"{folder}/details")
-    previous = R.union_sources([cache(spark, d, source) for source in SOURCES])
+        sites.archive(details(spark, d, source, kept).withColumn("source", F.lit(source)), f"{folder}/details")
+    # Every source of a run joins it, so that it is kept too.
+    previous = R.union_sources([cache(spark, d, source, kept) for source in SOURCES])
+    previous.write.parquet(f"{folder}/previous")
+    previous = spark.read.schema(previous.schema).parquet(f"{folder}/previous")
     return sites.archived(spark, f"{folder}/pages"), sites.archived(spark, f"{folder}/details"), previous
 
 
