@@ -12,10 +12,13 @@ meet at the fingerprints between them instead: two are within t bits exactly if
 value is within t / 2 bits of both, so that linking each to the least of those that
 reach a value gives the same components, with a fixed number of rows for each member.
 
-For texts that share a given part of their shingles a single fingerprint of 64 bits
-would need a threshold at which every part meets every other. There the bits are grouped
-by what drives them: shingles are dealt into parts by their hash, and each part has a
-fingerprint of its own, so that an edit changes few parts and leaves the others equal.
+Texts that share a given part of their shingles are linked in two steps. Those whose
+fingerprints link as above are compared first. The others may differ in so many of 64 bits
+that every part would meet every other, so that for what is not joined by then shingles are
+dealt into parts by their hash, and each part has a fingerprint of its own: an edit changes
+few parts and leaves the others equal. Which parts these are must not hang on the data:
+unless as many are probed as shingles may differ, a choice of those where few texts meet
+is one of those where the similar ones do not.
 """
 
 from __future__ import annotations
@@ -310,7 +313,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _profile(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, probed: int | None = PROBED) -> DataFrame:
-    """id, th, node (digest of the shingle set), sketch, n, keys of every row."""
+    """id, th, node (digest of the shingle set), fp (signed), sketch, n, keys of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     longs = pa.list_(pa.int64())
 
@@ -320,17 +323,37 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
             rows = []
             for t in b.column(2):
                 d = np.unique(shingle_hashes(t.as_py(), size))
-                rows.append((_digest(d), parities(d >> np.uint64(32), 64 * SKETCH).view("<i8"), len(d), part_keys(d, similarity, probed)))
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), longs, pa.int64(), longs)))], ["id", "th", "node", "sketch", "n", "keys"])
+                rows.append((_digest(d), _signed(majority(d)), parities(d >> np.uint64(32), 64 * SKETCH).view("<i8"), len(d), part_keys(d, similarity, probed)))
+            cols = list(zip(*rows)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), longs, pa.int64(), longs)))], ["id", "th", "node", "fp", "sketch", "n", "keys"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, th bigint, node bigint, sketch array<bigint>, n bigint, keys array<bigint>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, th bigint, node bigint, fp bigint, sketch array<bigint>, n bigint, keys array<bigint>")
 
 
 def _digest(distinct: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
 
 
+def _print_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """u, v: nodes (node, fp) whose fingerprints link within distance; of nodes of one fingerprint, each with the least."""
+    least = cut(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    same = with_looked_up(nodes.select("node", "fp"), least, "fp").where("node <> least").select("node", "least")
+    end = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias("node_" + c))
+    near = links(least.select("fp"), distance).distinct().join(end("u"), "u").join(end("v"), "v").select("node_u", "node_v")
+    return same.union(near).toDF("u", "v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """node: the ends of pairs (u, v)."""
+    return pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+
+
+def _not_joined(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose ends are not in one group of found (node, root)."""
+    end = lambda c: found.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
+    return pairs.join(end("u"), "u", "left").join(end("v"), "v", "left").where("root_u is null or root_v is null or root_u <> root_v").select("u", "v")
+
+
 def _met(nodes: DataFrame) -> DataFrame:
     """x, node, c: nodes at each probe that c > 1 of them share."""
     keys = nodes.select("node", F.explode("keys").alias("x"))
@@ -453,18 +476,33 @@ def _hot_links(hot: DataFrame, members: DataFrame, found: DataFrame, similarity:
     return rows.groupBy("x", "a_kind", "step", "a", "b").applyInArrow(run, "u bigint, v bigint")
 
 
+def _verified(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets (members: node, set) are similar."""
+
+    @tidy
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [_alike(*(np.frombuffer(s.as_buffer(), "<u8") for s in x), similarity) for x in zip(b.column(2), b.column(3))]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.join(members.select(F.col("node").alias("u"), F.col("set").alias("su")), "u")
+    two = one.join(members.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v").select("u", "v", "su", "sv")
+    return cut(two.mapInArrow(verified, "u bigint, v bigint"))
+
+
 def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, paired: int, probed: int | None) -> DataFrame:
     """id, th, root of every row: the group of similar documents that it is in."""
     prof = cut(_profile(docs, id_col, text_col, size, similarity, probed))
     # One row stands for a shingle set: that of the least id, then of the least text hash.
-    one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "sketch", "n", "keys")).alias("r")
+    one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "fp", "sketch", "n", "keys")).alias("r")
     nodes = cut(prof.groupBy("node").agg(one).select("node", "r.*").drop("no_id"))
+    near = cut(_print_pairs(nodes, MAX_DISTANCE))
     met = cut(_met(nodes))
     # What tells that a pair is not similar comes to the probes' members alone.
     cold, hot = (met.where(c).select("x", "node").join(nodes.select("node", "sketch", "n"), "node") for c in (F.col("c") <= paired, F.col("c") > paired))
     hot = cut(hot)
     pairs = cut(_candidates(cold, similarity).union(_stars(hot, similarity)).distinct())
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(hot.select("node")).distinct()
+    ends = _ends(pairs.union(near)).union(hot.select("node")).distinct()
     wanted = cut(nodes.join(ends, "node", "left_semi").select(F.col("id").alias("__id"), F.col("th").alias("__th")))
     rows = _keyed(docs, id_col, text_col)
     texts = rows.join(sent(wanted), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left_semi")
@@ -477,15 +515,10 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similari
 
     members = cut(texts.select("text").mapInArrow(sets, "node bigint, set binary").dropDuplicates(["node"]))
 
-    @tidy
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [_alike(*(np.frombuffer(s.as_buffer(), "<u8") for s in x), similarity) for x in zip(b.column(2), b.column(3))]
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    one = pairs.join(members.select(F.col("node").alias("u"), F.col("set").alias("su")), "u")
-    two = one.join(members.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v").select("u", "v", "su", "sv")
-    links = cut(two.mapInArrow(verified, "u bigint, v bigint"))
+    # Of the sets, only the few that these pairs have are moved.
+    links = _verified(near, members.join(sent(cut(_ends(near))), "node", "left_semi"), similarity)
+    rest = _not_joined(pairs.join(near, ["u", "v"], "left_anti"), cut(components(links)))
+    links = links.union(_verified(rest, members, similarity))
     found = components(links)
     if not hot.isEmpty():
         found = components(links.union(_hot_links(hot.select("x", "node", "n"), members, cut(found), similarity)))
@@ -496,7 +529,8 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similari
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, paired: int = PAIRED, probed: int | None = PROBED) -> DataFrame:
     """id, component of every row: the least id that links of similar shingle sets reach, or null where no row of the group has one.
 
-    Candidates share the fingerprint of a part; a link is verified by the Jaccard
+    Candidates are those whose fingerprints link (links), and of what these leave apart those
+    that share the fingerprint of a part; a link is verified by the Jaccard
     similarity of the whole shingle sets, as 64-bit hashes. Texts of one set, null, empty
     and blank ones too, are one node. Pairs of a probe of more than `paired` members are
     compared in blocks; none is left out that links have not joined. probed: parts of a text

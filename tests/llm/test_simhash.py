@@ -132,6 +132,33 @@ def test_exact_probes_lose_no_pair(spark):
     assert [len(S.part_keys(S.np.arange(k, dtype="u8"), 0.8, None)) for k in n] == [1, 1, 2, 2, 3, 20, 201]
 
 
+def test_fingerprints_are_probed_before_parts(spark, monkeypatch):
+    r = random.Random(21)
+    texts = []
+    for _ in range(20):
+        text = " ".join(f"w{r.randrange(10**6)}" for _ in range(1500))
+        texts += [text, text + " end", "begin " + text + " at last"]
+    texts += [edited(r, texts[0], 40), "one word", "one word more", None]
+    sets = [shingles(t) for t in texts]
+    prints = [S.majority(S.np.unique(S.shingle_hashes(t, 5))) for t in texts]
+    within = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= S.MAX_DISTANCE
+    nodes = list(range(len(texts)))
+    want = classes(nodes, lambda a, b: within(a, b) and similar(sets[a], sets[b]))
+    assert len(set(want.values())) < len(texts) - 10
+    docs = frame(spark, [(i, t, "en", "a", *documents(6)[0][4:]) for i, t in enumerate(texts)])
+    groups = lambda probed: {x.doc_id: x.component for x in S.similar_groups(docs, probed=probed).collect()}
+    planned = []
+    plan = S.plan
+    monkeypatch.setattr(S, "plan", lambda *a: planned.append(plan(*a)) or planned[-1])
+    # No part is probed: what is joined is what fingerprints, by parts of bits and their thresholds, find.
+    assert groups(0) == want and sum(t + 1 for _, t in planned[0]) == S.MAX_DISTANCE + 1
+    # What they leave apart the parts join, and every link is verified, whatever is met.
+    assert groups(S.PROBED) == classes(nodes, lambda a, b: similar(sets[a], sets[b]))
+    every = lambda d, *_: d.select(d["fp"].alias("u")).crossJoin(d.select(d["fp"].alias("v"))).where("u < v")
+    monkeypatch.setattr(S, "links", every)
+    assert groups(0) == classes(nodes, lambda a, b: similar(sets[a], sets[b]))
+
+
 def test_similar_large_probe(spark):
     r = random.Random(6)
     text = " ".join(f"w{r.randrange(4000)}" for _ in range(200))
