@@ -23,6 +23,10 @@ MAX_SENT = 100_000
 SENT_ROW = 32
 #: Rows of a key from which it is a hot one, and no longer meets in one task.
 HOT_ROWS = 10_000
+#: Rows of ids from which a task is worth its files.
+TASK_ROWS = 10_000
+#: Spark's setting that removes the files of an execution's shuffles at its end.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -57,9 +61,24 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, from where a lost executor's part is read again."""
-    shared_folder(bounded(df.sparkSession))
-    return df.checkpoint()
+    """df, computed once and kept in the shared folder, from where a lost executor's part is read again.
+
+    What was shuffled for it is read by nothing else, and is removed from the executors'
+    disks at once, not when the driver happens to collect its garbage.
+    """
+    spark = bounded(df.sparkSession)
+    shared_folder(spark)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()  # a frame keeps the setting of when it was made
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+
+
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many tasks as its rows, at most so many, ask for: every task leaves files, also one of few rows."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
 
 
 def stored(df: DataFrame) -> DataFrame:

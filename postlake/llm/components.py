@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_looked_up
+from .common import cut, narrowed, with_looked_up
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,12 +28,13 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
         seen = state
+        now = narrowed(now, state["n"])
         # Large star: each node's larger neighbours go to the least of it and its neighbours.
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = with_looked_up(now.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "u", state["n"]).select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: each node and its smaller neighbours go to the least of these.
-        large = cut(large)
+        large = cut(narrowed(large, state["n"]))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = with_looked_up(large, least, "u", state["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", "m")).distinct())
+        now = cut(narrowed(small.union(least.select("u", "m")).distinct(), state["n"]))

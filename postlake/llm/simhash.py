@@ -349,7 +349,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _not_joined(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose ends are not in one group of found (node, root)."""
+    """The pairs (u, v) whose ends are not in one group of found (node, root), which is read twice."""
+    found = sent(found)
     end = lambda c: found.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
     return pairs.join(end("u"), "u", "left").join(end("v"), "v", "left").where("root_u is null or root_v is null or root_u <> root_v").select("u", "v")
 
@@ -517,11 +518,13 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, similari
 
     # Of the sets, only the few that these pairs have are moved.
     links = _verified(near, members.join(sent(cut(_ends(near))), "node", "left_semi"), similarity)
-    rest = _not_joined(pairs.join(near, ["u", "v"], "left_anti"), cut(components(links)))
-    links = links.union(_verified(rest, members, similarity))
-    found = components(links)
+    # Each time the groups so far go on as stars, which join what their links joined and need fewer rounds.
+    found = cut(components(links))
+    rest = _not_joined(pairs.join(near, ["u", "v"], "left_anti"), found)
+    found = components(found.toDF("u", "v").union(_verified(rest, members, similarity)))
     if not hot.isEmpty():
-        found = components(links.union(_hot_links(hot.select("x", "node", "n"), members, cut(found), similarity)))
+        found = cut(found)
+        found = components(found.toDF("u", "v").union(_hot_links(hot.select("x", "node", "n"), members, found, similarity)))
     linked = cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     return cut(with_looked_up(prof.select("id", "th", "node"), linked, "node").select("id", "th", "root"))
 
