@@ -25,6 +25,8 @@ SENT_ROW = 32
 HOT_ROWS = 10_000
 #: Rows of ids from which a task is worth its files.
 TASK_ROWS = 10_000
+#: Share of the driver's largest heap from which a cut has the driver collect its garbage.
+HEAP_SHARE = 0.4
 #: Spark's setting that removes the files of an execution's shuffles at its end.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -64,7 +66,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, from where a lost executor's part is read again.
 
     What was shuffled for it is read by nothing else, and is removed from the executors'
-    disks at once, not when the driver happens to collect its garbage.
+    disks at once, not when the driver happens to collect its garbage. That garbage, plans
+    and sent tables of the steps before, would let the driver's heap grow to its limit over
+    many steps, however little is in use, and goes when the heap has grown.
     """
     spark = bounded(df.sparkSession)
     shared_folder(spark)
@@ -74,6 +78,15 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint()  # a frame keeps the setting of when it was made
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
+        lessen_heap(spark)
+
+
+def lessen_heap(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage, and give memory back, if its heap has grown to HEAP_SHARE of what it may be."""
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() >= HEAP_SHARE * heap.maxMemory():
+        jvm.java.lang.System.gc()
 
 
 def narrowed(df: DataFrame, rows: int) -> DataFrame:
